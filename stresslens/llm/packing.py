@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ CAPACITY = 4096
 END = 1
 #: Expected pieces of a group.
 GROUP = 12_000
-#: Distinct words that a task remembers.
+#: Distinct words that a worker process remembers.
 REMEMBER = 1_500_000
 
 
@@ -79,6 +80,12 @@ class WordTokenizer:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process, so that tasks share what it remembers."""
+    return WordTokenizer(path)
+
+
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of each row of ``docs``: doc_id, piece, start, length, ids_crc32 (and ids).
 
@@ -87,7 +94,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: boo
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         end = np.array([END], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
