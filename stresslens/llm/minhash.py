@@ -31,7 +31,7 @@ from stresslens.llm.components import connected_components
 from stresslens.llm.words import hash_texts, mix, shingles
 
 COORDS = 64
-#: Comparisons left in lists, per posting, up to which they are made directly; above it another pivot round comes first.
+#: Comparisons left in lists, per posting of the corpus, up to which they are made directly; above it another pivot round comes first.
 DIRECT = 16
 
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -184,6 +184,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     postings = scratch.save(_prefix_postings(reps, least).distinct())
     matcher = _Matcher(docs, reps, postings, shingle_words, percent, least)
 
+    direct = DIRECT * postings.count()
     links = None
     rest = postings.select("token", "rep", F.col("rep").alias("grp"))
     while True:
@@ -196,10 +197,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         links = found if links is None else links.unionByName(found)
         left = _labelled(swept.where("rep <> pivot").select("token", "rep"), links)
         sizes = left.groupBy("token", "grp").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        work, size = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        work = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
         if not work:
             break
-        if work <= DIRECT * size:
+        if work <= direct:
             other = left.select("token", F.col("rep").alias("rep_b"), F.col("grp").alias("grp_b"))
             pairs = scratch.save(
                 left.join(other, "token").where("grp < grp_b").select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
