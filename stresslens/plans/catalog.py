@@ -64,7 +64,7 @@ def _total(spark, sf) -> DataFrame:
 
 def _score_rows(spark, sf) -> DataFrame:
     """(d, score): the daily mean total price, scaled to 0..100."""
-    return _total(spark, sf).select("d", F.round(scalars.clamp((F.col("v") - 150_000.0) / 2_000.0), 6).alias("score"))
+    return _total(spark, sf).select("d", F.round(scalars.clamp((F.col("v") - 150_000.0) / 2_000.0), 9).alias("score"))
 
 
 def _windows(spark) -> DataFrame:
@@ -79,16 +79,16 @@ def _weights(spark) -> DataFrame:
 _ORD = "o AS (SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)"
 _SHIP = "s AS (SELECT l_returnflag AS key, CAST(l_shipdate AS DATE) AS d, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)"
 _TOT = "t AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY 1)"
-_SC = "sc AS (SELECT d, round(greatest(0::DOUBLE, least(100::DOUBLE, (v - 150000) / 2000)), 6) AS score FROM t)"
+_SC = "sc AS (SELECT d, round(greatest(0::DOUBLE, least(100::DOUBLE, (v - 150000) / 2000)), 9) AS score FROM t)"
 _WIN = "w AS (SELECT id, s::DATE AS start_d, e::DATE AS end_d, r::DATE AS ref FROM (VALUES " + ", ".join(f"('{i}', '{s}', '{e}', '{r}')" for i, s, e, r in WINDOWS) + ") x(id, s, e, r))"
 _WGT = "wt AS (SELECT key, weight::DOUBLE AS weight FROM (VALUES " + ", ".join(f"('{k}', {w})" for k, w in WEIGHTS) + ") x(key, weight))"
 #: channels 0..100: order priorities by total price, return flags by price
-_CH = f"{_ORD}, {_SHIP}, ch AS (SELECT d, key, round(greatest(0::DOUBLE, least(100::DOUBLE, (v - 150000) / 2000)), 6) AS score FROM o UNION ALL SELECT d, key, round(greatest(0::DOUBLE, least(100::DOUBLE, (v - 30000) / 100)), 6) FROM s)"
+_CH = f"{_ORD}, {_SHIP}, ch AS (SELECT d, key, round(greatest(0::DOUBLE, least(100::DOUBLE, (v - 150000) / 2000)), 9) AS score FROM o UNION ALL SELECT d, key, round(greatest(0::DOUBLE, least(100::DOUBLE, (v - 30000) / 100)), 9) FROM s)"
 
 
 def _channels(spark, sf) -> DataFrame:
-    one = _orders(spark, sf).select("d", "key", F.round(scalars.clamp((F.col("v") - 150_000.0) / 2_000.0), 6).alias("score"))
-    return one.unionByName(_ships(spark, sf).select("d", "key", F.round(scalars.clamp((F.col("v") - 30_000.0) / 100.0), 6).alias("score")))
+    one = _orders(spark, sf).select("d", "key", F.round(scalars.clamp((F.col("v") - 150_000.0) / 2_000.0), 9).alias("score"))
+    return one.unionByName(_ships(spark, sf).select("d", "key", F.round(scalars.clamp((F.col("v") - 30_000.0) / 100.0), 9).alias("score")))
 
 
 # --- series -------------------------------------------------------------------------------------
@@ -139,9 +139,9 @@ def q_rolling_pct_rank(spark, sf):
     return series.rolling(_orders(spark, sf), PROFILE).select("key", "d", "n", *_r("pct"))
 
 
-@_register(f"WITH {_ROLL} SELECT key, d, round(med, 4) AS med, round(mad, 4) AS mad FROM r")
+@_register(f"WITH {_ROLL} SELECT key, d, round(med, 5) AS med, round(mad, 5) AS mad FROM r")
 def q_rolling_median_mad(spark, sf):
-    return series.rolling(_orders(spark, sf), PROFILE).select("key", "d", *_r("med", "mad", digits=4))
+    return series.rolling(_orders(spark, sf), PROFILE).select("key", "d", *_r("med", "mad", digits=5))
 
 
 @_register(f"WITH {_ROLL} SELECT key, d, round(z, 6) AS z, round(CASE WHEN z <= 0.5 THEN 0 WHEN z >= 3 THEN 100 ELSE (z - 0.5) / 2.5 * 100 END, 5) AS risk FROM r")
@@ -217,10 +217,10 @@ def q_weighted_fusion(spark, sf):
     return scoring.weighted_fusion(_channels(spark, sf), _weights(spark)).select("d", *_r("raw_score", digits=5), "coverage")
 
 
-@_register(f"WITH {_CH}, mem AS (SELECT * FROM (VALUES ('1-URGENT', 'front'), ('2-HIGH', 'front'), ('3-MEDIUM', 'back'), ('4-NOT SPECIFIED', 'back'), ('5-LOW', 'back'), ('A', 'ship'), ('R', 'ship'), ('1-URGENT', 'ship')) x(key, pillar)) SELECT d, pillar, round(avg(score), 5) AS mean_score FROM ch JOIN mem USING (key) GROUP BY 1, 2")
+@_register(f"WITH {_CH}, mem AS (SELECT * FROM (VALUES ('1-URGENT', 'front'), ('2-HIGH', 'front'), ('3-MEDIUM', 'back'), ('4-NOT SPECIFIED', 'back'), ('5-LOW', 'back'), ('A', 'ship'), ('R', 'ship'), ('1-URGENT', 'ship')) x(key, pillar)) SELECT d, pillar, round(avg(score), 6) AS mean_score FROM ch JOIN mem USING (key) GROUP BY 1, 2")
 def q_pillars(spark, sf):
     member = [("1-URGENT", "front"), ("2-HIGH", "front"), ("3-MEDIUM", "back"), ("4-NOT SPECIFIED", "back"), ("5-LOW", "back"), ("A", "ship"), ("R", "ship"), ("1-URGENT", "ship")]
-    return scoring.pillars(_channels(spark, sf), spark.createDataFrame(member, "key string, pillar string")).select("d", "pillar", *_r("mean_score", digits=5))
+    return scoring.pillars(_channels(spark, sf), spark.createDataFrame(member, "key string, pillar string")).select("d", "pillar", *_r("mean_score"))
 
 
 @_register(f"WITH {_FUSE} SELECT d, available, stressed, severe, round(100::DOUBLE * stressed / available, 6) AS breadth, bonus FROM h")
@@ -290,11 +290,11 @@ def q_history_filter(spark, sf):
     return _score_rows(spark, sf).where("d >= '1996-01-01' and d <= '1998-12-31' and score >= 20").orderBy(F.desc("d")).limit(365)
 
 
-@_register(f"WITH {_TOT}, {_SC}, n AS (SELECT d, score + 1 AS score FROM sc WHERE d >= DATE '1997-01-01'), u AS (SELECT * FROM sc WHERE d <= DATE '1997-06-30' AND d NOT IN (SELECT d FROM n) UNION ALL SELECT * FROM n) SELECT d, round(score, 6) AS score FROM u ORDER BY d DESC LIMIT 365")
+@_register(f"WITH {_TOT}, {_SC}, n AS (SELECT d, score + 1 AS score FROM sc WHERE d >= DATE '1997-01-01'), u AS (SELECT * FROM sc WHERE d <= DATE '1997-06-30' AND d NOT IN (SELECT d FROM n) UNION ALL SELECT * FROM n) SELECT d, round(score, 8) AS score FROM u ORDER BY d DESC LIMIT 365")
 def q_upsert_history(spark, sf):
     rows = _score_rows(spark, sf)
     new = rows.where("d >= '1997-01-01'").select("d", (F.col("score") + 1).alias("score"))
-    return news.upsert_history(rows.where("d <= '1997-06-30'"), new).select("d", *_r("score"))
+    return news.upsert_history(rows.where("d <= '1997-06-30'"), new).select("d", *_r("score", digits=8))
 
 
 @_register("""WITH a AS (SELECT event_id, ts, value FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id, ts, value + 1 AS value FROM events WHERE event_id % 2 = 0),
@@ -583,12 +583,12 @@ def q_sensitivity(spark, sf):
 _F = "fe AS (SELECT d, max(score) FILTER (WHERE key = '1-URGENT') AS a, max(score) FILTER (WHERE key = '2-HIGH') AS b, max(score) FILTER (WHERE key = 'A') AS c FROM ch GROUP BY d)"
 
 
-@_register(f"WITH {_CH}, {_F} SELECT d, round(coalesce(a, 0) / 100, 6) AS f0, round(coalesce(b, 0) / 100, 6) AS f1, round(coalesce(c, 0) / 100, 6) AS f2, (a IS NULL)::INT::DOUBLE AS m0, (b IS NULL)::INT::DOUBLE AS m1, CASE WHEN d < DATE '1997-01-01' THEN 'train' WHEN d < DATE '1999-01-01' THEN 'validation' ELSE 'holdout' END AS part FROM fe")
+@_register(f"WITH {_CH}, {_F} SELECT d, round(coalesce(a, 0) / 100, 10) AS f0, round(coalesce(b, 0) / 100, 10) AS f1, round(coalesce(c, 0) / 100, 10) AS f2, (a IS NULL)::INT::DOUBLE AS m0, (b IS NULL)::INT::DOUBLE AS m1, CASE WHEN d < DATE '1997-01-01' THEN 'train' WHEN d < DATE '1999-01-01' THEN 'validation' ELSE 'holdout' END AS part FROM fe")
 def q_features(spark, sf):
     pick = lambda k, n: F.max(F.when(F.col("key") == k, F.col("score"))).alias(n)
     wide = _channels(spark, sf).groupBy("d").agg(pick("1-URGENT", "a"), pick("2-HIGH", "b"), pick("A", "c")).withColumn("x", mlp.features(["a", "b", "c"]))
     part = F.when(F.col("d") < "1997-01-01", "train").when(F.col("d") < "1999-01-01", "validation").otherwise("holdout")
-    return wide.select("d", *[F.round(F.get("x", F.lit(i)), 6).alias(f"f{i}") for i in range(3)], F.get("x", F.lit(3)).alias("m0"), F.get("x", F.lit(4)).alias("m1"), part.alias("part"))
+    return wide.select("d", *[F.round(F.get("x", F.lit(i)), 10).alias(f"f{i}") for i in range(3)], F.get("x", F.lit(3)).alias("m0"), F.get("x", F.lit(4)).alias("m1"), part.alias("part"))
 
 
 _CAND = f"{_WGT}, mv AS (SELECT x.key AS donor, y.key AS taker, x.key || '>' || y.key AS candidate FROM wt x, wt y WHERE x.key <> y.key AND x.weight - 1 >= 4 AND y.weight + 1 <= 18), cw AS (SELECT candidate, key, weight + CASE WHEN key = donor THEN -1 WHEN key = taker THEN 1 ELSE 0 END AS weight FROM mv, wt)"
