@@ -137,6 +137,6 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(spans, F.col("row.doc_id") == F.col("span_doc"), "left")
     raw = F.col("row.text").cast("binary")
     rows = rows.select("row", _kept(F.col("row.text"), F.coalesce("spans", none)).alias("segments"))
-    joined = F.decode(F.aggregate("segments", F.lit(b""), lambda acc, s: F.concat(acc, F.substring(raw, s["start"] + 1, s["stop"] - s["start"]))), F.lit("UTF-8"))
+    joined = F.decode(F.aggregate("segments", F.lit(b""), lambda acc, s: F.concat(acc, F.substring(raw, s["start"] + 1, s["stop"] - s["start"]))), "UTF-8")
     text = F.when(F.col("row.text").isNotNull(), joined)
     return rows.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], "segments")
