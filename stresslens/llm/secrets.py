@@ -100,7 +100,7 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     found = sample.select(F.transform(base_spans(F.col("text")), lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["hit"], ASSIGN, 2)).otherwise(s["hit"])).alias("strings"))
     key = F.sha2(F.col("id").cast("string"), 256)
     drawn = spark.range(SAMPLE_RANDOM, numPartitions=4).select(
-        F.array(key, F.upper(F.md5(key)), F.base64(F.unhex(key)), F.translate(F.base64(F.unhex(F.sha2(key, 256))), "+/=", "-_")).alias("strings")
+        F.array(F.md5(key), F.upper(F.md5(F.reverse(key))), F.base64(F.unhex(key)), F.translate(F.base64(F.unhex(F.sha2(key, 256))), "+/=", "-_")).alias("strings")
     )
     return (
         found.unionByName(drawn).select(F.lit(1).alias("label"), "strings")
