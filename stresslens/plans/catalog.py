@@ -217,10 +217,10 @@ def q_weighted_fusion(spark, sf):
     return scoring.weighted_fusion(_channels(spark, sf), _weights(spark)).select("d", *_r("raw_score", digits=5), "coverage")
 
 
-@_register(f"WITH {_CH}, mem AS (SELECT * FROM (VALUES ('1-URGENT', 'front'), ('2-HIGH', 'front'), ('3-MEDIUM', 'back'), ('4-NOT SPECIFIED', 'back'), ('5-LOW', 'back'), ('A', 'ship'), ('R', 'ship'), ('1-URGENT', 'ship')) x(key, pillar)) SELECT d, pillar, round(avg(score), 6) AS mean_score FROM ch JOIN mem USING (key) GROUP BY 1, 2")
+@_register(f"WITH {_CH}, mem AS (SELECT * FROM (VALUES ('1-URGENT', 'front'), ('2-HIGH', 'front'), ('3-MEDIUM', 'back'), ('4-NOT SPECIFIED', 'back'), ('5-LOW', 'back'), ('A', 'ship'), ('R', 'ship'), ('1-URGENT', 'ship')) x(key, pillar)) SELECT d, pillar, round(avg(score), 10) AS mean_score FROM ch JOIN mem USING (key) GROUP BY 1, 2")
 def q_pillars(spark, sf):
     member = [("1-URGENT", "front"), ("2-HIGH", "front"), ("3-MEDIUM", "back"), ("4-NOT SPECIFIED", "back"), ("5-LOW", "back"), ("A", "ship"), ("R", "ship"), ("1-URGENT", "ship")]
-    return scoring.pillars(_channels(spark, sf), spark.createDataFrame(member, "key string, pillar string")).select("d", "pillar", *_r("mean_score"))
+    return scoring.pillars(_channels(spark, sf), spark.createDataFrame(member, "key string, pillar string")).select("d", "pillar", *_r("mean_score", digits=10))
 
 
 @_register(f"WITH {_FUSE} SELECT d, available, stressed, severe, round(100::DOUBLE * stressed / available, 6) AS breadth, bonus FROM h")
