@@ -12,7 +12,8 @@ confirmed on the full shingle sets.
 
 Lists are not expanded into all pairs: every set of a list is first held
 against the list's smallest document, the links so found are contracted, and
-only sets that are still in different groups are compared among themselves.
+only sets that are still in different groups, and near enough in size, are
+compared among themselves.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ class _Matcher:
         """The linked ones of ``pairs(a, b)``."""
         one = self.sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
         two = self.sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-        near = scratch.save(
+        near = (
             pairs.join(one, "a")
             .join(two, "b")
             .where(F.size(F.array_intersect("sig_a", "sig_b")) >= self.least)
@@ -156,12 +157,23 @@ def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     grouped = scratch.save(
         postings.join(groups, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("grp"))
     )
-    mixed = scratch.save(
-        grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    )
+    mixed = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     return scratch.save(grouped.join(mixed, "token", "left_semi"))
 
 
+def _sized(left: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The postings with set sizes and size classes, and the same posted under their own and the class below.
+
+    Sets whose sizes differ by more than the similarity allows are two
+    classes apart or more, and so don't meet.
+    """
+    width = F.log(F.lit(100.0)) - F.log(F.lit(float(percent))) + F.lit(1e-9)
+    one = left.join(sizes, "rep").withColumn("class", F.floor(F.log("n") / width))
+    two = one.select("token", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("class").alias("class_b"),
+                     F.col("rep").alias("rep_b"), F.col("grp").alias("grp_b"), F.col("n").alias("n_b"))
+    return one, two
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose word-shingle sets have at least ``percent`` / 100 similarity.
 
@@ -180,7 +192,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     # the sets as their smallest documents; a repeated row may come twice, which distinct steps below absorb
     same = (usable.digest == classes.digest) & (usable.doc_id == classes.rep)
-    reps = scratch.save(usable.join(classes, same, "left_semi").select(F.col("doc_id").alias("rep"), "sig"))
+    reps = scratch.save(usable.join(classes, same, "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig"))
+    sizes = reps.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n"))
     postings = scratch.save(_prefix_postings(reps, least).distinct())
     matcher = _Matcher(docs, reps, postings, shingle_words, percent, least)
 
@@ -196,14 +209,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         found = matcher.links(pairs)
         links = found if links is None else links.unionByName(found)
         left = _labelled(swept.where("rep <> pivot").select("token", "rep"), links)
-        sizes = left.groupBy("token", "grp").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        work = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        if not work:
+        one, two = _sized(left, sizes, percent)
+        per = one.groupBy("token", "class", "grp").agg(F.count("*").alias("n")).groupBy("token", "class").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        above = per.select("token", (F.col("class") - 1).alias("class"), F.col("n").alias("n_above"))
+        work = per.join(above, ["token", "class"], "left").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2 + F.col("n") * F.coalesce("n_above", F.lit(0)))).first()[0]
+        if not left.take(1):
             break
         if work <= direct:
-            other = left.select("token", F.col("rep").alias("rep_b"), F.col("grp").alias("grp_b"))
+            apart = (F.col("grp") != F.col("grp_b")) & ((one["class"] < F.col("class_b")) | (F.col("rep") < F.col("rep_b")))
+            near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
             pairs = scratch.save(
-                left.join(other, "token").where("grp < grp_b").select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+                one.join(two, ["token", "class"]).where(apart & near).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
             )
             links = links.unionByName(matcher.links(pairs))
             break
