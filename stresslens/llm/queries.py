@@ -28,9 +28,10 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lexicon = scratch.save(imatch.lexicon(docs))
     follow = scratch.save(imatch.next_ids(docs))
-    cut = docs.select("doc_id", "text").join(follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id")), "doc_id")
-    lengths = docs.select(F.col("doc_id").alias("for_id"), F.floor(F.length("text") / 3).cast("int").alias("third"))
-    heads = cut.join(lengths, "for_id").select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, third)").alias("head"))
+    # ids and lengths meet first, so that a text is shuffled once for its beginning
+    lengths = docs.select("doc_id", F.floor(F.length("text") / 3).cast("int").alias("third"))
+    wanted = follow.join(lengths, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "third")
+    heads = docs.join(wanted, "doc_id").select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, third)").alias("head"))
     both = docs.join(heads, "doc_id").select(
         "doc_id", "text", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "head").alias("edited")
     )
