@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from stresslens.llm import scratch
 
-#: Rows of a link table that one task writes in a round.
-ROWS_A_TASK = 50_000
-
 
 def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -28,24 +25,25 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = scratch.save(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        tasks=scratch.tasks_for(links.count()),
     )
     state = _print_of(edges)
     while state[0]:
-        parts = max(8, state[0] // ROWS_A_TASK)  # else small tables are dealt to as many tasks as large ones
+        tasks = scratch.tasks_for(state[0])
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")).coalesce(tasks)
         large = scratch.save(
-            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct().coalesce(parts)
+            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), tasks=tasks
         )
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = large.groupBy("a").agg(F.min("b").alias("low")).coalesce(tasks)
         small = (
             large.join(low, "a")
             .where("b > low")
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(low.select("a", F.col("low").alias("b")))
         )
-        edges = scratch.save(small.distinct().coalesce(parts))
+        edges = scratch.save(small.distinct(), tasks=tasks)
         before, state = state, _print_of(edges)
         if before == state:
             break

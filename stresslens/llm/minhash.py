@@ -2,7 +2,7 @@
 
 Each distinct shingle set gets a signature of ``COORDS`` minima.  A set is
 posted under each (coordinate, value) pair; two sets at the asked similarity
-agree on at least ``min_matches`` coordinates but for a chance of about one
+agree on at least ``min_matches`` coordinates but for a chance of about three
 in a million.  Agreeing on ``t`` of ``K`` pairs means sharing one of the
 ``K - t + 1`` rarest pairs of either set (prefix), and pairs that only one
 set has are skipped outright, so common passages, which make common pairs,
@@ -13,7 +13,11 @@ confirmed on the full shingle sets.
 Lists are not expanded into all pairs: every set of a list is first held
 against the list's smallest document, the links so found are contracted, and
 only sets that are still in different groups, and near enough in size, are
-compared among themselves.
+compared among themselves, in the first list that both are in.  There a set
+has one bit of each of ``BITS`` further minima beside it: sets that differ in
+five deviations more bits than the asked similarity makes are no pair.  If
+lists would ask for too many comparisons, sets go first that have too many
+shingles of their own to link with any other set left.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +37,20 @@ from stresslens.llm import scratch
 from stresslens.llm.components import connected_components
 from stresslens.llm.words import hash_texts, mix, shingles
 
-COORDS = 64
+COORDS = 32
 #: Comparisons left in lists, per posting of the corpus, up to which they are made directly; above it another pivot round comes first.
-DIRECT = 16
+DIRECT = 256
+#: Bits of the sketches by which sets are compared in lists, and the columns that hold them.
+BITS = 2048
+WORDS = [f"bits{k}" for k in range(BITS // 64)]
 
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
 _TAGS = np.arange(COORDS, dtype=np.int64) << 32
 _BLOCK = 1 << 13
+_NARROW = 1 << 9
+_BIT_SEEDS = mix(np.arange(COORDS + 1, COORDS + BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BIT_FACTORS = mix(_BIT_SEEDS) | np.uint64(1)
 
 
 def min_matches(similarity: float) -> int:
@@ -108,12 +120,34 @@ def _confirm(percent: int):
     return run
 
 
+def _bit_sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of each of ``BITS`` further minima of a set, packed into longs."""
+    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(values), _NARROW):
+        part = (values[None, k : k + _NARROW] ^ _BIT_SEEDS[:, None]) * _BIT_FACTORS[:, None]
+        low = np.minimum(low, part.min(axis=1))
+    return np.packbits(((low >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def _bit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_bit_sketch(np.frombuffer(v.as_buffer(), np.uint64)) for v in batch.column(1)]
+        table = np.stack(rows) if rows else np.empty((0, len(WORDS)), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], ["rep", *WORDS])
+
+
+def max_differing(percent: int, bits: int) -> int:
+    """Of so many sketch bits those in which two sets of the asked similarity differ, and five deviations."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+
+
 class _Matcher:
     """Counts collisions of candidate pairs and confirms them on the full sets."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, postings: DataFrame, shingle_words: int, percent: int, least: int):
-        self.percent, self.least = percent, least
-        wanted = postings.select(F.col("rep").alias("doc_id")).distinct()
+    def __init__(self, docs: DataFrame, reps: DataFrame, postings: DataFrame, shingle_words: int, percent: int, least: int, tasks: int):
+        self.percent, self.least, self.tasks = percent, least, tasks
+        wanted = scratch.save(postings.select(F.col("rep").alias("doc_id")).distinct(), tasks=tasks)
         self.sigs = scratch.save(reps.join(wanted, reps.rep == wanted.doc_id, "left_semi").select("rep", "sig"))
         self.sets = scratch.save(
             _sets(docs.join(wanted, "doc_id", "left_semi"), shingle_words).dropDuplicates(["doc_id"])
@@ -132,14 +166,15 @@ class _Matcher:
         one = self.sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
         two = self.sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
         return scratch.save(
-            near.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(self.percent), "a bigint, b bigint")
+            near.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(self.percent), "a bigint, b bigint"),
+            tasks=self.tasks,
         )
 
 
-def _prefix_postings(reps: DataFrame, least: int) -> DataFrame:
+def _prefix_postings(reps: DataFrame, least: int, tasks: int) -> DataFrame:
     """(rep, token) for each set's rarest shared pairs, enough that any two matching sets meet."""
     tokens = reps.select("rep", F.explode("sig").alias("token"))
-    counts = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), tasks=tasks)
     ranked = (
         tokens.join(counts, "token")
         .groupBy("rep")
@@ -151,14 +186,14 @@ def _prefix_postings(reps: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(postings: DataFrame, links: DataFrame, tasks: int) -> DataFrame:
     """The postings of lists that still hold more than one group, with each set's group."""
     groups = connected_components(links).select(F.col("node").alias("rep"), "component")
     grouped = scratch.save(
-        postings.join(groups, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("grp"))
+        postings.join(groups, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("grp")), tasks=tasks
     )
     mixed = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    return scratch.save(grouped.join(mixed, "token", "left_semi"))
+    return scratch.save(grouped.join(mixed.coalesce(tasks), "token", "left_semi"), tasks=tasks)
 
 
 def _sized(left: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -169,9 +204,59 @@ def _sized(left: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame,
     """
     width = F.log(F.lit(100.0)) - F.log(F.lit(float(percent))) + F.lit(1e-9)
     one = left.join(sizes, "rep").withColumn("class", F.floor(F.log("n") / width))
-    two = one.select("token", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("class").alias("class_b"),
-                     F.col("rep").alias("rep_b"), F.col("grp").alias("grp_b"), F.col("n").alias("n_b"))
-    return one, two
+    own = [F.col(c).alias(f"{c}_b") for c in one.columns if c != "token"]
+    return one, one.select("token", F.explode(F.array("class", F.col("class") - 1)).alias("class"), *own)
+
+
+def _comparisons(left: DataFrame, sizes: DataFrame, percent: int, tasks: int) -> float:
+    """How many pairs of sets of different groups would be compared in lists."""
+    one, _ = _sized(left, sizes, percent)
+    per = one.groupBy("token", "class", "grp").agg(F.count("*").alias("n")).coalesce(tasks).groupBy("token", "class").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    per = scratch.save(per, tasks=tasks)
+    above = per.select("token", (F.col("class") - 1).alias("class"), F.col("n").alias("n_above"))
+    pairs = (F.col("n") * F.col("n") - F.col("same")) / 2 + F.col("n") * F.coalesce("n_above", F.lit(0))
+    return per.join(above, ["token", "class"], "left").agg(F.sum(pairs)).first()[0] or 0
+
+
+def _alike(left: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Pairs of sets of different groups, once each, that meet in lists and whose sketches are near."""
+    lists = left.groupBy("rep").agg(F.collect_set("token").alias("lists")).coalesce(tasks)
+    sketched = sets.join(lists, sets.doc_id == lists.rep, "left_semi").select("doc_id", "members").mapInArrow(
+        _bit_sketches, ", ".join(["rep bigint", *(f"{w} bigint" for w in WORDS)])
+    )
+    beside = scratch.save(sketched.join(lists, "rep").join(sizes, "rep"), tasks=tasks)
+    one, two = _sized(left, beside, percent)
+    apart = (F.col("grp") != F.col("grp_b")) & ((one["class"] < F.col("class_b")) | (F.col("rep") < F.col("rep_b")))
+    near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    differing = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS]
+    alike = [reduce(add, differing[:k]) <= max_differing(percent, 64 * k) for k in (len(WORDS) // 4, len(WORDS))]
+    once = F.col("token") == F.array_min(F.array_intersect("lists", "lists_b"))
+    met = one.join(two, ["token", "class"]).where(apart & near & alike[0] & alike[1] & once)
+    return scratch.save(met.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct(), tasks=tasks)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, members in zip(batch.column(0), batch.column(1), strict=True):
+            values = np.frombuffer(members.as_buffer(), np.int64)
+            for k in range(0, len(values), _BLOCK):
+                part = pa.array(values[k : k + _BLOCK])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc_id.as_py())), part], ["rep", "shingle"])
+
+
+def _linkable(left: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The postings without the sets that can't link: too many of their shingles are in no other set left.
+
+    A common passage makes sets agree on much of their signature; what stands
+    around it tells them apart.  Shingles are counted before they are
+    shuffled, and no pairs are made.
+    """
+    held = left.select(F.col("rep").alias("doc_id")).distinct().coalesce(tasks)
+    shingled = sets.join(held, "doc_id", "left_semi").select("doc_id", "members").mapInArrow(_unpacked, "rep bigint, shingle bigint")
+    single = shingled.groupBy("shingle").agg(F.count("*").alias("held"), F.min("rep").alias("rep")).where("held = 1")
+    alone = single.groupBy("rep").agg(F.count("*").alias("alone")).coalesce(tasks)
+    apart = scratch.save(alone.join(sizes, "rep").where(100 * (F.col("n") - F.col("alone")) < percent * F.col("n")).select("rep"), tasks=tasks)
+    return scratch.save(left.join(apart, "rep", "left_anti"), tasks=tasks)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -189,45 +274,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     least = min_matches(percent / 100)
     signed = scratch.save(signatures(docs, shingle_words))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    tasks = scratch.tasks_for(signed.count())
+    classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), tasks=tasks)
     # the sets as their smallest documents; a repeated row may come twice, which distinct steps below absorb
     same = (usable.digest == classes.digest) & (usable.doc_id == classes.rep)
     reps = scratch.save(usable.join(classes, same, "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig"))
-    sizes = reps.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n"))
-    postings = scratch.save(_prefix_postings(reps, least).distinct())
-    matcher = _Matcher(docs, reps, postings, shingle_words, percent, least)
+    postings = scratch.save(_prefix_postings(reps, least, tasks).distinct(), tasks=tasks)
+    matcher = _Matcher(docs, reps, postings, shingle_words, percent, least, tasks)
+    sizes = scratch.save(reps.groupBy("rep").agg(F.max("n").alias("n")), tasks=tasks)
 
     direct = DIRECT * postings.count()
     links = None
     rest = postings.select("token", "rep", F.col("rep").alias("grp"))
     while True:
-        pivots = scratch.save(rest.groupBy("token").agg(F.min_by("rep", F.struct("grp", "rep")).alias("pivot"), F.min("grp").alias("pivot_grp")))
-        swept = rest.join(pivots, "token")
+        pivots = scratch.save(
+            rest.groupBy("token").agg(F.min_by("rep", F.struct("grp", "rep")).alias("pivot"), F.min("grp").alias("pivot_grp"), F.count("*").alias("held")).where("held > 1"),
+            tasks=tasks,
+        )
+        swept = rest.join(pivots, "token").where("rep <> pivot")
         pairs = scratch.save(
-            swept.where("rep <> pivot and grp <> pivot_grp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+            swept.where("grp <> pivot_grp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), tasks=tasks
         )
         found = matcher.links(pairs)
         links = found if links is None else links.unionByName(found)
-        left = _labelled(swept.where("rep <> pivot").select("token", "rep"), links)
-        one, two = _sized(left, sizes, percent)
-        per = one.groupBy("token", "class", "grp").agg(F.count("*").alias("n")).groupBy("token", "class").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        above = per.select("token", (F.col("class") - 1).alias("class"), F.col("n").alias("n_above"))
-        work = per.join(above, ["token", "class"], "left").agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2 + F.col("n") * F.coalesce("n_above", F.lit(0)))).first()[0]
-        if not left.take(1):
+        left = _labelled(swept.select("token", "rep"), links, tasks)
+        work = _comparisons(left, sizes, percent, tasks)
+        if work > direct:
+            left = _linkable(left, matcher.sets, sizes, percent, tasks)
+            work = _comparisons(left, sizes, percent, tasks)
+        if not work:
             break
         if work <= direct:
-            apart = (F.col("grp") != F.col("grp_b")) & ((one["class"] < F.col("class_b")) | (F.col("rep") < F.col("rep_b")))
-            near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-            pairs = scratch.save(
-                one.join(two, ["token", "class"]).where(apart & near).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
-            )
-            links = links.unionByName(matcher.links(pairs))
+            links = links.unionByName(matcher.links(_alike(left, matcher.sets, sizes, percent, tasks)))
             break
         rest = left
 
     groups = connected_components(links).select(F.col("node").alias("rep"), "component")
     owners = scratch.save(
-        classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+        classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), tasks=tasks
     )
     linked = F.col("n_shingles") > 0
     return (

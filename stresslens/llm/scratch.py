@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a narrow intermediate table that one task writes.
+ROWS_A_TASK = 50_000
+
 _fallback: list[str] = []
 
 
@@ -25,8 +28,14 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stresslens-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to a new shared folder and read it back."""
+def tasks_for(rows: int) -> int:
+    """Tasks to write a narrow table of about so many rows; small tables would else be dealt to as many tasks as large ones."""
+    return max(8, rows // ROWS_A_TASK)
+
+
+def save(df: DataFrame, compression: str = "zstd", tasks: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to a new shared folder, with at most ``tasks`` tasks if given, and read it back."""
     path = folder(df.sparkSession)
+    df = df.coalesce(tasks) if tasks else df
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
