@@ -1,15 +1,16 @@
 """Substring dedup: hashed units of lines, grouped globally, keeping the earliest occurrence.
 
-A line is the first unit.  Passages are also pasted into the middle of lines,
-where no two lines are equal, so lines are cut further at content-defined
-places: after each word pair whose hash is the smallest of some window of
+A line is the first unit: every later equal line goes, however short.
+Passages are also pasted into the middle of lines, where no two lines are
+equal, so lines are cut further at content-defined places: after each word pair whose hash is the smallest of some window of
 ``WINDOW`` neighbours.  Such cuts depend on the words around them only, so
 equal passages are cut alike wherever they stand, and every repeat of
 ``2 * WINDOW`` words more than ``least_words`` has that many in equal units.
 
 Units are normalised (ASCII case folded, white space dropped), grouped by
-digest over all documents, and the earliest by (doc_id, position) is kept.
-Runs of later occurrences with at least ``least_words`` words are removed.
+digest over all documents, lines with lines and cuts with cuts, and the
+earliest by (doc_id, position) is kept.  Later lines are removed, and runs of
+later cuts with at least ``least_words`` words; spans that meet are merged.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from stresslens.llm.words import hash_texts, mix, text_bytes
 
 WINDOW = 12
 LEAST_WORDS = 26
+#: Bits of a unit's kind: a cut, a whole line, or (a line without cuts) both.
+CUT, LINE = 1, 2
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -49,12 +52,20 @@ def cut_after(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(_slide(padded, window, np.maximum) == pairs) + 1
 
 
+def _firsts(ends: np.ndarray) -> np.ndarray:
+    """First word of each unit, from the last words of all."""
+    return np.concatenate([[0], ends[:-1] + 1])
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, start, stop, n_words, digest) of each unit; start and stop in bytes of the text."""
+    """(doc_id, word, start, stop, n_words, digest, kind) of each cut and line.
+
+    word is the place of the unit's first word; start and stop are bytes of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             held = 0
@@ -64,55 +75,83 @@ def units(docs: DataFrame) -> DataFrame:
                 text = data[offsets[row] : offsets[row + 1]]
                 breaks = np.flatnonzero(text == 10)
                 line_ends = np.searchsorted(starts, breaks) - 1
-                ends = np.unique(np.concatenate([cut_after(hashes), line_ends[line_ends >= 0], [len(hashes) - 1]]))
-                firsts = np.concatenate([[0], ends[:-1] + 1])
-                counts = ends - firsts + 1
-                place = (np.arange(len(hashes)) - np.repeat(firsts, counts)).astype(np.uint64)
-                digests = mix(np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), firsts) + counts.astype(np.uint64))
-                stops = np.append(starts[firsts[1:]], len(text))
-                parts = (np.full(len(ends), ids[row], np.int64), np.arange(len(ends)), starts[firsts], stops, counts, digests.view(np.int64))
-                for column, part in zip(out, parts, strict=True):
-                    column.append(part)
-                held += len(ends)
+                line_ends = np.unique(np.append(line_ends[line_ends >= 0], len(hashes) - 1))
+                ends = np.unique(np.concatenate([cut_after(hashes), line_ends]))
+                firsts, line_firsts = _firsts(ends), _firsts(line_ends)
+                whole = np.isin(firsts, line_firsts) & np.isin(ends, line_ends)
+                cut_up = ~np.isin(line_firsts, firsts[whole])
+                for first, end, kind in ((firsts, ends, np.where(whole, CUT | LINE, CUT)), (line_firsts, line_ends, np.full(len(line_ends), LINE))):
+                    counts = end - first + 1
+                    place = (np.arange(len(hashes)) - np.repeat(first, counts)).astype(np.uint64)
+                    digests = mix(np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), first) + counts.astype(np.uint64))
+                    stops = np.append(starts[first[1:]], len(text))
+                    parts = (np.full(len(end), ids[row], np.int64), first, starts[first], stops, counts, digests.view(np.int64), kind)
+                    used = cut_up if end is line_ends else slice(None)
+                    for column, part in zip(out, parts, strict=True):
+                        column.append(part[used])
+                    held += len(parts[0][used])
+                    if not cut_up.any():
+                        break
                 if held > 1 << 17:
                     yield _batch(out)
-                    out, held = [[] for _ in range(6)], 0
+                    out, held = [[] for _ in range(7)], 0
             if held:
                 yield _batch(out)
 
     def _batch(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
         columns = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "unit", "start", "stop", "n_words", "digest"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "start", "stop", "n_words", "digest", "kind"])
 
     usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return usable.mapInArrow(run, "doc_id bigint, unit int, start int, stop int, n_words int, digest bigint")
+    return usable.mapInArrow(run, "doc_id bigint, word int, start int, stop int, n_words int, digest bigint, kind tinyint")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The spans to remove: doc_id, start, stop (bytes of the text), n_words, first_doc_id.
 
-    first_doc_id is the document that keeps the run's first unit.  Null and
-    blank texts and rows with a null doc_id have no units; of rows that
-    repeat a doc_id with the same text each is taken for the document, so
-    spans come once.  An empty table gives no rows.
+    A span holds whole lines that are repeated, runs of repeated cuts with at
+    least ``least_words`` words, or both where they meet.  first_doc_id is the
+    document that keeps the span's first unit.  Null and blank texts and rows
+    with a null doc_id have no units; of rows that repeat a doc_id with the
+    same text each is taken for the document, so spans come once.  An empty
+    table gives no rows.
     """
     table = scratch.save(units(docs))
-    rank = F.struct("doc_id", "unit")
-    firsts = scratch.save(table.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("digest", "first"))
+    rank = F.struct("doc_id", "word")
+    is_cut, is_line = (F.col("kind").bitwiseAND(bit) != 0 for bit in (CUT, LINE))
+    ends = [pick(F.when(kind, rank)).alias(f"{pick.__name__}_{name}") for name, kind in (("cut", is_cut), ("line", is_line)) for pick in (F.min, F.max)]
+    firsts = scratch.save(table.groupBy("digest").agg(*ends).where("min_cut <> max_cut or min_line <> max_line").select("digest", "min_cut", "min_line"))
     later = scratch.save(
-        table.join(firsts, "digest").where(F.struct("doc_id", "unit") > F.col("first"))
-        .select("doc_id", "unit", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id")).distinct()
+        table.join(firsts, "digest")
+        .select(
+            "doc_id", "word", "start", "stop", "n_words",
+            F.when(is_cut & (rank > F.col("min_cut")), F.col("min_cut.doc_id")).alias("cut_doc"),
+            F.when(is_line & (rank > F.col("min_line")), F.col("min_line.doc_id")).alias("line_doc"),
+        )
+        .where("cut_doc is not null or line_doc is not null").distinct()
     )
     # documents with long runs of repeats hold few rows here, so one task per document suffices
-    by_doc = Window.partitionBy("doc_id").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(by_doc))
-    return (
-        runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").cast("long").alias("n_words"), F.min_by("first_doc_id", "unit").alias("first_doc_id"))
+    by_doc = Window.partitionBy("doc_id").orderBy("word")
+    cuts = later.where("cut_doc is not null").withColumn("run", F.col("word") + F.col("n_words") - F.sum("n_words").over(by_doc))
+    runs = (
+        cuts.groupBy("doc_id", "run")
+        .agg(F.min("word").alias("word"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.min_by("cut_doc", "word").alias("first_doc_id"))
         .where(F.col("n_words") >= least_words)
         .drop("run")
     )
+    lines = later.where("line_doc is not null").select("doc_id", "word", "start", "stop", F.col("n_words").cast("long").alias("n_words"), F.col("line_doc").alias("first_doc_id"))
+    end = F.col("word") + F.col("n_words")
+    spans = runs.select(*lines.columns).unionByName(lines).withColumn("end", end)
+    by_place = Window.partitionBy("doc_id").orderBy("word", "end", "first_doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.when(F.col("word") <= F.max("end").over(by_place), 0).otherwise(1)
+    upto = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        spans.withColumn("apart", apart).withColumn("span", F.sum("apart").over(upto))
+        .groupBy("doc_id", "span")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("end") - F.min("word")).cast("long").alias("n_words"), F.min(F.struct("word", "first_doc_id"))["first_doc_id"].alias("first_doc_id"))
+        .drop("span")
+    )
 
 
 def _kept(text: Column, spans: Column) -> Column:

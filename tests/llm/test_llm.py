@@ -93,6 +93,18 @@ def test_substring_dedup(spark):
     assert clean[1]["text"].encode() == b"".join(texts[1].encode()[s["start"] : s["stop"]] for s in clean[1]["segments"])
 
 
+def test_short_and_cut_lines_are_deduped(spark):
+    rng = random.Random(5)
+    notice, long = "All rights reserved.", prose(rng, 45)
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    texts = [f"{own(1)}\n{notice}\n{long}\n{own(2)}", f"{own(3)}\n{notice}\n\n{own(4)}\n{notice}", f"{own(5)} {notice}\n{own(6)}", f"{own(7)}\n{long}\n{notice}\n{own(8)}"]
+    spans = sorted(tuple(r) for r in unitdedup.repeated_spans(frame(spark, texts)).select("doc_id", "start", "stop", "n_words", "first_doc_id").collect())
+    cut = lambda d, s, e: texts[d].encode()[s:e].decode().split("\n")
+    assert [(d, [x for x in cut(d, s, e) if x], n, f) for d, s, e, n, f in spans] == [(1, [notice], 3, 0), (1, [notice], 3, 0), (3, [long, notice], 48, 0)]
+    clean = {r["doc_id"]: r["text"] for r in unitdedup.dedup_units(frame(spark, texts)).collect()}
+    assert clean == {0: texts[0], 1: f"{own(3)}\n{own(4)}\n", 2: texts[2], 3: f"{own(7)}\n{own(8)}"}
+
+
 def test_packing(spark, texts):
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     from tokenizers import Tokenizer
