@@ -7,10 +7,12 @@ and query), candidates are never collected.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stresslens.functions.scalars import clamp, distance, recency_decay
+from stresslens.functions.scalars import clamp, recency_decay
 
 #: Candidates of each ranked list, and the fusion constant.
 LIST, RRF = 60, 60
@@ -22,15 +24,47 @@ def top(rows: DataFrame, k: int, order: list[Column], by: str = "qid") -> DataFr
     return ranked.where(F.col("rank") <= k)
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, qid: str = "qid", id: str = "id", sizes: tuple[int, int] = (512, 1024)) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt to numbered blocks (qb, vb), each query block beside each block of rows.
+
+    Neither side is broadcast: a task holds one block of about ``sizes`` queries
+    and rows, and their number grows with both tables.
+    """
+    nq, nv = (max(1, -(-df.count() // size)) for df, size in zip((queries, rows), sizes, strict=True))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    return queries.select("*", dealt(qid, nq).alias("qb"), every(nv).alias("vb")), rows.select("*", every(nq).alias("qb"), dealt(id, nv).alias("vb"))
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
+    """The k nearest of ``right`` for each of ``left`` by exact distances, ties after rounding by id."""
+    out = []
+    if len(left) and len(right):
+        ids, v = right["id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(float)
+        square = (v * v).sum(1)
+        for qid, q in zip(left["qid"], left["q"], strict=True):
+            q = np.asarray(q, float)
+            rough = square - 2 * (v @ q) + q @ q
+            at = np.arange(len(ids))
+            if len(ids) > k:
+                limit = np.sqrt(max(0.0, np.partition(rough, k - 1)[k - 1])) + 2 * 10.0**-digits
+                at = np.flatnonzero(rough <= limit * limit + 1e-9 * (1 + q @ q + square))
+            dist = np.sqrt(((v[at] - q) ** 2).sum(1))
+            first = np.lexsort((ids[at], np.round(dist, digits)))[:k]
+            out.append(pd.DataFrame({"qid": qid, "id": ids[at][first], "dist": dist[first]}))
+    return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "dist": []})
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = LIST, digits: int = 6) -> DataFrame:
     """(qid, id, dist, sim, rank): the k nearest ``vectors(id, v)`` of each of ``queries(qid, q)``.
 
-    Distances are rounded before ranking so that ties break by id.  The
-    queries are the small side: each vector is read once and held against
-    them where it is.
+    Distances are rounded before ranking so that ties break by id.  Blocks of
+    queries meet blocks of vectors; k of each pair of blocks are merged.
     """
-    pairs = vectors.join(queries).select("qid", "id", F.round(distance("q", "v"), digits).alias("dist"))
-    near = top(pairs, k, [F.col("dist"), F.col("id")])
+    q, v = in_blocks(queries.select("qid", "q").where("q is not null"), vectors.select("id", "v").where("v is not null"))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, dist double"
+    pairs = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(lambda a, b: _nearest(a, b, k, digits), kinds)
+    near = top(pairs.withColumn("dist", F.round("dist", digits)), k, [F.col("dist"), F.col("id")])
     return near.withColumn("sim", clamp(1.0 - F.col("dist") * F.col("dist") / 2.0, -1.0, 1.0))
 
 

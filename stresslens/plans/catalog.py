@@ -373,8 +373,8 @@ def q_topic_top3(spark, sf):
     return ranked.where("rn <= 3 and (sim >= 0.3 or rn = 1)").select("vec_id", "topic", "sim")
 
 
-def _queries(spark, sf) -> DataFrame:
-    return _t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+def _queries(spark, sf, every: int = 100) -> DataFrame:
+    return _t(spark, sf, "embeddings").where(f"vec_id % {every} = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 _KNN = """k AS (SELECT qid, id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (
@@ -387,6 +387,13 @@ def q_knn(spark, sf):
     return retrieval.knn(_queries(spark, sf), vectors, 10).select("qid", "id", "dist", "rank")
 
 
+@_register(f"WITH {_KNN.replace('% 100', '% 20')} SELECT qid, id, dist, rank::INT AS rank FROM k WHERE rank <= 10")
+def q_knn_twentieth(spark, sf):
+    """q_knn for every row whose id is divisible by 20."""
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.knn(_queries(spark, sf, 20), vectors, 10).select("qid", "id", "dist", "rank")
+
+
 TERMS = ((1, "the"), (1, "tion"), (2, "de"), (2, "la"), (3, "und"))
 
 
@@ -416,17 +423,31 @@ def q_rrf(spark, sf):
     return retrieval.rrf([one, docs]).select("qid", "id", F.round("rrf", 9).alias("rrf"), "lists")
 
 
-@_register("""WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+_HYBRID = """WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 c AS (SELECT qid, vec_id AS id, (label = qid % 10)::INT * 8::DOUBLE + vec_id % 3 AS lex, round(list_inner_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS sim FROM embeddings, q),
 f AS (SELECT *, round(0.45::DOUBLE * least(1, lex / 12) + 0.55::DOUBLE * greatest(0, least(1, sim)), 6) AS final FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, lex DESC, id) AS rank FROM f WHERE final > 0)
-SELECT qid, id, final, rank::INT AS rank FROM r WHERE rank <= 10""")
-def q_hybrid_search(spark, sf):
-    pairs = _t(spark, sf, "embeddings").join(_queries(spark, sf))
+SELECT qid, id, final, rank::INT AS rank FROM r WHERE rank <= 10"""
+
+
+def _hybrid(spark, sf, every: int) -> DataFrame:
+    queries, rows = retrieval.in_blocks(_queries(spark, sf, every), _t(spark, sf, "embeddings"), id="vec_id")
+    pairs = rows.join(queries, ["qb", "vb"])
     lex = F.when(F.col("label") == F.col("qid") % 10, 8.0).otherwise(0.0) + F.col("vec_id") % 3
     rows = pairs.select("qid", F.col("vec_id").alias("id"), lex.alias("lex"), F.round(scalars.cosine("embedding", "q"), 6).alias("sim"))
     return retrieval.hybrid_rank(rows, 10).select("qid", "id", "final", "rank")
 
 
+@_register(_HYBRID)
+def q_hybrid_search(spark, sf):
+    return _hybrid(spark, sf, 100)
+
+
+@_register(_HYBRID.replace("% 100", "% 20"))
+def q_hybrid_search_twentieth(spark, sf):
+    """q_hybrid_search for every row whose id is divisible by 20."""
+    return _hybrid(spark, sf, 20)
+
+
 @_register("""WITH s AS (SELECT p_partkey, CASE WHEN lower(p_name) = 'part' THEN 100 ELSE 0 END + CASE WHEN contains(lower(p_type), 'steel') THEN 2.25::DOUBLE ELSE 0 END + p_size % 5 AS score FROM part)
 SELECT p_partkey, score FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 4""")
 def q_fuzzy_lookup(spark, sf):

@@ -1,5 +1,6 @@
 """Definitions against naive Python, published figures, and rows that must not look ahead."""
 
+import math
 import random
 import statistics
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
 from stresslens.operators import graph, mlp, news, retrieval, scoring, series
+from stresslens.plans import catalog
 
 
 def one(spark, column):
@@ -143,6 +145,30 @@ def test_rrf(spark):
     assert got[8] == pytest.approx(1 / 62 + 1 / 61) and got[7] == pytest.approx(1 / 61)
 
 
+def test_knn_in_blocks(spark):
+    rng = random.Random(8)
+    vecs = [(k, [rng.gauss(0, 1) for _ in range(4)] if k % 7 else [1.0, 0.0, 0.0, 0.0]) for k in range(1400)]
+    v = spark.createDataFrame(vecs, "id long, v array<double>")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    found = retrieval.knn(q, v, 5)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["dist"], r["id"]))
+    assert set(got) == set(range(0, 1400, 20))
+    for k, near in got.items():
+        want = sorted((round(math.dist(vecs[k][1], x), 6), i) for i, x in vecs)[:5]
+        assert [i for _, i in near] == [i for _, i in want] and [d for d, _ in near] == pytest.approx([d for d, _ in want])
+
+
+def test_every_twentieth_row_is_asked(spark, tmp_path):
+    rows = [(k, [float(k % 9), 1.0], k % 10) for k in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("q_knn_twentieth", "q_hybrid_search_twentieth"):
+        asked = catalog.queries()[name](spark, str(tmp_path)).select("qid").distinct().collect()
+        assert {r["qid"] for r in asked} == set(range(0, 200, 20))
+
+
 def test_cluster_events(spark):
     rows = [("t", 0, 1, [1.0, 0.0]), ("t", 3600, 2, [0.9, 0.1]), ("t", 7200, 3, [0.0, 1.0]), ("u", 0, 4, [1.0, 0.0]), ("t", 500 * 3600, 5, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "topic string, s long, id long, vec array<double>").withColumn("ts", F.timestamp_seconds("s"))
