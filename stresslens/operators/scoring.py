@@ -125,8 +125,8 @@ def confusion(rows: DataFrame, score: Column, label: str, by: list[str]) -> Data
     return t.withColumn("balanced", (F.coalesce("recall", F.lit(0.0)) + 1 - F.coalesce("fpr", F.lit(0.0))) / 2)
 
 
-def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: float, steps: int, by: list[str] | None = None) -> DataFrame:
-    """The threshold of an even grid with the best balanced accuracy, then the lowest false positive rate, then the smallest.
+def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: float, steps: int, by: list[str] | None = None, digits: int = 4) -> DataFrame:
+    """The threshold of an even grid with the best balanced accuracy (to ``digits`` places), then the lowest false positive rate, then the smallest.
 
     Rows are summed by distinct score first, so the grid meets counts, not rows.
     """
@@ -138,7 +138,7 @@ def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: f
         F.sum(F.when(alarm, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(alarm, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
     )
     t = t.withColumns({"recall": F.col("tp") / F.col("p"), "fpr": F.col("fp") / F.col("n")})
-    t = t.withColumn("balanced", F.round((F.col("recall") + 1 - F.col("fpr")) / 2, 4))
+    t = t.withColumn("balanced", F.round((F.col("recall") + 1 - F.col("fpr")) / 2, digits))
     best = F.max_by(F.struct("threshold", "balanced", "recall", "fpr"), F.struct("balanced", -F.round("fpr", 9), -F.col("threshold")))
     return t.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
@@ -156,6 +156,41 @@ def candidate_weights(weights: DataFrame, step: float = 1.0, low: float = 4.0, h
     return moves.join(F.broadcast(weights)).select("candidate", "key", (F.col("weight") + change).alias("weight"))
 
 
+def event_peaks(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Peak score of each (candidate, window id) with rows; leave holdout windows out of ``windows``."""
+    return in_windows(rows, windows).groupBy("candidate", "id").agg(F.max("score").alias("peak"))
+
+
+#: Weights of ROC-AUC, average precision, event recall and specificity in the objective.
+OBJECTIVE = (0.35, 0.25, 0.20, 0.20)
+
+
+def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_windows: DataFrame, baseline: str) -> DataFrame:
+    """Objective and guardrail verdict of each candidate of ``scored(candidate, d, score)``.
+
+    Alarms are at the threshold of 20 to 80 (121 steps) with the best balanced
+    accuracy.  Event recall is the share of windows whose peak reaches it.
+    Differences are to the candidate named ``baseline``; d_peak is that of the
+    window that loses most.
+    """
+    rows = label_rows(scored, label_windows)
+    by = ["candidate"]
+    swept = threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=12)
+    peaks = event_peaks(scored, peak_windows)
+    recalls = peaks.join(swept.select("candidate", "threshold"), "candidate").groupBy("candidate").agg(F.avg((F.col("peak") >= F.col("threshold")).cast("double")).alias("event_recall"))
+    base = peaks.where(F.col("candidate") == baseline).select("id", F.col("peak").alias("base_peak"))
+    drops = peaks.join(base, "id").groupBy("candidate").agg(F.min(F.col("peak") - F.col("base_peak")).alias("d_peak"))
+    out = swept
+    for part in (roc_auc(rows, "score", "label", by), average_precision(rows, "score", "label", "d", by), recalls, drops):
+        out = out.join(part, "candidate", "left")
+    out = out.fillna(0.0, ["auc", "ap", "event_recall"])
+    parts = (F.col("auc"), F.col("ap"), F.col("event_recall"), 1.0 - F.col("fpr"))
+    out = out.withColumn("objective", sum((w * c for w, c in zip(OBJECTIVE[1:], parts[1:], strict=True)), OBJECTIVE[0] * parts[0]))
+    first = out.where(F.col("candidate") == baseline).select(F.col("objective").alias("base_objective"), F.col("fpr").alias("base_fpr"))
+    out = out.join(F.broadcast(first)).withColumns({"d_objective": F.col("objective") - F.col("base_objective"), "d_fpr": F.col("fpr") - F.col("base_fpr")})
+    return guardrails(out.drop("base_objective", "base_fpr"))
+
+
 def guardrails(candidates: DataFrame, gain: float = 0.005, fpr_rise: float = 0.01, recall: float = 0.75, peak_drop: float = 8.0) -> DataFrame:
     """Reasons against each candidate(d_objective, d_fpr, event_recall, d_peak) and whether it passes."""
     reasons = F.array(

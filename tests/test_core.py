@@ -1,5 +1,6 @@
 """Definitions against naive Python, published figures, and rows that must not look ahead."""
 
+import datetime
 import math
 import random
 import statistics
@@ -118,6 +119,41 @@ def test_auc_and_ap_against_pairs(spark):
     assert scoring.average_precision(df, "s", "y", "id").first()["ap"] == pytest.approx(total / len(pos))
 
 
+def test_candidates_objective_and_guardrails(spark):
+    rng = random.Random(6)
+    day = datetime.date(2020, 1, 1)
+    days = [day + datetime.timedelta(k) for k in range(120)]
+    spans = [("a", days[20], days[30]), ("b", days[80], days[85])]
+    windows = spark.createDataFrame(spans, "id string, start date, end date")
+    inside = [int(any(s - datetime.timedelta(60) <= d <= e for _, s, e in spans)) for d in days]
+    scores = {"base": [rng.randint(15, 85) for _ in days]}
+    scores["good"] = [min(100, v + 15 * y) for v, y in zip(scores["base"], inside)]
+    scores["bad"] = [v - 20 * y for v, y in zip(scores["base"], inside)]
+    rows = [(c, d, float(v)) for c, vs in scores.items() for d, v in zip(days, vs)]
+    got = {r["candidate"]: r for r in scoring.evaluate_candidates(spark.createDataFrame(rows, "candidate string, d date, score double"), windows, windows, "base").collect()}
+
+    def naive(vs):
+        pos, neg = [v for v, y in zip(vs, inside) if y], [v for v, y in zip(vs, inside) if not y]
+        auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
+        hits, ap = 0, 0.0
+        for k, (_, _, y) in enumerate(sorted(zip([-v for v in vs], days, inside)), 1):
+            hits += y
+            ap += y * hits / k
+        rates = lambda t: (sum(p >= t for p in pos) / len(pos), sum(n >= t for n in neg) / len(neg))
+        t = max((20 + k / 2 for k in range(121)), key=lambda t: (round((rates(t)[0] + 1 - rates(t)[1]) / 2, 12), -round(rates(t)[1], 9), -t))
+        peaks = [max(v for v, d in zip(vs, days) if s <= d <= e) for _, s, e in spans]
+        recall = sum(p >= t for p in peaks) / 2
+        return 0.35 * auc + 0.25 * ap / len(pos) + 0.2 * recall + 0.2 * (1 - rates(t)[1]), t, recall, peaks
+
+    base = naive(scores["base"])
+    for c, vs in scores.items():
+        want = naive(vs)
+        assert (got[c]["objective"], got[c]["threshold"], got[c]["event_recall"]) == pytest.approx(want[:3])
+        assert got[c]["d_objective"] == pytest.approx(want[0] - base[0])
+        assert got[c]["d_peak"] == min(a - b for a, b in zip(want[3], base[3]))
+    assert "objective" in got["bad"]["reasons"] and "event peak" in got["bad"]["reasons"] and not got["bad"]["passes"]
+
+
 def test_merge_and_retain(spark):
     old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, x string, old int")
     new = spark.createDataFrame([(2, None, 5), (3, "c", 6)], "id int, x string, new int")
