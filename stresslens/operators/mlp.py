@@ -55,39 +55,79 @@ def sensitivity(rows: DataFrame, key: str, x: str, n: int, layers, limit: int =
     return delta.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def _train(x: np.ndarray, y: np.ndarray, seed: int, hidden: int, epochs: int, rate: float, decay: float) -> tuple[list[float], float]:
-    """Full-batch gradient descent of a one-layer network with class weight and clipped gradients."""
-    rng = np.random.default_rng(seed)
-    w1 = rng.uniform(-1, 1, (x.shape[1], hidden)) * np.sqrt(6 / (x.shape[1] + hidden))
-    w2 = rng.uniform(-1, 1, hidden) * np.sqrt(6 / (hidden + 1))
-    b1, b2 = np.zeros(hidden), 0.0
-    heavy = np.where(y > 0, min(8.0, max(1.0, (y == 0).sum() / max(1, (y > 0).sum()))), 1.0)
-    p = np.full(len(y), 0.5)
-    for _ in range(epochs):
-        h = np.tanh(x @ w1 + b1)
-        p = 1 / (1 + np.exp(-np.clip(h @ w2 + b2, -35, 35)))
-        g = heavy * (p - y) / len(y)
-        back = np.outer(g, w2) * (1 - h * h)
-        for value, grad in ((w1, x.T @ back + decay * w1), (b1, back.sum(0)), (w2, h.T @ g + decay * w2)):
+#: Cells of the two hidden layers, epochs, epochs between validations, checks without gain before the end and before each decay.
+HIDDEN, EPOCHS, EVERY, PATIENCE, STALE = (12, 6), 1400, 10, 35, 12
+
+
+def _unpack(flat: np.ndarray, n_in: int, hidden: tuple[int, ...]) -> list[np.ndarray]:
+    """The weights and biases of each layer, from one vector of them in order."""
+    model, at, sizes = [], 0, (n_in, *hidden, 1)
+    for a, b in zip(sizes, sizes[1:], strict=False):
+        model += [flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]]
+        at += a * b + b
+    return model
+
+
+def _forward(model: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
+    """What each layer gives, the probabilities last."""
+    outs = [x]
+    for w, b in zip(model[:-2:2], model[1:-2:2], strict=True):
+        outs.append(np.tanh(outs[-1] @ w + b))
+    return [*outs, 1 / (1 + np.exp(-np.clip(outs[-1] @ model[-2] + model[-1], -35, 35).ravel()))]
+
+
+def _loss(y: np.ndarray, p: np.ndarray, heavy: float) -> float:
+    return float((np.where(y > 0.5, heavy, 1.0) * -(y * np.log(p + 1e-8) + (1 - y) * np.log(1 - p + 1e-8))).mean())
+
+
+def _train(x, y, xv, yv, seed: int, hidden: tuple[int, ...] = HIDDEN, epochs: int = EPOCHS, rate: float = 0.035, decay: float = 0.0015) -> tuple[list[float], float, int]:
+    """Full-batch gradient descent with class weight and clipped gradients: the best validated weights, their loss, epochs run."""
+    rng, sizes, model = np.random.default_rng(seed), (x.shape[1], *hidden, 1), []
+    for a, b in zip(sizes, sizes[1:], strict=False):
+        limit = np.sqrt(6 / (a + b))
+        model += [rng.uniform(-limit, limit, (a, b)), np.zeros(b)]
+    heavy = min(8.0, max(1, int((y == 0).sum())) / max(1, int((y == 1).sum())))
+    weight, best, best_loss, stale = np.where(y > 0.5, heavy, 1.0), [v.copy() for v in model], float("inf"), 0
+    for epoch in range(epochs):
+        *outs, p = _forward(model, x)
+        back, grads = ((p - y) * weight / len(y)).reshape(-1, 1), []
+        for layer in reversed(range(len(outs))):
+            w = model[2 * layer]
+            grads = [outs[layer].T @ back + decay * w, back.sum(0), *grads]
+            back = back @ w.T * (1 - outs[layer] * outs[layer])
+        for value, grad in zip(model, grads, strict=True):
             value -= rate * np.clip(grad, -2, 2)
-        b2 -= rate * float(np.clip(g.sum(), -2, 2))
-    loss = float(-(heavy * (y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))).mean())
-    return [*w1.ravel(), *b1, *w2, b2], loss
-
-
-def train_ensemble(rows: DataFrame, seeds: list[int], bound: int = 4000, hidden: int = 6, epochs: int = 200, rate: float = 0.3, decay: float = 0.0015) -> DataFrame:
-    """(seed, n, loss, weights): one network for each seed on ``rows(id, x, y)``, seeds in parallel.
+        if epoch % EVERY == 0:
+            loss = _loss(yv, _forward(model, xv)[-1], heavy)
+            if loss + 1e-5 < best_loss:
+                best, best_loss, stale = [v.copy() for v in model], loss, 0
+            else:
+                stale += 1
+            if stale >= PATIENCE:
+                break
+            if stale and stale % STALE == 0:
+                rate *= 0.7
+    return [float(v) for part in best for v in part.ravel()], best_loss, epoch + 1
+
+
+def train_ensemble(rows: DataFrame, seeds: list[int], bound: int = 4000, held: Column | None = None) -> DataFrame:
+    """(seed, n, n_validation, epochs, loss, weights): one network for each seed on ``rows(id, x, y)``, seeds in parallel.
 
     A network this small is fitted on a bounded sample: the ``bound`` rows
-    with the smallest hash of id.
+    with the smallest hash of id.  ``held`` marks validation rows (a fifth by
+    hash of id if not given); loss is the validation loss of the weights kept.
     """
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(bound)
-    copies = sample.select("x", "y", "id", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    held = F.pmod(F.xxhash64("id", F.lit("validation")), F.lit(5)) == 0 if held is None else held
+    sample = rows.withColumn("held", held).orderBy(F.xxhash64("id"), "id").limit(bound)
+    copies = sample.select("x", "y", "id", "held", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        seed = int(frame["seed"].iloc[0])
-        weights, loss = _train(np.stack(frame["x"].to_numpy()).astype(float), frame["y"].to_numpy(float), seed, hidden, epochs, rate, decay)
-        return pd.DataFrame([(seed, len(frame), loss, weights)], columns=["seed", "n", "loss", "weights"])
-
-    return copies.groupBy("seed").applyInPandas(fit, "seed int, n int, loss double, weights array<double>")
+        seed, kept = int(frame["seed"].iloc[0]), frame["held"].to_numpy(bool)
+        if kept.all() or not kept.any():
+            raise ValueError("training needs rows of both kinds, for fitting and for validation")
+        x, y = np.stack(frame["x"].to_numpy()).astype(float), frame["y"].to_numpy(float)
+        weights, loss, epochs = _train(x[~kept], y[~kept], x[kept], y[kept], seed)
+        return pd.DataFrame([(seed, int((~kept).sum()), int(kept.sum()), epochs, loss, weights)], columns=["seed", "n", "n_validation", "epochs", "loss", "weights"])
+
+    return copies.groupBy("seed").applyInPandas(fit, "seed int, n int, n_validation int, epochs int, loss double, weights array<double>")

@@ -658,7 +658,7 @@ def q_candidate_objective(spark, sf):
 @_register()
 def q_train_mlp(spark, sf):
     rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") < 3).cast("int").alias("y"))
-    return mlp.train_ensemble(rows, [11, 29, 47]).select("seed", "n", "loss")
+    return mlp.train_ensemble(rows, [11, 29, 47]).select("seed", "n", "n_validation", "epochs", "loss")
 
 
 @_register()

@@ -5,6 +5,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,21 @@ def test_training_learns(spark):
     rows = [(k, [x := rng.gauss(0, 1), rng.gauss(0, 1)], int(x > 0)) for k in range(200)]
     got = mlp.train_ensemble(spark.createDataFrame(rows, "id int, x array<double>, y int"), [1, 2]).collect()
     assert {r["seed"] for r in got} == {1, 2} and all(r["loss"] < 0.45 for r in got)
+
+
+def test_training_keeps_the_best_validated_weights(spark):
+    rng = random.Random(4)
+    noise = [(k, [rng.gauss(0, 1) for _ in range(6)], rng.randint(0, 1)) for k in range(120)]
+    for r in mlp.train_ensemble(spark.createDataFrame(noise, "id int, x array<double>, y int"), [1, 2]).collect():
+        assert r["n"] + r["n_validation"] == 120 and r["n_validation"] > 0
+        assert len(r["weights"]) == 6 * 12 + 12 + 12 * 6 + 6 + 6 + 1
+        assert 341 <= r["epochs"] <= 1400 and r["epochs"] % 10 in (0, 1)
+
+
+def test_training_follows_the_schedule():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 5)), rng.integers(0, 2, 80).astype(float)
+    xv, yv = rng.normal(size=(40, 5)), rng.integers(0, 2, 40).astype(float)
+    weights, loss, epochs = mlp._train(x, y, xv, yv, 7)
+    model = mlp._unpack(np.array(weights), 5, mlp.HIDDEN)
+    assert epochs < 1400 and mlp._loss(yv, mlp._forward(model, xv)[-1], min(8.0, (y == 0).sum() / (y > 0).sum())) == pytest.approx(loss)
