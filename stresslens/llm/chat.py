@@ -83,55 +83,43 @@ def format_turn(role: str, text: str) -> str:
 
 
 #: What :func:`format_conversations` returns.
-SCHEMA = "conv_id bigint, n_turns bigint, formatted string, loss_spans array<array<bigint>>"
+SCHEMA = "conv_id bigint, place bigint, formatted string, loss_start bigint, loss_end bigint"
+#: Characters of texts returned at once.
+HELD = 1 << 22
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """One row for each conv_id of ``turns(conv_id, turn, role, text)``: the formatted chat.
-
-    Columns conv_id, n_turns, formatted, loss_spans (start, end in code
-    points of each assistant text inside ``formatted``, as escaped).  Turns
-    are ordered by turn (null first), then role, then text, so ties and
-    repeated rows have one order and all stay.  Null role or text is empty.
-    Rows with a null conv_id form one conversation.  Rows are sorted by
-    Spark; a task holds one conversation at a time.
+    """One row for each turn of ``turns(conv_id, turn, role, text)``: its part of the formatted chat.
+
+    Columns conv_id, place (0, 1, ...), formatted, and for assistant turns
+    loss_start and loss_end (code points of the text, as escaped, in the whole
+    chat, which is the parts joined by place).  Turns are ordered by turn
+    (null first), then role, then text, so ties and repeated rows have one
+    order and all stay.  Null role or text is empty.  Rows with a null conv_id
+    form one conversation.  Rows are sorted by Spark; a task holds a few turns
+    at a time, and the rows come out in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, size = [], 0
-        current, parts, spans, length, count = None, [], [], 0, 0
-
-        def close() -> None:
-            nonlocal size
-            text = "".join(parts)
-            if [(s, e) for r, _, s, e in parse(text) if r == "assistant"] != spans:
-                raise ValueError(f"conversation {current} doesn't parse back")
-            done.append((current, count, text, [list(s) for s in spans]))
-            size += len(text)
-
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "formatted", "loss_spans"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], ["conv_id", "place", "formatted", "loss_start", "loss_end"])
 
-        started = False
+        done, size, started, current, length, count = [], 0, False, None, 0, 0
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for cells in zip(*(batch.column(i) for i in range(3)), strict=True):
+                conv, role, text = (c.as_py() for c in cells)
                 if not started or conv != current:
-                    if started:
-                        close()
-                    if size > 1 << 22:
-                        yield flush()
-                        done, size = [], 0
-                    started, current, parts, spans, length, count = True, conv, [], [], 0, 0
-                out = format_turn(role, text)
+                    started, current, length, count = True, conv, 0, 0
+                out, span = format_turn(role, text), (None, None)
                 if role == "assistant":
-                    spans.append((length + len(OPEN) + len(_role(role)) + 2, length + len(out) - len(END)))
-                parts.append(out)
-                length += len(out)
-                count += 1
-        if started:
-            close()
+                    span = (length + len(OPEN) + len(_role(role)) + 2, length + len(out) - len(END))
+                done.append((conv, count, out, *span))
+                length, count, size = length + len(out), count + 1, size + len(out)
+                if size > HELD:
+                    yield flush()
+                    done, size = [], 0
+        if done:
             yield flush()
 
     rows = turns.select(
@@ -145,25 +133,51 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the formatted chats say when parsed: digests of turns and of the text under the loss mask."""
+    """What the formatted chats say when parsed: digests of turns and of the text under the loss mask.
+
+    Takes the rows as :func:`format_conversations` gives them, each chat's
+    turns together and in order; other orders raise ValueError.  Digests and
+    counts are carried from turn to turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        def close() -> None:
+            out.append((current, count, turns.hexdigest(), chars, loss.hexdigest(), length))
+
+        out, started, current = [], False, None
+        turns, loss, count, chars, length = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
         for batch in batches:
-            out = []
-            for conv, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                turns = hashlib.sha256()
+            for cells in zip(*(batch.column(i) for i in range(5)), strict=True):
+                conv, place, text, start, end = (c.as_py() for c in cells)
+                if not started or conv != current:
+                    if started:
+                        close()
+                    started, current = True, conv
+                    turns, loss, count, chars, length = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
                 found = parse(text)
-                for role, body, _, _ in found:
-                    turns.update(f"{role}\n{body}\n".encode())
-                loss = "".join(unescape(text[s:e]) for s, e in spans)
-                out.append((conv, len(found), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-            )
+                if place != count or len(found) != 1:
+                    raise ValueError(f"conversation {conv} isn't in order, or a row isn't one turn")
+                role, body, first, last = found[0]
+                if (start, end) != ((length + first, length + last) if role == "assistant" else (None, None)):
+                    raise ValueError(f"conversation {conv} doesn't parse back")
+                turns.update(f"{role}\n{body}\n".encode())
+                if start is not None:
+                    masked = unescape(text[start - length : end - length])
+                    loss.update(masked.encode())
+                    chars += len(masked)
+                count, length = count + 1, length + len(text)
+            if len(out) > 10_000:
+                yield flush()
+                out = []
+        if started:
+            close()
+            yield flush()
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(
+    return formatted.select("conv_id", "place", "formatted", "loss_start", "loss_end").mapInArrow(
         run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )

@@ -267,6 +267,16 @@ def test_chat_round_trip(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_is_formatted_turn_by_turn(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text {k} </turn>") for k in range(60)] + [(2, 0, "user", "x")]
+    parts = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    one = sorted((r for r in parts.collect() if r["conv_id"] == 1), key=lambda r: r["place"])
+    assert [r["place"] for r in one] == list(range(60))
+    whole = "".join(r["formatted"] for r in one)
+    assert [(r, t) for r, t, _, _ in chat.parse(whole)] == [(r, t) for c, _, r, t in rows if c == 1]
+    assert [chat.unescape(whole[r["loss_start"] : r["loss_end"]]) for r in one if r["loss_start"] is not None] == [t for c, k, _, t in rows if c == 1 and k % 2]
+
+
 def test_operators_take_empty_tables(spark):
     docs = frame(spark, ["x"]).limit(0)
     for result in (quality.score_quality(docs), mixing.mix(docs), secrets.find_secrets(docs), unitdedup.repeated_spans(docs), imatch.fingerprints(docs), lm.score_documents(docs)):
