@@ -171,12 +171,14 @@ def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_window
     Alarms are at the threshold of 20 to 80 (121 steps) with the best balanced
     accuracy.  Event recall is the share of windows whose peak reaches it.
     Differences are to the candidate named ``baseline``; d_peak is that of the
-    window that loses most.
+    window that loses most.  Tables used more than once are kept, so that the
+    plan stays small.
     """
-    rows = label_rows(scored, label_windows)
+    scored = scored.persist()
+    rows = label_rows(scored, label_windows).persist()
     by = ["candidate"]
-    swept = threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=12)
-    peaks = event_peaks(scored, peak_windows)
+    swept = threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=12).persist()
+    peaks = event_peaks(scored, peak_windows).persist()
     recalls = peaks.join(swept.select("candidate", "threshold"), "candidate").groupBy("candidate").agg(F.avg((F.col("peak") >= F.col("threshold")).cast("double")).alias("event_recall"))
     base = peaks.where(F.col("candidate") == baseline).select("id", F.col("peak").alias("base_peak"))
     drops = peaks.join(base, "id").groupBy("candidate").agg(F.min(F.col("peak") - F.col("base_peak")).alias("d_peak"))
@@ -185,7 +187,7 @@ def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_window
         out = out.join(part, "candidate", "left")
     out = out.fillna(0.0, ["auc", "ap", "event_recall"])
     parts = (F.col("auc"), F.col("ap"), F.col("event_recall"), 1.0 - F.col("fpr"))
-    out = out.withColumn("objective", sum((w * c for w, c in zip(OBJECTIVE[1:], parts[1:], strict=True)), OBJECTIVE[0] * parts[0]))
+    out = out.withColumn("objective", sum((w * c for w, c in zip(OBJECTIVE[1:], parts[1:], strict=True)), OBJECTIVE[0] * parts[0])).persist()
     first = out.where(F.col("candidate") == baseline).select(F.col("objective").alias("base_objective"), F.col("fpr").alias("base_fpr"))
     out = out.join(F.broadcast(first)).withColumns({"d_objective": F.col("objective") - F.col("base_objective"), "d_fpr": F.col("fpr") - F.col("base_fpr")})
     return guardrails(out.drop("base_objective", "base_fpr"))

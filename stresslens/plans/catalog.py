@@ -635,7 +635,7 @@ def q_candidate_objective(spark, sf):
 
     The network is the fixed one of q_mlp_forward over three channels.
     """
-    weights, channels = _weights(spark), _channels(spark, sf)
+    weights, channels = _weights(spark), _channels(spark, sf).persist()
     same = lambda name, share: weights.select(F.lit(name).alias("candidate"), "key", "weight", F.lit(share).alias("share"))
     candidates = scoring.candidate_weights(weights).withColumn("share", F.lit(NETWORK)).unionByName(same("baseline", NETWORK))
     for share in MIXES:
