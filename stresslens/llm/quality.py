@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ RULES = (
     ("duplicate_lines", "10 * n_dup_lines", 3, "n_lines"),
     ("short_words", "2 * n_words", 1, "word_chars"),
     ("long_words", "word_chars", 20, "n_words"),
-    ("stop_words", "2", 1, "n_stop"),
+    ("stop_words", "n_words", 25, "n_stop"),
     ("few_lines_of_words", "n_lines", 1, "n_words"),
 )
 
@@ -62,44 +65,65 @@ def repeated_words(words: Column) -> Column:
     ).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` (its columns as struct ``row``) with the counts that the rules read.
+#: The counts of a text that rules read, in order.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop")
+
+
+def _verdict(m: Column, rules) -> tuple[Column, Column]:
+    """(base_failed, kept) of a struct of counts, from a threshold table; rules are compiled against the struct's fields."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+    def side(term: str) -> Column:
+        parts = [m[t] if t in MEASURES else F.lit(int(t)) for t in (x.strip() for x in term.split("*"))]
+        return reduce(mul, parts)
+
+    broken = [side(left) > limit * side(right) for _, left, limit, right in rules]
+    return failed, reduce(lambda kept, rule: kept & ~rule, broken, ~failed)
+
 
-    Names of measures can't clash with the columns of ``docs``, which stay in ``row``.
+def assessed(text: Column, rules=RULES) -> Column:
+    """All counts of a text with base_failed and kept, as one struct.
+
+    The text and its words stand behind lambda variables.  So the optimizer,
+    which copies a column's definition into whatever reads the column (a
+    filter on ``kept`` that it moves below the projection, say), can only
+    copy the whole, never the splitting of a text into the loop over its words.
     """
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    inner = inner.select("row", "body", words_of(F.col("body")).alias("words"), F.filter(F.split("body", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    return inner.select(
-        "row",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("body", SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("body", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.size(F.array_intersect("words", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop"),
-    )
+
+    def counted(body: Column, words: Column, lines: Column) -> Column:
+        values = (
+            F.size(words), F.length(F.regexp_replace(body, SPACE, "")), F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")),
+            F.size(lines), F.size(lines) - F.size(F.array_distinct(lines)), repeated_words(words), F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
+        )
+        return F.struct(*[v.cast("long").alias(n) for n, v in zip(MEASURES, values, strict=True)])
+
+    def judged(m: Column) -> Column:
+        failed, kept = _verdict(m, rules)
+        return F.struct(*[m[n].alias(n) for n in MEASURES], failed.alias("base_failed"), kept.alias("kept"))
+
+    def whole(body: Column) -> Column:
+        lines = F.filter(F.split(body, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+        return let(words_of(body), lambda words: let(lines, lambda found: let(counted(body, words, found), judged)))
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), whole)
 
 
-def verdict(rules=RULES) -> tuple[Column, Column]:
-    """(base_failed, kept) over the columns of :func:`measures`, from a threshold table."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = ~failed
-    for _, left, limit, right in rules:
-        kept = kept & ~F.expr(f"{left} > {limit} * {right}")
-    return failed, kept
+def _rows(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def score_quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """Per row of ``docs``: its columns in ``row``, the measures, base_failed and kept.
 
     A null or empty text has no words and fails; every row gets one verdict,
-    repeated rows alike; other columns are carried untouched, whatever their names.
+    repeated rows alike; other columns are carried untouched, whatever their
+    names (they stay in ``row``, so none can clash).  An empty table gives no
+    rows.  Time is linear in the length of a text, but for sorting its words.
     """
-    failed, kept = verdict(rules)
-    return measures(docs).withColumns({"base_failed": failed, "kept": kept})
+    judged = docs.select(_rows(docs), assessed(F.col("text"), rules).alias("m"))
+    return judged.select("row", *[F.col(f"m.{n}").alias(n) for n in (*MEASURES, "base_failed", "kept")])
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass the rules, with their columns."""
-    return score_quality(docs, rules).where("kept").select("row.*")
+    return docs.select(_rows(docs), assessed(F.col("text"), rules)["kept"].alias("kept")).where("kept").select("row.*")

@@ -155,7 +155,7 @@ q AS (
   SELECT b.doc_id, len(a)::BIGINT AS n_words, coalesce(list_sum(list_transform(a, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words,
-    len(list_intersect(list_distinct(a), [{stop}]))::BIGINT AS n_stop
+    len(list_filter(a, lambda x: x IN ({stop})))::BIGINT AS n_stop
   FROM b JOIN l ON l.doc_id = b.doc_id LEFT JOIN m ON m.doc_id = b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
