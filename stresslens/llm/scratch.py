@@ -1,8 +1,10 @@
 """Intermediate tables in the folder that all executors share.
 
 The cluster names that folder in ``spark.checkpoint.dir``.  A table written
-there cuts the lineage and outlives lost executors.  Only where the setting
-is missing (tests, one machine) a temporary folder takes its place.
+there cuts the lineage and outlives lost executors.  Only on one machine
+(a ``local`` master) a temporary folder takes its place where the setting is
+missing; on a cluster that is an error.  What was written goes when the
+driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -19,13 +21,30 @@ _fallback: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A new, unused folder path under the shared checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new, unused folder path under the shared checkpoint folder, deleted when the driver's JVM ends."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="stresslens-"))
         base = _fallback[0]
-    return f"{base.rstrip('/')}/stresslens-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stresslens-{uuid.uuid4().hex}"
+    _place(spark, path)[0].deleteOnExit(_place(spark, path)[1])
+    return path
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, as the JVM knows them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder now."""
+    files, there = _place(spark, path)
+    files.delete(there, True)
 
 
 def tasks_for(rows: int) -> int:
