@@ -4,7 +4,9 @@ Only headers (id, digest, size) are shuffled by payload digest to find each
 payload's original; revisit records refer to it and hold no payload.  The
 archives are written by Spark's own text writer, one record a row, so task
 retries and lost executors leave no half-written files, and any file system
-that Spark knows will do.  Record ids and dates are set anew.
+that Spark knows will do.  They are read as a stream of pieces between blank
+lines, which a parser puts together by the lengths that records state, so a
+task holds one record, not a file.  Record ids and dates are set anew.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ from stresslens.llm import scratch
 
 #: Payloads shorter than this (bytes) are always written out.
 SHORTEST = 100
-#: Bytes of payload that a file holds, about.
-FILE_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CRLF = "\r\n"
+_BLANK = b"\r\n\r\n"
 
 
 def headers(pages: DataFrame) -> DataFrame:
@@ -37,17 +38,17 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(heads: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(page_id, refers_to): the pages that revisit a payload and the page whose response holds it.
+    """(page_id, payload_digest, refers_to): payloads of pages that revisit one, and the page whose response holds it.
 
     ``heads`` is a stored table.  Minima are taken before the shuffle, and
     the join is between two stored tables, so a digest of any number of pages
-    is split across tasks.
+    is split across tasks.  Rows come once.
     """
     long_ones = heads.where((F.col("payload_bytes") >= shortest) & F.col("page_id").isNotNull())
     originals = scratch.save(
         long_ones.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "refers_to")
     )
-    return long_ones.join(originals, "payload_digest").where("page_id <> refers_to").select("page_id", "refers_to")
+    return long_ones.join(originals, "payload_digest").where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def _record_id(page: Column) -> Column:
@@ -75,7 +76,7 @@ def _records(pages: DataFrame, date: str) -> Column:
         line("WARC-Record-ID", _record_id(F.col("page_id"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _header_value(F.col("url"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(body.cast("binary"), 256))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
@@ -88,38 +89,62 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """Write a record for each row of ``pages(page_id, url, html)`` to gzipped WARC files under ``path``.
 
     A null url is an empty header, a null html an empty payload.  Rows with a
-    null page_id are responses.  Rows that repeat a page_id are decided
-    alike.  An empty table writes no records.
+    null page_id are responses.  Rows that repeat a page_id are decided each
+    by its own payload; equal rows alike.  An empty table writes no records.
+    Bodies meet their decision in one join by (page_id, digest), and are
+    written from there: each task writes one file.
     """
-    heads = scratch.save(headers(pages))
-    revisits = scratch.save(resolve_revisits(heads, shortest).distinct())
-    total = heads.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
-    body = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    decided = body.join(revisits, "page_id", "left").repartition(max(1, -(-total // FILE_BYTES)))
+    revisits = scratch.save(resolve_revisits(scratch.save(headers(pages)), shortest))
+    body = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha2(body.cast("binary"), 256).alias("payload_digest"))
+    decided = rows.join(revisits, ["page_id", "payload_digest"], "left")
     decided.select(_records(pages, date).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an archive's bytes; lengths, not separators, end a block."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        begin = stop + 4
-        end = begin + int(head["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has a wrong length")
-        yield head, data[begin:end]
-        at = end + 4
+class RecordParser:
+    """Puts the pieces between blank lines together to records (headers, block).
+
+    Lengths, not blank lines, end a block, so what looks like a record inside
+    a payload stays there.
+    """
+
+    def __init__(self):
+        self.head: dict[str, str] | None = None
+        self.parts: list[bytes] = []
+        self.held = self.length = 0
+
+    def feed(self, piece: bytes) -> list[tuple[dict[str, str], bytes]]:
+        """The records that this piece (and the blank line after it) completes."""
+        self.parts += [piece, _BLANK]
+        self.held += len(piece) + len(_BLANK)
+        done = []
+        while self.held >= self.length:
+            data = b"".join(self.parts)
+            if self.head is not None:
+                done.append((self.head, data[: self.length]))
+                data, self.head, self.length = data[self.length :], None, 0
+            data = data.lstrip(b"\r\n")
+            if data and not data.startswith(b"WARC/"):
+                raise ValueError("no record starts where the last one ended")
+            if data:
+                head, _, data = data.partition(_BLANK)
+                self.head = dict(line.split(": ", 1) for line in head.decode().split(_CRLF)[1:])
+                self.length = int(self.head["Content-Length"])
+            self.parts, self.held = [data], len(data)
+            if self.head is None:
+                break
+        return done
+
+    def close(self) -> None:
+        if self.head is not None:
+            raise ValueError("the last record is cut off")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records under ``path``: page_id, url, record_type, refers_to, payload_digest, payload (null for revisits)."""
-    import zlib
+    """The records under ``path``: page_id, url, record_type, refers_to, payload_digest, payload (null for revisits).
 
+    A gzipped file isn't split: its pieces come in order, and files one after the other.
+    """
     page = re.compile(r"<urn:stresslens:page:(-?\d+)>")
 
     def number(value: str | None) -> int | None:
@@ -133,44 +158,41 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def batch_of(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+        parser, rows, size = RecordParser(), [], 0
         for batch in batches:
-            for content in batch.column(0):
-                data = zlib.decompress(content.as_buffer(), 47)
-                rows, size = [], 0
-                for head, block in parse_records(data):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if head["WARC-Type"] == "response" else None
+            for piece in batch.column(0):
+                for head, block in parser.feed(piece.as_py()):
+                    payload = block[block.index(_BLANK) + len(_BLANK) :] if head["WARC-Type"] == "response" else None
                     rows.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], number(head.get("WARC-Refers-To")), head["WARC-Payload-Digest"].partition(":")[2], payload))
                     size += len(block)
-                    if size > 1 << 22:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-                if rows:
+                if size > 1 << 22:
                     yield batch_of(rows)
+                    rows, size = [], 0
+        parser.close()
+        if rows:
+            yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload binary")
+    pieces = spark.read.option("lineSep", _CRLF * 2).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary"))
+    return pieces.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload binary")
 
 
 def describe_archives(records: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Size and digest are those of the full payload: counted on a response's
-    own payload, and taken for a revisit from the response it refers to.
+    own payload, and taken for a revisit from the response of that digest
+    that it refers to.
     """
-
     own = scratch.save(
         records.select(
-            "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"),
-            F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("own_digest"),
+            "page_id", "record_type", "refers_to", F.col("payload_digest").alias("stated"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+            F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("payload_digest"),
         )
     )
-    revisits = own.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    revisits = own.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated")
     responses = own.where("record_type = 'response'")
-    originals = responses.select(F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest")).where("refers_to is not null")
-    wanted = scratch.save(revisits.select("refers_to").distinct())
-    originals = scratch.save(originals.join(wanted, "refers_to", "left_semi").dropDuplicates(["refers_to"]))
+    wanted = scratch.save(revisits.select("refers_to", "stated").distinct())
+    originals = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"), "payload_bytes", "payload_digest")
+    originals = scratch.save(originals.join(wanted, ["refers_to", "stated"], "left_semi").distinct())
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return (
-        responses.select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", "refers_to")
-        .unionByName(revisits.join(originals, "refers_to", "left").select(*columns))
-    )
+    return responses.select(*columns).unionByName(revisits.join(originals, ["refers_to", "stated"], "left").select(*columns))
