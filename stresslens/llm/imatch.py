@@ -7,7 +7,8 @@ whatever N is, so the lexicon is one array value of bounded size.  A
 document's terms inside the lexicon, sorted and distinct, are hashed once for
 each randomised lexicon: in each of ``FAMILIES`` families the lexicon is
 halved ``LEVELS`` times by the bits of the terms' hashes, and every half
-gives one hash.  A document with few lexicon terms uses all of its terms.
+gives one hash.  One more hash, of all distinct terms, tells apart texts
+without any term of the lexicon.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from stresslens.llm.quality import let, words_of
 #: Share of documents that hold a term of the lexicon: at least, at most.
 LOW, HIGH = 0.01, 0.2
 FAMILIES, LEVELS = 6, 10
-#: Documents with fewer lexicon terms than this fall back on all their terms.
-FEW = 4
 
 
 def terms_of(text: Column) -> Column:
@@ -39,13 +38,11 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return band.agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
-def known_terms(inside: Column, terms: Column) -> Column:
-    """The document's terms inside the lexicon (sorted, as the lexicon is); all its terms, sorted, if those are few."""
-    return F.when(F.size(inside) < FEW, F.array_sort(terms)).otherwise(inside)
+def fingerprint(terms: Column, inside: Column) -> Column:
+    """The hash of all distinct terms, and ``FAMILIES`` * ``LEVELS`` + 1 of those inside the lexicon.
 
-
-def fingerprint(known: Column) -> Column:
-    """``FAMILIES`` * ``LEVELS`` + 1 hashes of sorted distinct terms; null where a lexicon has none of them."""
+    ``inside`` is sorted, as the lexicon is.  Null where a lexicon has none of the terms.
+    """
 
     def digest(values: Column) -> Column:
         return F.when(F.size(values) > 0, F.xxhash64(values))
@@ -55,10 +52,10 @@ def fingerprint(known: Column) -> Column:
             bit = lambda t: F.getbit(t, level + k * LEVELS) == 0
             return let(F.filter(acc["terms"], bit), lambda half: F.struct(half.alias("terms"), F.concat(acc["out"], F.array(digest(half))).alias("out")))
 
-        start = F.struct(known.alias("terms"), F.array().cast("array<bigint>").alias("out"))
+        start = F.struct(inside.alias("terms"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, halve, lambda acc: acc["out"])
 
-    return F.concat(F.array(digest(known)), *[family(k) for k in range(FAMILIES)])
+    return F.concat(F.array(digest(F.array_sort(terms)), digest(inside)), *[family(k) for k in range(FAMILIES)])
 
 
 def as_text(hashes: Column) -> Column:
@@ -84,21 +81,24 @@ def fingerprints(docs: DataFrame, lexicon_table: DataFrame | None = None) -> Dat
     terms = (scratch.save(lexicon(docs)) if lexicon_table is None else lexicon_table).scalar()
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), terms_of(body).alias("terms"))
-    rows = rows.select("row", F.array_intersect(terms, F.col("terms")).alias("inside"), "terms")
-    return rows.select("row", fingerprint(known_terms(F.col("inside"), F.col("terms"))).alias("hashes"))
+    rows = rows.select("row", "terms", F.array_intersect(terms, F.col("terms")).alias("inside"))
+    return rows.select("row", fingerprint(F.col("terms"), F.col("inside")).alias("hashes"))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next smaller doc_id of ``ids(doc_id)``, the largest for the smallest.
+    """(doc_id, next_id) for each distinct doc_id of ``ids``: the next smaller one, the largest for the smallest.
 
-    Ids are dealt to ranges and sorted there; only the ends of the ranges,
-    one row for each, meet in one task.
+    A null is one more id, below all others.  Ids are dealt to ranges and
+    sorted there; only the ends of the ranges, one row for each, meet in one
+    task.
     """
     spark = ids.sparkSession
-    dealt = ids.select("doc_id").where("doc_id is not null").distinct().repartitionByRange(spark.sparkContext.defaultParallelism * 4, F.desc("doc_id"))
+    down = F.col("doc_id").desc_nulls_last()
+    dealt = ids.select("doc_id").distinct().repartitionByRange(spark.sparkContext.defaultParallelism * 4, down)
     ranges = scratch.save(dealt.select("doc_id", F.spark_partition_id().alias("part")))
-    ends = ranges.groupBy("part").agg(F.max("doc_id").alias("top"))
+    top = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    ends = ranges.groupBy("part").agg(F.max(top).alias("top"))
     follow = Window.orderBy(F.desc("top"))
     ends = scratch.save(ends.select("part", F.coalesce(F.lead("top").over(follow), F.first("top").over(follow)).alias("next_top")))
-    inside = F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.desc("doc_id")))
-    return ranges.select("doc_id", "part", inside.alias("inside")).join(ends, "part").select("doc_id", F.coalesce("inside", "next_top").alias("next_id"))
+    inside = F.lead(top).over(Window.partitionBy("part").orderBy(down))
+    return ranges.select("doc_id", "part", inside.alias("inside")).join(ends, "part").select("doc_id", F.coalesce("inside", "next_top")["doc_id"].alias("next_id"))

@@ -24,27 +24,38 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text: the last third replaced by the next text's beginning."""
+    """Fingerprints of every text and of its edited text: the last third replaced by the next text's beginning.
+
+    Every row gives one row.  The next document is that of the next smaller
+    doc_id; a null doc_id is below all others and counts as one document.
+    Where a doc_id is repeated, the text with the smallest hash stands for it
+    as a next document.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lexicon = scratch.save(imatch.lexicon(docs))
     follow = scratch.save(imatch.next_ids(docs))
+    known = lambda c, name: (F.coalesce(c, F.lit(0)).alias(name), c.isNull().alias(f"{name}_null"))
     # ids and lengths meet first, so that a text is shuffled once for its beginning
-    lengths = docs.select("doc_id", F.floor(F.length("text") / 3).cast("int").alias("third"))
-    wanted = follow.join(lengths, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "third")
-    heads = docs.join(wanted, "doc_id").select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, third)").alias("head"))
-    both = docs.join(heads, "doc_id").select(
-        "doc_id", "text", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), "head").alias("edited")
+    lengths = docs.select(*known(F.col("doc_id"), "id"), F.floor(F.length("text") / 3).cast("int").alias("third")).groupBy("id", "id_null").agg(F.max("third").alias("third"))
+    wanted = follow.select(*known(F.col("doc_id"), "id"), "next_id").join(lengths, ["id", "id_null"])
+    wanted = wanted.select(F.col("id").alias("for"), F.col("id_null").alias("for_null"), "third", *known(F.col("next_id"), "id"))
+    rows = docs.select(*known(F.col("doc_id"), "id"), "text")
+    heads = rows.join(wanted, ["id", "id_null"]).select("for", "for_null", F.expr("substring(text, 1, third)").alias("head"), F.xxhash64("text").alias("h"))
+    heads = heads.groupBy("for", "for_null").agg(F.min_by("head", "h").alias("head")).withColumnsRenamed({"for": "id", "for_null": "id_null"})
+    both = rows.join(heads, ["id", "id_null"]).select(
+        "id", "id_null", "text", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("substring(head, 1, cast(floor(length(text) / 3) as int))")).alias("edited")
     )
     prints = both.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "id", "id_null", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         imatch.terms_of(F.col("text")).alias("terms"), imatch.terms_of(F.col("edited")).alias("edited_terms"),
     )
     inside = [F.array_intersect(lexicon.scalar(), F.col(c)).alias(f"{c}_inside") for c in ("terms", "edited_terms")]
-    hashed = [imatch.fingerprint(imatch.known_terms(F.col(f"{c}_inside"), F.col(c))) for c in ("terms", "edited_terms")]
-    prints = scratch.save(prints.select("*", *inside).select("doc_id", "n_chars", "edited_sha256", hashed[0].alias("own"), hashed[1].alias("edited")))
-    others = prints.select(F.col("doc_id").alias("next_id"), F.col("own").alias("other")).join(follow, "next_id").select("doc_id", "other")
-    return prints.join(others, "doc_id").select(
-        "doc_id", "n_chars", "edited_sha256",
+    hashed = [imatch.fingerprint(F.col(c), F.col(f"{c}_inside")) for c in ("terms", "edited_terms")]
+    prints = scratch.save(prints.select("*", *inside).select("id", "id_null", "h", "n_chars", "edited_sha256", hashed[0].alias("own"), hashed[1].alias("edited")))
+    others = prints.groupBy("id", "id_null").agg(F.min_by("own", "h").alias("other"))
+    others = others.join(wanted.select("id", "id_null", "for", "for_null"), ["id", "id_null"]).select(F.col("for").alias("id"), F.col("for_null").alias("id_null"), "other")
+    return prints.join(others, ["id", "id_null"]).select(
+        F.when(~F.col("id_null"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         imatch.as_text(F.col("own")).alias("fingerprint"), imatch.as_text(F.col("edited")).alias("edited_fingerprint"),
         imatch.likeness(F.col("own"), F.col("edited")).alias("near_edited"), imatch.likeness(F.col("own"), F.col("other")).alias("near_next"),
     )
