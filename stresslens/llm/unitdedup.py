@@ -2,13 +2,13 @@
 
 A line is the first unit: every later equal line goes, however short.
 Passages are also pasted into the middle of lines, where no two lines are
-equal, so lines are cut further at content-defined places: after each word pair whose hash is the smallest of some window of
-``WINDOW`` neighbours.  Such cuts depend on the words around them only, so
+equal, so lines are cut further at content-defined places: after each word
+pair whose hash is the smallest of some window of ``WINDOW`` neighbours.  Such cuts depend on the words around them only, so
 equal passages are cut alike wherever they stand, and every repeat of
 ``2 * WINDOW`` words more than ``least_words`` has that many in equal units.
 
 Units are normalised (ASCII case folded, white space dropped), grouped by
-digest over all documents, lines with lines and cuts with cuts, and the
+their 128-bit digest over all documents, lines with lines and cuts with cuts, and the
 earliest by (doc_id, position) is kept.  Later lines are removed, and runs of
 later cuts with at least ``least_words`` words; spans that meet are merged.
 """
@@ -29,6 +29,7 @@ WINDOW = 12
 LEAST_WORDS = 26
 #: Bits of a unit's kind: a cut, a whole line, or (a line without cuts) both.
 CUT, LINE = 1, 2
+_SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -58,14 +59,15 @@ def _firsts(ends: np.ndarray) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, start, stop, n_words, digest, kind) of each cut and line.
+    """(doc_id, word, start, stop, n_words, digest, second, kind) of each cut and line.
 
-    word is the place of the unit's first word; start and stop are bytes of the text.
+    word is the place of the unit's first word; start and stop are bytes of
+    the text; digest and second are the two halves of the unit's digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             held = 0
@@ -83,9 +85,10 @@ def units(docs: DataFrame) -> DataFrame:
                 for first, end, kind in ((firsts, ends, np.where(whole, CUT | LINE, CUT)), (line_firsts, line_ends, np.full(len(line_ends), LINE))):
                     counts = end - first + 1
                     place = (np.arange(len(hashes)) - np.repeat(first, counts)).astype(np.uint64)
-                    digests = mix(np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), first) + counts.astype(np.uint64))
+                    placed = hashes + place * np.uint64(0x9E3779B97F4A7C15)
+                    digests = [mix(np.add.reduceat(mix(placed ^ seed), first) + counts.astype(np.uint64)).view(np.int64) for seed in _SEEDS]
                     stops = np.append(starts[first[1:]], len(text))
-                    parts = (np.full(len(end), ids[row], np.int64), first, starts[first], stops, counts, digests.view(np.int64), kind)
+                    parts = (np.full(len(end), ids[row], np.int64), first, starts[first], stops, counts, *digests, kind)
                     used = cut_up if end is line_ends else slice(None)
                     for column, part in zip(out, parts, strict=True):
                         column.append(part[used])
@@ -94,17 +97,17 @@ def units(docs: DataFrame) -> DataFrame:
                         break
                 if held > 1 << 17:
                     yield _batch(out)
-                    out, held = [[] for _ in range(7)], 0
+                    out, held = [[] for _ in range(8)], 0
             if held:
                 yield _batch(out)
 
     def _batch(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int8())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int8())
         columns = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "start", "stop", "n_words", "digest", "kind"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "start", "stop", "n_words", "digest", "second", "kind"])
 
     usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return usable.mapInArrow(run, "doc_id bigint, word int, start int, stop int, n_words int, digest bigint, kind tinyint")
+    return usable.mapInArrow(run, "doc_id bigint, word int, start int, stop int, n_words int, digest bigint, second bigint, kind tinyint")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -117,13 +120,14 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     same text each is taken for the document, so spans come once.  An empty
     table gives no rows.
     """
-    table = scratch.save(units(docs))
+    table = units(docs)  # read twice; hashing a text again costs less than keeping its units
     rank = F.struct("doc_id", "word")
     is_cut, is_line = (F.col("kind").bitwiseAND(bit) != 0 for bit in (CUT, LINE))
-    ends = [pick(F.when(kind, rank)).alias(f"{pick.__name__}_{name}") for name, kind in (("cut", is_cut), ("line", is_line)) for pick in (F.min, F.max)]
-    firsts = scratch.save(table.groupBy("digest").agg(*ends).where("min_cut <> max_cut or min_line <> max_line").select("digest", "min_cut", "min_line"))
+    found = [agg for name, kind in (("cut", is_cut), ("line", is_line)) for agg in (F.min(F.when(kind, rank)).alias(f"min_{name}"), F.count_if(kind).alias(f"{name}s"))]
+    firsts = table.groupBy("digest", "second").agg(*found).where("cuts > 1 or lines > 1")
+    firsts = scratch.save(firsts.select("digest", "second", "min_cut", "min_line"))
     later = scratch.save(
-        table.join(firsts, "digest")
+        table.join(firsts, ["digest", "second"])
         .select(
             "doc_id", "word", "start", "stop", "n_words",
             F.when(is_cut & (rank > F.col("min_cut")), F.col("min_cut.doc_id")).alias("cut_doc"),
@@ -164,8 +168,8 @@ def _kept(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, tail)
 
 
-def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without later repeats: its columns with ``text`` cleaned, and ``segments``.
+def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS, segments: str = "segments") -> DataFrame:
+    """``docs`` without later repeats: its columns with ``text`` cleaned, and ``segments`` (replaced if there is one).
 
     segments maps the cleaned text to the original: the byte ranges kept, in
     order.  Documents without repeats (and null texts) are unchanged.
@@ -178,4 +182,5 @@ def dedup_units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = rows.select("row", _kept(F.col("row.text"), F.coalesce("spans", none)).alias("segments"))
     joined = F.decode(F.aggregate("segments", F.lit(b""), lambda acc, s: F.concat(acc, F.substring(raw, s["start"] + 1, s["stop"] - s["start"]))), "UTF-8")
     text = F.when(F.col("row.text").isNotNull(), joined)
-    return rows.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], "segments")
+    kept = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c.lower() != segments.lower()]
+    return rows.select(*kept, F.col("segments").alias(segments))
