@@ -25,7 +25,7 @@ SHORTEST_VALUE = 12
 #: Candidates of the models, and the log-likelihood ratio (nats) that makes one a secret.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MARGIN = 12.0
-#: Labelled samples: documents for ordinary words (expected number), random strings of each alphabet.
+#: Labelled samples: distinct texts for ordinary words (at most), random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_RANDOM = 400, 400
 #: Characters of candidates in the models' order; 0 stands before the first.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -90,11 +90,15 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
 
     Random: values that the base patterns find in the sample of documents and
     digests written in the usual alphabets.  Ordinary: the sample's words of
-    letters, alone and joined in pairs the way identifiers join words.
+    letters, alone and joined in pairs the way identifiers join words.  The
+    sample is the ``SAMPLE_DOCS`` distinct texts with the smallest hashes; a
+    first cut by hash keeps what is sorted small, and copies of a text count
+    once however many there are.
     """
     spark: SparkSession = docs.sparkSession
-    share = docs.agg(F.greatest(F.lit(1), F.floor(F.count("*") / SAMPLE_DOCS)).alias("n")).scalar()
-    sample = docs.where(F.pmod(F.xxhash64("text"), share) == 0).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    share = docs.agg(F.greatest(F.lit(1), F.floor(F.count("*") / (8 * SAMPLE_DOCS))).alias("n")).scalar()
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).where(F.pmod("h", share) == 0)
+    sample = texts.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS).select("text")
     words = F.filter(F.array_distinct(words_of(F.col("text"))), lambda w: w.rlike("^[A-Za-z]{3,}$"))
     mark = F.array(F.lit("_"), F.lit("-"), F.lit(""), F.lit("/"))
     found = sample.select(F.transform(base_spans(F.col("text")), lambda s: F.when(s["kind"] == 0, F.regexp_extract(s["hit"], ASSIGN, 2)).otherwise(s["hit"])).alias("strings"))
