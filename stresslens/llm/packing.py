@@ -176,10 +176,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
 
     ``pieces`` is read twice and should be a stored table.  Ids of sequences
     are any numbers; offsets in a sequence are gapless from 0.  Pieces that
-    repeat are packed each; an empty table gives no rows.
+    repeat are packed each; an empty table gives no rows.  Groups are dealt by
+    each row's place in the stored table, so that no id, null or repeated,
+    gathers in one.
     """
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = best_two_fit(frame["length"].to_numpy(), capacity)
