@@ -4,8 +4,9 @@ Each document has a 60-bit hash of its id.  A source that must give a part
 of its words takes the documents below a threshold.  The threshold is found
 digit by digit: sizes are summed by source and hash digit, the digit in
 which the running sum crosses the budget is the boundary bucket, and only
-its documents enter the next histogram.  The passes read a narrow table of
-(source, hash, size) and leave one document at the boundary at most.
+its documents are written for the next histogram.  So a narrow table of
+(source, hash, size) is read twice, a 4096th of it for the third digit, and
+so on; one document at the boundary at most is left.
 """
 
 from __future__ import annotations
@@ -71,15 +72,19 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """For each source the hash below which (cut, exclusive) a document is used once more.
 
     ``sized(source, hash, size)``.  Nested histograms: each level sums the
-    boundary bucket of the level above by the next digit of the hash.  At
-    the last level the bucket is a single hash value, which is in if that
-    brings the sum nearer to the budget.
+    boundary bucket of the level above, written anew, by the next digit of the
+    hash.  At the last level the bucket is a single hash value, which is in if
+    that brings the sum nearer to the budget.
     """
-    state = scratch.save(targets.select("source", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("low")))
+    rows = sized
+    state = scratch.save(targets.select("source", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("low")).where("rest > 0"))
     for shift in range(BITS - DIGIT, -1, -DIGIT):
-        floor = F.floor(F.shiftright("hash", shift + DIGIT)) == F.floor(F.shiftright("low", shift + DIGIT))
-        joined = sized.withColumnRenamed("source", "s").join(state, F.col("s").eqNullSafe(F.col("source")))
-        digits = joined.where(floor & (F.col("rest") > 0)).groupBy("source", "rest", "low", F.shiftright("hash", shift).alias("digit")).agg(F.sum("size").alias("size"))
+        joined = rows.withColumnRenamed("source", "s").join(state, F.col("s").eqNullSafe(F.col("source")))
+        if shift < BITS - DIGIT:
+            boundary = joined.where(F.shiftright("hash", shift + DIGIT) == F.shiftright("low", shift + DIGIT))
+            joined = scratch.save(boundary.select("source", "rest", "low", "hash", "size"))
+            rows = joined.select("source", "hash", "size")
+        digits = joined.groupBy("source", "rest", "low", F.shiftright("hash", shift).alias("digit")).agg(F.sum("size").alias("size"))
         ordered = Window.partitionBy("source").orderBy("digit")
         running = digits.select("*", (F.sum("size").over(ordered) - F.col("size")).alias("under"))
         crossed = running.where((F.col("under") <= F.col("rest")) & (F.col("rest") < F.col("under") + F.col("size")))
