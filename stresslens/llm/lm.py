@@ -163,6 +163,16 @@ def sent_terms(table: DataFrame, shards: int) -> DataFrame:
 _RETURNED = "block bigint, shard int, word_totals binary, word_own binary, pair_totals binary, pair_own binary, tokens array<bigint>, types bigint"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or 8 if they need them; the first byte says which."""
+    narrow = not len(counts) or counts.max() < 1 << 32
+    return (b"4" + counts.astype(np.uint32).tobytes()) if narrow else (b"8" + counts.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if data[:1] == b"4" else np.int64, offset=1).astype(np.int64)
+
+
 def _sums(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray]:
     """Counts by term, and in the order in which they were sent each entry's total and its fold's; counts by fold."""
     every, n = np.concatenate(codes), np.concatenate(counts).astype(float)
@@ -172,7 +182,7 @@ def _sums(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     _, own = np.unique(every, return_inverse=True)
     parts = (totals[inverse], np.bincount(own, weights=n).astype(np.int64)[own])
     by_fold = np.bincount((every & np.uint64(FOLDS - 1)).astype(np.int64), weights=n, minlength=FOLDS).astype(np.int64)
-    return totals, *([x.tobytes() for x in np.split(part, ends)] for part in parts), by_fold
+    return totals, *([_packed(x) for x in np.split(part, ends)] for part in parts), by_fold
 
 
 def _add_up(group: pa.Table) -> pa.Table:
@@ -200,7 +210,7 @@ _COUNTS = ("word_totals", "word_own", "pair_totals", "pair_own")
 def _joined(block: pa.Table, returned: pa.Table) -> tuple:
     """A block with its words' and pairs' totals and those of their folds."""
     rows = sorted(zip(*(returned.column(n).to_pylist() for n in ("shard", *_COUNTS)), strict=True))
-    return _Block(block.to_pylist()[0]), *(np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in range(1, 5))
+    return _Block(block.to_pylist()[0]), *(np.concatenate([_unpacked(r[k]) for r in rows]) for k in range(1, 5))
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:

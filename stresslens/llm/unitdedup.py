@@ -29,7 +29,6 @@ WINDOW = 12
 LEAST_WORDS = 26
 #: Bits of a unit's kind: a cut, a whole line, or (a line without cuts) both.
 CUT, LINE = 1, 2
-_SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -85,8 +84,9 @@ def units(docs: DataFrame) -> DataFrame:
                 for first, end, kind in ((firsts, ends, np.where(whole, CUT | LINE, CUT)), (line_firsts, line_ends, np.full(len(line_ends), LINE))):
                     counts = end - first + 1
                     place = (np.arange(len(hashes)) - np.repeat(first, counts)).astype(np.uint64)
-                    placed = hashes + place * np.uint64(0x9E3779B97F4A7C15)
-                    digests = [mix(np.add.reduceat(mix(placed ^ seed), first) + counts.astype(np.uint64)).view(np.int64) for seed in _SEEDS]
+                    placed = mix(hashes + place * np.uint64(0x9E3779B97F4A7C15))
+                    sums = (np.add.reduceat(x, first) for x in (placed, placed * placed))
+                    digests = [mix(x + counts.astype(np.uint64)).view(np.int64) for x in sums]
                     stops = np.append(starts[first[1:]], len(text))
                     parts = (np.full(len(end), ids[row], np.int64), first, starts[first], stops, counts, *digests, kind)
                     used = cut_up if end is line_ends else slice(None)
