@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import clamp, level_word, sync_bonus
+from stresslens.operators.ordered import running_sums
 
 
 def weighted_fusion(scores: DataFrame, weights: DataFrame, by: str = "d") -> DataFrame:
@@ -100,17 +101,15 @@ def _counts(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame
 def roc_auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Chance that a positive outranks a negative, ties one half; null without both.  ``by``: groups, e.g. candidates."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = _counts(rows, score, label, by).withColumn("below", F.coalesce(F.sum("neg").over(order), F.lit(0)))
-    wins, pairs = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")
-    return below.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+    counts = running_sums(_counts(rows, score, label, by), by, [F.col("s")], {"upto": F.col("neg")})
+    wins, pairs = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")
+    return counts.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
 
 
 def average_precision(rows: DataFrame, score: str, label: str, tie: str, by: list[str] | None = None) -> DataFrame:
     """Mean precision at each positive in descending order of score, ties by ``tie``."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.desc(score), tie)
-    ranked = rows.withColumns({"hits": F.sum(F.col(label).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(order)})
+    ranked = running_sums(rows.select(*by, score, label, tie), by, [F.desc(score), F.col(tie)], {"hits": F.col(label).cast("long"), "rank": F.lit(1).cast("long")})
     return ranked.groupBy(*by).agg((F.sum(F.when(F.col(label) == 1, F.col("hits") / F.col("rank"))) / F.count_if(F.col(label) == 1)).alias("ap"))
 
 

@@ -1,18 +1,22 @@
 """Rolling statistics over ordered series, in long form (key, date, value).
 
-Every window is partitioned by the series key and frames never reach past the
-current row, so no result depends on later observations.  A series of many
-rows is one task's work; series are independent of each other.
+No frame reaches past the current row, so no result depends on later
+observations.  Look-backs are computed in pieces of a series with a margin
+of the rows before, so a long series is the work of many tasks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import anchor, clamp, tail_score, z_risk
+from stresslens.operators.ordered import last_so_far, placed
 
 #: Observations that a rolling sample needs.
 LEAST = 10
@@ -51,53 +55,118 @@ def by_date(key: str = "key", date: str = "d") -> Window:
     return Window.partitionBy(key).orderBy(date)
 
 
-def sample(x: Column, profile: Profile, key: str = "key", date: str = "d") -> Column:
-    """The values strictly before the row inside the look-back, nulls left out."""
-    return F.collect_list(x).over(by_date(key, date).rowsBetween(-(profile.lookback - 1), -1))
-
-
-def percentile_rank(x: Column, values: Column) -> Column:
-    """Share (percent) of ``values`` up to x; null for short samples."""
-    hits = F.size(F.filter(values, lambda v: v <= x))
-    return F.when(F.size(values) >= LEAST, 100.0 * hits / F.size(values))
-
-
-def median_of(sorted_values: Column) -> Column:
-    n = F.size(sorted_values)
-    pick = lambda i: F.get(sorted_values, i.cast("int"))
-    return (pick(F.floor((n - 1) / 2)) + pick(F.floor(n / 2))) / 2.0
+#: Rows of a series that one task takes at once, at least.
+PIECE = 8192
+
+
+class _Window:
+    """The values of a sliding window, in order of size."""
+
+    def __init__(self):
+        self.sorted: list[float] = []
+
+    def add(self, x: float) -> None:
+        if x == x:
+            insort(self.sorted, x)
+
+    def drop(self, x: float) -> None:
+        if x == x:
+            del self.sorted[bisect_left(self.sorted, x)]
+
+    def share_upto(self, x: float) -> float:
+        return 100.0 * bisect_right(self.sorted, x) / len(self.sorted)
+
+
+def _statistics(v: np.ndarray, first: int, lookback: int) -> dict[str, list]:
+    """n, pct, med, mad, sd and z of each value from position ``first`` against the look-back strictly before it."""
+    past, out = _Window(), {n: [] for n in ("n", "pct", "med", "mad", "sd", "z")}
+    for i, x in enumerate(v):
+        if i >= lookback:
+            past.drop(v[i - lookback])
+        if i >= first:
+            n = len(past.sorted)
+            pct = med = mad = sd = z = None
+            if n:
+                values = np.array(past.sorted)
+                med, sd = (past.sorted[(n - 1) // 2] + past.sorted[n // 2]) / 2.0, float(values.std())
+                mad = float(np.median(np.abs(values - med)))
+                if n >= LEAST and x == x:
+                    pct = past.share_upto(x)
+                    z = (x - med) / (1.4826 * mad) if mad > 0 else (x - med) / sd if sd > 0 else 0.0
+            for name, value in zip(out, (n, pct, med, mad, sd, z), strict=True):
+                out[name].append(value)
+        past.add(x)
+    return out
+
+
+def _delta_shares(v: np.ndarray, place: np.ndarray, first: int, lookback: int, steps: int) -> list[float | None]:
+    """Percentile of the change over ``steps`` rows among the changes of the look-back before it."""
+    change = np.full(len(v), np.nan)
+    change[steps:] = v[steps:] - v[:-steps]
+    past, out = _Window(), []
+    for i, x in enumerate(change):
+        if i >= lookback:
+            past.drop(change[i - lookback])
+        if i >= first:
+            out.append(past.share_upto(x) if place[i] > steps + 5 and x == x and past.sorted else None)
+        past.add(x)
+    return out
+
+
+def _by_pieces(series: DataFrame, profile: Profile, deltas: dict[str, int], whole: bool) -> DataFrame:
+    """``series`` with rolling statistics (if ``whole``) and percentiles of changes, computed in pieces of each series.
+
+    Rows get their place in the series; a piece of consecutive places also
+    gets the rows before it that its look-back reaches, so a long series is
+    the work of many tasks.
+    """
+    margin = profile.lookback + max([0, *deltas.values()])
+    size = max(PIECE, margin)
+    rows = placed(series, ["key"], [F.col("d").asc()], "_place")
+    piece = F.floor((F.col("_place") - 1) / size)
+    near_end = F.col("_place") > (piece + 1) * size - margin
+    pieces = F.when(near_end, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    dealt = rows.withColumn("_own", piece).withColumn("_piece", F.explode(pieces))
+
+    added = [f"{n} {'int' if n == 'n' else 'double'}" for n in ("n", "pct", "med", "mad", "sd", "z")] if whole else []
+    added += [f"`{n}` double" for n in deltas]
+    names = [f.name for f in series.schema.fields]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_place")
+        v, place = frame["v"].to_numpy(float), frame["_place"].to_numpy()
+        first = int((frame["_own"] < frame["_piece"]).sum())
+        out = frame.iloc[first:][names].reset_index(drop=True)
+        columns = _statistics(v, first, profile.lookback) if whole else {}
+        columns |= {n: _delta_shares(v, place, first, profile.lookback, k) for n, k in deltas.items()}
+        for n, values in columns.items():
+            out[n] = pd.array(values, "Int32") if n == "n" else pd.Series(values, dtype=float)
+        return out
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields), *added])
+    found = dealt.groupBy("key", "_piece").applyInPandas(run, kinds)
+    return found.select(*names, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c != "n" else F.col(c) for c in found.columns if c not in names])
 
 
 def rolling(series: DataFrame, profile: Profile) -> DataFrame:
     """``series(key, d, v)`` with n, pct, med, mad, sd and robust z of v against its own past.
 
-    z is (v - med) / (1.4826 mad); a zero mad falls back on the population
-    deviation, a zero deviation gives 0, and short samples give null.
+    The past is the look-back strictly before the row, missing values left
+    out.  z is (v - med) / (1.4826 mad); a zero mad falls back on the
+    population deviation, a zero deviation gives 0, and short samples give
+    null.
     """
-    frame = by_date().rowsBetween(-(profile.lookback - 1), -1)
-    out = series.select("*", F.array_sort(sample(F.col("v"), profile)).alias("past"), F.stddev_pop("v").over(frame).alias("sd"))
-    out = out.withColumn("med", median_of(F.col("past")))
-    out = out.withColumn("mad", median_of(F.array_sort(F.transform("past", lambda x: F.abs(x - F.col("med"))))))
-    enough = F.size("past") >= LEAST
-    z = F.when(F.col("mad") > 0, (F.col("v") - F.col("med")) / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, (F.col("v") - F.col("med")) / F.col("sd")).otherwise(F.lit(0.0))
-    return out.withColumns({"n": F.size("past"), "pct": percentile_rank(F.col("v"), F.col("past")), "z": F.when(enough, z)}).drop("past")
+    return _by_pieces(series, profile, {}, True)
 
 
 def delta_percentile(series: DataFrame, steps: int, profile: Profile, out: str) -> DataFrame:
     """Percentile of the change over ``steps`` rows among the changes of the look-back; needs more than steps + 5 rows."""
-    change, place = f"{out}_change", f"{out}_row"
-    moved = series.withColumns({change: F.col("v") - F.lag("v", steps).over(by_date()), place: F.row_number().over(by_date())})
-    past = sample(F.col(change), profile)
-    ranked = moved.withColumn(out, past)
-    rank = F.when(F.size(out) > 0, 100.0 * F.size(F.filter(out, lambda v: v <= F.col(change))) / F.size(out))
-    return ranked.withColumn(out, F.when((F.col(place) > steps + 5) & F.col(change).isNotNull(), rank)).drop(place, change)
+    return _by_pieces(series, profile, {out: steps}, False)
 
 
 def dynamic_metric(series: DataFrame, profile: Profile, thresholds: tuple[float, float, float]) -> DataFrame:
     """``series`` with level, deviation, velocity and score: 0.45, 0.30 and 0.25 of the three, null for short samples."""
-    out = rolling(series, profile)
-    out = delta_percentile(out, profile.short, profile, "pct_short")
-    out = delta_percentile(out, profile.medium, profile, "pct_medium")
+    out = _by_pieces(series, profile, {"pct_short": profile.short, "pct_medium": profile.medium}, True)
     none = lambda c: F.coalesce(c, F.lit(0.0))
     out = out.withColumns({
         "level": anchor("v", *thresholds),
@@ -124,11 +193,10 @@ def asof_backward(probes: DataFrame, series: DataFrame, keys: DataFrame, value:
     """For each probe date ``probes(d)`` and key of ``keys(key)`` the last row of ``series`` up to that date.
 
     The row is carried as a struct, so a row whose value is null is still the
-    last one and no older value takes its place.  One union and one window
-    by key; keys without a row so far give nulls.
+    last one and no older value takes its place.  One union in ranges of
+    (key, date); keys without a row so far give nulls.
     """
     seen = series.select("key", "d", F.struct(*value).alias("row"), F.lit(0).alias("probe"))
     asked = keys.crossJoin(probes.select("d")).select("key", "d", F.lit(None).cast(seen.schema["row"].dataType).alias("row"), F.lit(1).alias("probe"))
-    order = Window.partitionBy("key").orderBy("d", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    both = seen.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(order))
+    both = last_so_far(seen.unionByName(asked), ["key"], [F.col("d"), F.col("probe")], "row")
     return both.where("probe = 1").select("key", "d", *[F.col(f"row.{c}").alias(c) for c in value])
