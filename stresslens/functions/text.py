@@ -43,14 +43,18 @@ def lexical_score(text: Column | str, phrase: str, terms: list[str]) -> Column:
     return score
 
 
+#: Fixed value: a publisher at the end of a title.
+TITLE_SUFFIX = r"\s+-\s+([^-]{1,80})$"
+
+
 def canonical_title(title: Column | str) -> Column:
     """The title without a trailing `` - Publisher`` of up to 80 characters."""
-    return F.trim(F.regexp_replace(_col(title), r"\s+-\s+[^-]{1,80}$", ""))
+    return F.trim(F.regexp_replace(_col(title), TITLE_SUFFIX, ""))
 
 
 def publisher(title: Column | str, source: Column | str) -> Column:
     """The publisher at the end of a title, else the feed's name."""
-    found = F.regexp_extract(_col(title), r"\s+-\s+([^-]{1,80})$", 1)
+    found = F.regexp_extract(_col(title), TITLE_SUFFIX, 1)
     return F.coalesce(F.nullif(F.trim(found), F.lit("")), _col(source))
 
 
@@ -69,9 +73,22 @@ def event_id(topic: Column | str, doc_id: Column | str) -> Column:
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
+def numeric_entities(text: Column) -> Column:
+    """The text with decimal and hexadecimal character references resolved."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|.[^&]*"), F.lit(0))
+
+    def resolve(p: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
+        code = F.when(p.rlike("^&#[xX][0-9a-fA-F]{1,6};$"), hexadecimal).when(p.rlike("^&#[0-9]{1,7};$"), F.regexp_extract(p, "^&#([0-9]+);$", 1)).cast("int")
+        return F.when(code.isNull() | (code > 0x10FFFF), p).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, resolve), "")).otherwise(text)
+
+
 def html_text(html: Column | str) -> Column:
-    """Text of a page: tags replaced by blanks, common entities resolved, white space collapsed."""
+    """Text of a page: tags replaced by blanks, common and numeric entities resolved, white space collapsed."""
     out = F.regexp_replace(_col(html), r"<[^>]+>", " ")
+    out = numeric_entities(out)
     for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
@@ -99,12 +116,48 @@ def lexicon_matches(text: Column | str, lexicon: dict[str, list[str]], bounded:
     return F.filter(F.array(*hits), lambda k: k.isNotNull())
 
 
-def source_class(source_id: Column | str, trust: Column | str) -> Column:
-    """official, official_discovery_query or news_report."""
-    s = _col(source_id)
-    return F.when(s.rlike("^(nato|eu)_.*query"), "official_discovery_query").when(_col(trust) >= 0.95, "official").otherwise("news_report")
-
-
 def embedding_text(*parts: Column | str) -> Column:
     """The text that is embedded: parts that are there, one a line."""
     return F.concat_ws("\n", *[_col(p) for p in parts])
+
+
+def truncated(text: Column | str, most: int) -> Column:
+    """The first ``most`` characters: 1200 for summaries, 140 for labels."""
+    return F.substring(_col(text), 1, most)
+
+
+def parsed_time(text: Column | str) -> Column:
+    """An ISO time as UTC; missing or unreadable ones are the epoch."""
+    return F.coalesce(F.try_to_timestamp(_col(text)), F.timestamp_seconds(F.lit(0)))
+
+
+def language(locale: Column | str, default: str = "en") -> Column:
+    """The language of a locale such as ``ja-JP``."""
+    return F.coalesce(F.nullif(F.lower(F.split_part(F.replace(_col(locale), F.lit("_"), F.lit("-")), F.lit("-"), F.lit(1))), F.lit("")), F.lit(default))
+
+
+def trust(value: Column | str, default: float = 0.72) -> Column:
+    """The trust of a source; sources without one get the default."""
+    return F.coalesce(_col(value).cast("double"), F.lit(default))
+
+
+def query_url(template: str, query: Column | str) -> Column:
+    """A feed's address: ``{query}`` of the template replaced by the encoded query."""
+    before, _, after = template.partition("{query}")
+    return F.concat(F.lit(before), F.url_encode(_col(query)), F.lit(after))
+
+
+def float_bytes(vector: Column | str) -> Column:
+    """A vector in 4-byte precision."""
+    return _col(vector).cast("array<float>")
+
+
+def expand_aliases(found: Column, aliases: dict[str, list[str]]) -> Column:
+    """Query tokens, followed by those that the aliases of a token or phrase add, once each."""
+    added = [F.when(F.array_contains(found, key), F.array(*map(F.lit, values))).otherwise(F.array().cast("array<string>")) for key, values in sorted(aliases.items())]
+    return F.array_distinct(F.concat(found, *added))
+
+
+def flags(**conditions: Column) -> Column:
+    """The names of the conditions that hold, in the order given."""
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]), lambda n: n.isNotNull())

@@ -7,37 +7,23 @@ real gaps.  Results are rounded once, at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
-from stresslens.operators import graph, mlp, news, retrieval, scoring, series
+from stresslens.operators import enrich, graph, mlp, news, retrieval, scoring, series
+from stresslens.plans import enrich_catalog, registry
 from stresslens.streaming import ingest
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
+_register, _t = registry.register, registry.table
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return dict(registry.SQL)
 
 
 def _r(*columns: str, digits: int = 6):
@@ -364,13 +350,11 @@ def q_lexicon_match(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic) AS rn, max(sim) OVER (PARTITION BY vec_id) AS best FROM s)
 SELECT vec_id, topic, sim FROM r WHERE (rn <= 3 AND sim >= 0.3) OR (rn = 1 AND best < 0.3)""")
 def q_topic_top3(spark, sf):
-    from pyspark.sql import Window
-
     e = _t(spark, sf, "embeddings")
-    topics = e.where("vec_id < 8").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("e"))
-    sims = e.join(topics).select("vec_id", "topic", F.round(scalars.cosine("embedding", "e"), 6).alias("sim"))
-    ranked = sims.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "topic")))
-    return ranked.where("rn <= 3 and (sim >= 0.3 or rn = 1)").select("vec_id", "topic", "sim")
+    topics = e.where("vec_id < 8").select(F.col("vec_id").alias("topic"), F.col("embedding").alias("vec"))
+    none = F.array().cast("array<bigint>")
+    scored = e.withColumn("topics", enrich.pack_descriptors(topics).scalar())
+    return scored.select("vec_id", F.explode(enrich.chosen_topics(enrich.topic_scores(F.col("embedding"), F.col("topics"), none, 6))).alias("c")).select("vec_id", "c.topic", "c.sim")
 
 
 def _queries(spark, sf, every: int = 100) -> DataFrame:
