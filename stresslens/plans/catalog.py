@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
 from stresslens.operators import enrich, graph, mlp, news, retrieval, scoring, series
-from stresslens.plans import enrich_catalog, registry
+from stresslens.plans import enrich_catalog, registry, search_catalog
 from stresslens.streaming import ingest
 
 _register, _t = registry.register, registry.table
@@ -414,11 +414,11 @@ SELECT qid, id, final, rank::INT AS rank FROM r WHERE rank <= 10"""
 
 
 def _hybrid(spark, sf, every: int) -> DataFrame:
-    queries, rows = retrieval.in_blocks(_queries(spark, sf, every), _t(spark, sf, "embeddings"), id="vec_id")
-    pairs = rows.join(queries, ["qb", "vb"])
-    lex = F.when(F.col("label") == F.col("qid") % 10, 8.0).otherwise(0.0) + F.col("vec_id") % 3
-    rows = pairs.select("qid", F.col("vec_id").alias("id"), lex.alias("lex"), F.round(scalars.cosine("embedding", "q"), 6).alias("sim"))
-    return retrieval.hybrid_rank(rows, 10).select("qid", "id", "final", "rank")
+    here = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("label"), 8.0).otherwise(0.0))
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.concat(here, F.array((F.col("vec_id") % 3).cast("double"))).alias("lv"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("qid") % 10, 1.0).otherwise(0.0))
+    queries = _queries(spark, sf, every).withColumn("lq", F.concat(wanted, F.array(F.lit(1.0))))
+    return retrieval.hybrid_search(queries, rows, 10).select("qid", "id", "final", "rank")
 
 
 @_register(_HYBRID)
