@@ -61,10 +61,18 @@ CONFIDENCE = {"high": 1.0, "medium": 0.85, "low": 0.70}
 FRESHNESS = ((180, 0.15), (90, 0.40), (60, 0.65), (30, 0.85))
 
 
-def evidence_decay(raw: Column | str, confidence: Column | str, age_days: Column | str) -> Column:
-    """Score of a graded finding (0 to 3) after its confidence and its age; a missing age counts as fresh."""
+#: Fixed value: freshness of a finding whose date can't be read.
+UNREADABLE = 0.70
+
+
+def evidence_decay(raw: Column | str, confidence: Column | str, age_days: Column | str, stated: Column | None = None) -> Column:
+    """Score of a graded finding (0 to 3) after its confidence and its age; a missing age counts as fresh.
+
+    ``stated`` is the date as it was written, if it is known: where there is
+    one but no age could be read from it, the finding counts as 0.70 fresh.
+    """
     age = _col(age_days)
-    fresh = F.lit(1.0)
+    fresh = F.lit(1.0) if stated is None else F.when(age.isNull() & stated.isNotNull() & (stated != ""), UNREADABLE).otherwise(F.lit(1.0))
     for days, factor in reversed(FRESHNESS):
         fresh = F.when(age > days, F.lit(factor)).otherwise(fresh)
     grade = F.lit(CONFIDENCE["low"])

@@ -55,3 +55,80 @@ def induced(edges: DataFrame, visited: DataFrame) -> DataFrame:
     """The edges with both ends among ``visited(id)``."""
     ids = visited.select("id")
     return edges.join(ids, edges.src == ids.id, "left_semi").join(ids, F.col("dst") == ids.id, "left_semi")
+
+
+def from_arrays(rows: DataFrame, rel: str, src: tuple[str, Column | str], kind: str, values: str, weight: Column | None = None) -> DataFrame:
+    """Edges from each row to every element of one of its array columns, as nodes of a kind."""
+    w = F.lit(1.0) if weight is None else weight
+    own = F.col(src[1]) if isinstance(src[1], str) else src[1]
+    return edges_of(rows.select(own.alias("_s"), F.explode(values).alias("_v"), w.alias("_w")), rel, (src[0], "_s"), (kind, "_v"), F.col("_w"))
+
+
+def article_graph(articles: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of enriched articles and their events.
+
+    ``articles`` (id, source, event, day, title, topics, indicators, entities,
+    actors, targets, modalities, responses, attributions, channels) and
+    ``events`` (event_id, label, actors, ..., attributions).  Ten relations of
+    articles and events to the other kinds; where both name a node the label
+    of the greatest text wins.
+    """
+    nodes = nodes_of(articles, "article", "id", "title")
+    for kind, column in (("source", "source"), ("day", "day")):
+        nodes = nodes.unionByName(nodes_of(articles.where(F.col(column).isNotNull()), kind, column, column))
+    nodes = nodes.unionByName(nodes_of(events, "event", "event_id", "label"))
+    parts = (("topic", "topics"), ("indicator", "indicators"), ("entity", "entities"), ("actor", "actors"), ("target", "targets"), ("modality", "modalities"), ("response", "responses"), ("indicator", "channels"))
+    for kind, column in parts:
+        nodes = nodes.unionByName(nodes_of(articles.select(F.explode(column).alias("k")), kind, "k", "k"))
+    article, event = ("article", "id"), ("event", "event_id")
+    edges = [
+        edges_of(articles.where("source is not null"), "PUBLISHED_BY", article, ("source", "source")), edges_of(articles, "EVIDENCE_FOR", article, ("event", "event")),
+        edges_of(articles.where("day is not null"), "OBSERVED_ON", article, ("day", "day")),
+        *[from_arrays(articles, rel, article, kind, column) for rel, kind, column in (("ABOUT", "topic", "topics"), ("IMPACTS", "indicator", "indicators"), ("MENTIONS", "entity", "entities"))],
+        *[from_arrays(events, rel, event, kind, column) for rel, kind, column in (
+            ("MENTIONS_ACTOR", "actor", "actors"), ("TARGETS", "target", "targets"), ("USES_MODALITY", "modality", "modalities"),
+            ("ASSOCIATED_RESPONSE", "response", "responses"), ("POTENTIAL_MARKET_CHANNEL", "indicator", "channels"))],
+        from_arrays(events.withColumn("_said", F.transform("attributions", lambda a: a["actor"])), "REPORTED_ATTRIBUTION", event, "actor", "_said"),
+    ]
+    out = edges[0]
+    for one in edges[1:]:
+        out = out.unionByName(one)
+    return nodes.groupBy("id", "kind").agg(F.max("label").alias("label")), out
+
+
+def campaign_edges(events: DataFrame, ts: str = "first_seen") -> DataFrame:
+    """Edges of campaigns: the actor's thread, its events, and each event to the next of the same actor.
+
+    Only attributed or disputed actors have a campaign.  ``events`` has
+    event_id, ``ts`` and attributions (actor, status).
+    """
+    said = events.select("event_id", ts, F.explode("attributions").alias("a")).where(F.col("a.status") != "suspected").select("event_id", ts, F.col("a.actor").alias("actor"))
+    thread = edges_of(said.select("actor").distinct(), "REPORTED_ACTOR_THREAD", ("actor", "actor"), ("campaign", "actor"))
+    has = edges_of(said, "HAS_EVENT", ("campaign", "actor"), ("event", "event_id"))
+    after = F.lead("event_id").over(Window.partitionBy("actor").orderBy(ts, "event_id"))
+    pairs = said.select("event_id", after.alias("next")).where("next is not null").distinct()
+    return thread.unionByName(has).unionByName(edges_of(pairs, "CAMPAIGN_PRECEDES", ("event", "event_id"), ("event", "next")))
+
+
+def episodes(windows: DataFrame, topics: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes of historical episodes ``windows(id, name, start, end, group)`` and edges to the topics of their group, and in time."""
+    found = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in topics.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))]), F.col("group")), F.array().cast("array<string>"))
+    rows = windows.withColumn("_topics", found)
+    about = from_arrays(rows, "ABOUT", ("episode", "id"), "topic", "_topics")
+    after = F.lead("id").over(Window.orderBy("start", "id"))  # a dimension of some dozens of rows
+    chain = rows.select("id", after.alias("next")).where("next is not null")
+    nodes = nodes_of(rows, "episode", "id", "name").unionByName(nodes_of(rows.select(F.explode("_topics").alias("k")), "topic", "k", "k"))
+    return nodes, about.unionByName(edges_of(chain, "PRECEDES", ("episode", "id"), ("episode", "next")))
+
+
+def resolve(nodes: DataFrame, names: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(id): the nodes that ``names(name)`` mean: as they are, or with one of the prefixes, the first that exists."""
+    tried = F.array(F.col("name"), *[F.concat(F.lit(f"{p}:"), F.col("name")) for p in prefixes])
+    asked = names.select("name", F.posexplode(tried).alias("place", "id"))
+    return asked.join(nodes.select("id"), "id", "left_semi").groupBy("name").agg(F.min_by("id", "place").alias("id")).select("id").distinct()
+
+
+def neighbourhood(nodes: DataFrame, edges: DataFrame, names: DataFrame, prefixes: list[str], hops: int = 2, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Nodes within some steps of the named ones, and the edges among them."""
+    seen = k_hop(edges, resolve(nodes, names, prefixes), hops, most)
+    return seen, induced(edges, seen)

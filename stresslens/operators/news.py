@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import momentum
 from stresslens.functions.text import event_id
+from stresslens.operators.ordered import in_ranges, running_sums
 
 
 def dedup_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -34,10 +35,11 @@ def merge_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*[pick(c).alias(c) for c in columns])
 
 
-def retain(rows: DataFrame, ts: str, as_of: str, days: int, most: int, tie: str) -> DataFrame:
-    """Rows of the last ``days`` before ``as_of``, the newest ``most`` of them (a bound of the store)."""
+def retain(rows: DataFrame, ts: str, as_of: str, days: int, most: int, tie: str, ascending: bool = False) -> DataFrame:
+    """Rows of the last ``days`` before ``as_of``, the newest ``most`` of them (a bound of the store); oldest first if asked."""
     fresh = rows.where(F.col(ts) >= F.date_sub(F.lit(as_of).cast("date"), days).cast(rows.schema[ts].dataType))
-    return fresh.orderBy(F.desc(ts), F.desc(tie)).limit(most)
+    newest = fresh.orderBy(F.desc(ts), F.desc(tie)).limit(most)
+    return newest.orderBy(ts, tie) if ascending else newest
 
 
 def upsert_history(old: DataFrame, new: DataFrame, date: str = "d", keep: int = 365) -> DataFrame:
@@ -46,7 +48,7 @@ def upsert_history(old: DataFrame, new: DataFrame, date: str = "d", keep: int =
     return rest.unionByName(new).orderBy(F.desc(date)).limit(keep)
 
 
-def daily_rollup(rows: DataFrame, ts: str, event: str, publisher: str, relevance: str, kinds: dict[str, Column]) -> DataFrame:
+def daily_rollup(rows: DataFrame, ts: str, event: str, publisher: str, relevance: str, kinds: dict[str, Column], digits: int = 4) -> DataFrame:
     """Per (day, kind, key): rows, distinct events and publishers, mean and greatest relevance.
 
     ``kinds`` maps a kind to an array of keys of the row; a row counts once
@@ -60,7 +62,7 @@ def daily_rollup(rows: DataFrame, ts: str, event: str, publisher: str, relevance
     long = rows.select(F.to_date(ts).alias("day"), event, publisher, relevance, F.explode(F.concat(*parts)).alias("k"))
     return long.groupBy("day", "k.kind", "k.key").agg(
         F.count("*").alias("article_count"), F.countDistinct(event).alias("event_count"), F.countDistinct(publisher).alias("publisher_count"),
-        F.round(F.avg(relevance), 4).alias("avg_relevance"), F.round(F.max(relevance), 4).alias("max_relevance"),
+        F.round(F.avg(relevance), digits).alias("avg_relevance"), F.round(F.max(relevance), 4).alias("max_relevance"),
     )
 
 
@@ -131,40 +133,82 @@ def campaigns(rows: DataFrame, actor: str, event: str, ts: str, score: str, limi
 BEHIND_H, AHEAD_H, LEAST_COSINE = 96.0, -24.0, 0.68
 
 
+class _Clusters:
+    """The clusters of one topic that can still be joined, as matrices."""
+
+    def __init__(self):
+        self.leaders: list = []
+        self.centroids, self.last, self.sizes = np.empty((0, 0)), np.empty(0), np.empty(0, int)
+
+    def place(self, id, at: float, vec: np.ndarray) -> tuple[object, int]:
+        """The leader and size of the cluster that the article joins or starts."""
+        if len(self.leaders):
+            alive = at - self.last <= BEHIND_H
+            if not alive.all():
+                self.leaders = [x for x, k in zip(self.leaders, alive, strict=True) if k]
+                self.centroids, self.last, self.sizes = self.centroids[alive], self.last[alive], self.sizes[alive]
+        if len(self.leaders):
+            cosines = np.where(at - self.last >= AHEAD_H, self.centroids @ vec, -np.inf)
+            k = len(cosines) - 1 - int(cosines[::-1].argmax())  # the newest of equals
+            if cosines[k] >= LEAST_COSINE:
+                moved = (self.centroids[k] * self.sizes[k] + vec) / (self.sizes[k] + 1)
+                norm = np.linalg.norm(moved)
+                self.centroids[k] = moved / norm if norm > 0 else moved
+                self.last[k], self.sizes[k] = max(self.last[k], at), self.sizes[k] + 1
+                return self.leaders[k], int(self.sizes[k])
+        self.leaders.append(id)
+        self.centroids = np.vstack([self.centroids, vec]) if self.centroids.size else vec[None, :].copy()
+        self.last, self.sizes = np.append(self.last, at), np.append(self.sizes, 1)
+        return id, 1
+
+
 def cluster_events(articles: DataFrame) -> DataFrame:
     """(topic, id, event_id, size): one-pass leader clustering of ``articles(topic, ts, id, vec)`` within each topic.
 
-    Articles come by (ts, id).  A cluster whose last article lies between 24
-    hours after and 96 hours before is a candidate; the best cosine to a
-    centroid joins if it reaches 0.68, the newest wins ties; centroids are
-    running means.  The order makes it sequential: Spark sorts each topic's
-    rows, and a task streams through them and holds only clusters that can
-    still be joined.
+    Articles come by (ts, id); a missing ts is the epoch, ids are any strings
+    or numbers.  A cluster whose last article lies between 24 hours after and
+    96 hours before is a candidate; the best cosine to a centroid joins if it
+    reaches 0.68, the newest wins ties.  A centroid is the mean of the unit
+    centroid (by its count) and the new vector, made unit length again.
+
+    The order makes it sequential, but no cluster is open over a gap of more
+    than 96 hours: a topic is cut there into sessions, which are dealt to
+    tasks on their own.  Spark sorts each session's rows, and a task streams
+    through them and holds only clusters that can still be joined.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        topic, open_clusters = None, []
+        current, clusters = None, _Clusters()
         for frame in batches:
             out = []
-            for row in frame.itertuples(index=False):
-                if row.topic != topic:
-                    topic, open_clusters = row.topic, []
-                at, vec = row.ts.timestamp() / 3600.0, np.asarray(row.vec, float)
-                open_clusters = [c for c in open_clusters if at - c["last"] <= BEHIND_H]
-                best, mine = LEAST_COSINE, None
-                for c in open_clusters:
-                    if at - c["last"] >= AHEAD_H:
-                        norm = float(np.linalg.norm(c["sum"]))
-                        cosine = float(c["sum"] @ vec) / norm if norm else 0.0
-                        if cosine >= best:
-                            best, mine = cosine, c
-                if mine is None:
-                    mine = {"leader": row.id, "sum": np.zeros_like(vec), "size": 0, "last": at}
-                    open_clusters.append(mine)
-                mine["sum"], mine["size"], mine["last"] = mine["sum"] + vec, mine["size"] + 1, max(mine["last"], at)
-                out.append((row.topic, row.id, mine["leader"], mine["size"]))
+            for topic, session, id, hours, vec in zip(*(frame[c] for c in ("topic", "session", "id", "hours", "vec")), strict=True):
+                if (topic, session) != current:
+                    current, clusters = (topic, session), _Clusters()
+                out.append((topic, id, *clusters.place(id, hours, np.asarray(vec, float))))
             yield pd.DataFrame(out, columns=["topic", "id", "leader", "size"])
 
-    ordered = articles.select("topic", "ts", "id", "vec").repartition("topic").sortWithinPartitions("topic", "ts", "id")
-    found = ordered.mapInPandas(run, "topic string, id long, leader long, size int")
+    rows = articles.select("topic", F.coalesce(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600.0, F.lit(0.0)).alias("hours"), "id", "vec")
+    rows = sessions(rows, ["topic"], "hours", "id", BEHIND_H)
+    ordered = rows.repartition("topic", "session").sortWithinPartitions("topic", "session", "hours", "id")
+    kind = articles.schema["id"].dataType.simpleString()
+    found = ordered.mapInPandas(run, f"topic string, id {kind}, leader {kind}, size int")
     return found.select("topic", "id", event_id("topic", "leader").alias("event_id"), "size")
+
+
+def sessions(rows: DataFrame, by: list[str], at: str, tie: str, gap: float) -> DataFrame:
+    """``rows`` with the number of their session: one ends where the next row of the group is more than ``gap`` later.
+
+    Gaps are found between neighbours inside ranges of the order and, from the
+    ranges' ends, between ranges.
+    """
+    ranged = in_ranges(rows, by, [F.col(at), F.col(tie)])
+    ends = ranged.groupBy("_range", *by).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_range"))
+    ends = ends.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_b_{c}") for c in by], before.alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    joined = ranged.join(ends, same)
+    last = F.coalesce(F.lag(at).over(Window.partitionBy("_range", *by).orderBy(at, tie)), F.col("_before"))
+    marked = joined.select(*rows.columns, F.when(F.col(at) - last > gap, 1).otherwise(0).cast("long").alias("_new"))
+    return running_sums(marked, by, [F.col(at), F.col(tie)], {"session": F.col("_new")}).drop("_new")

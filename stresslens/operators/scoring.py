@@ -63,18 +63,21 @@ def calendar(anchor_dates: DataFrame, daily_dates: DataFrame, windows: DataFrame
     return anchor_dates.where(F.col("d") >= F.lit(start).cast("date")).select("d").union(near.select("d")).distinct()
 
 
-def event_summary(rows: DataFrame, windows: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+def event_summary(rows: DataFrame, windows: DataFrame, thresholds: dict[str, float], stages: tuple[int, ...] = ()) -> DataFrame:
     """Per window: observations, peak score and its first date, and for each threshold the first date and lead days.
 
-    Windows without observations are left out.
+    With ``stages``, ``rows`` also have a stage: its maximum, and for each of
+    them the first date at or above it.  Windows without observations are left
+    out.
     """
     joined = in_windows(rows, windows)
     first = {name: F.min(F.when(F.col("score") >= t, F.col("d"))).alias(f"first_{name}") for name, t in thresholds.items()}
+    staged = [F.max("stage").alias("max_stage"), *[F.min(F.when(F.col("stage") >= k, F.col("d"))).alias(f"first_stage_{k}") for k in stages]] if stages else []
     out = joined.groupBy("id", "reference").agg(
         F.count("*").alias("observations"), F.max("score").alias("max_score"),
-        F.min_by("d", F.struct((-F.col("score")).alias("s"), F.col("d"))).alias("max_score_date"), *first.values(),
+        F.min_by("d", F.struct((-F.col("score")).alias("s"), F.col("d"))).alias("max_score_date"), *first.values(), *staged,
     )
-    return out.withColumns({f"lead_{name}": F.datediff("reference", f"first_{name}") for name in thresholds})
+    return out.withColumns({f"lead_{name}": F.datediff("reference", f"first_{name}") for name in (*thresholds, *(f"stage_{k}" for k in stages))})
 
 
 def alert_rates(rows: DataFrame, windows: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -124,8 +127,8 @@ def confusion(rows: DataFrame, score: Column, label: str, by: list[str]) -> Data
     return t.withColumn("balanced", (F.coalesce("recall", F.lit(0.0)) + 1 - F.coalesce("fpr", F.lit(0.0))) / 2)
 
 
-def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: float, steps: int, by: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """The threshold of an even grid with the best balanced accuracy (to ``digits`` places), then the lowest false positive rate, then the smallest.
+def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: float, steps: int, by: list[str] | None = None, digits: int | None = 4) -> DataFrame:
+    """The threshold of an even grid with the best balanced accuracy (to ``digits`` places, if given), then the lowest false positive rate, then the smallest.
 
     Rows are summed by distinct score first, so the grid meets counts, not rows.
     """
@@ -137,7 +140,8 @@ def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: f
         F.sum(F.when(alarm, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(alarm, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
     )
     t = t.withColumns({"recall": F.col("tp") / F.col("p"), "fpr": F.col("fp") / F.col("n")})
-    t = t.withColumn("balanced", F.round((F.col("recall") + 1 - F.col("fpr")) / 2, digits))
+    balanced = (F.col("recall") + 1 - F.col("fpr")) / 2
+    t = t.withColumn("balanced", balanced if digits is None else F.round(balanced, digits))
     best = F.max_by(F.struct("threshold", "balanced", "recall", "fpr"), F.struct("balanced", -F.round("fpr", 9), -F.col("threshold")))
     return t.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
@@ -150,9 +154,9 @@ def candidate_weights(weights: DataFrame, step: float = 1.0, low: float = 4.0, h
     """
     donor = weights.select(F.col("key").alias("donor"), F.col("weight").alias("dw")).where(F.col("dw") - step >= low)
     taker = weights.select(F.col("key").alias("taker"), F.col("weight").alias("tw")).where(F.col("tw") + step <= high)
-    moves = donor.join(F.broadcast(taker), F.col("donor") != F.col("taker")).select("donor", "taker", F.concat_ws(">", "donor", "taker").alias("candidate"))
+    moves = donor.join(taker, F.col("donor") != F.col("taker")).select("donor", "taker", F.concat_ws(">", "donor", "taker").alias("candidate"))
     change = F.when(F.col("key") == F.col("donor"), -step).when(F.col("key") == F.col("taker"), step).otherwise(0.0)
-    return moves.join(F.broadcast(weights)).select("candidate", "key", (F.col("weight") + change).alias("weight"))
+    return moves.join(weights).select("candidate", "key", (F.col("weight") + change).alias("weight"))
 
 
 def event_peaks(rows: DataFrame, windows: DataFrame) -> DataFrame:
@@ -176,7 +180,7 @@ def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_window
     scored = scored.persist()
     rows = label_rows(scored, label_windows).persist()
     by = ["candidate"]
-    swept = threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=12).persist()
+    swept = threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=None).persist()
     peaks = event_peaks(scored, peak_windows).persist()
     recalls = peaks.join(swept.select("candidate", "threshold"), "candidate").groupBy("candidate").agg(F.avg((F.col("peak") >= F.col("threshold")).cast("double")).alias("event_recall"))
     base = peaks.where(F.col("candidate") == baseline).select("id", F.col("peak").alias("base_peak"))
@@ -188,7 +192,7 @@ def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_window
     parts = (F.col("auc"), F.col("ap"), F.col("event_recall"), 1.0 - F.col("fpr"))
     out = out.withColumn("objective", sum((w * c for w, c in zip(OBJECTIVE[1:], parts[1:], strict=True)), OBJECTIVE[0] * parts[0])).persist()
     first = out.where(F.col("candidate") == baseline).select(F.col("objective").alias("base_objective"), F.col("fpr").alias("base_fpr"))
-    out = out.join(F.broadcast(first)).withColumns({"d_objective": F.col("objective") - F.col("base_objective"), "d_fpr": F.col("fpr") - F.col("base_fpr")})
+    out = out.join(first).withColumns({"d_objective": F.col("objective") - F.col("base_objective"), "d_fpr": F.col("fpr") - F.col("base_fpr")})
     return guardrails(out.drop("base_objective", "base_fpr"))
 
 
@@ -200,3 +204,27 @@ def guardrails(candidates: DataFrame, gain: float = 0.005, fpr_rise: float = 0.0
     )
     out = candidates.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
     return out.withColumn("passes", F.size("reasons") == 0)
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    """The first candidate that passes, by objective (ties by name); no row if none does."""
+    return judged.where("passes").orderBy(F.desc("objective"), "candidate").limit(1)
+
+
+def config_changes(weights: DataFrame, candidates: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key, before, after) of the weights that an accepted candidate changes."""
+    new = candidates.join(chosen.select("candidate"), "candidate", "left_semi").select("key", F.col("weight").alias("after"))
+    return weights.select("key", F.col("weight").alias("before")).join(new, "key").where("before <> after")
+
+
+def hybrid_mix(rule: Column, network: Column, weights: tuple[float, float] = (0.65, 0.35)) -> Column:
+    """Rule score and network probability (percent) mixed by normalised weights; one that is missing leaves the other."""
+    wr, wn = (w / sum(weights) for w in weights)
+    return F.when(network.isNull(), rule).when(rule.isNull(), network).otherwise(wr * rule + wn * network)
+
+
+def split_guards(rows: DataFrame, part: str, label: str, least: dict[str, tuple[int, int]]) -> DataFrame:
+    """Per part of a temporal split: rows, positives, and whether there are enough of both (part to least rows, least positives)."""
+    per = rows.groupBy(part).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"))
+    enough = [F.when(F.col(part) == name, (F.col("n") >= n) & (F.col("positives") >= p)) for name, (n, p) in least.items()]
+    return per.withColumn("enough", F.coalesce(*enough, F.lit(True)))

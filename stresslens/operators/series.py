@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import anchor, clamp, tail_score, z_risk
@@ -189,6 +189,11 @@ def spread(one: DataFrame, two: DataFrame, scale: float = 100.0) -> DataFrame:
     return one.select("d", F.col("v").alias("a")).join(two.select("d", F.col("v").alias("b")), "d").select("d", ((F.col("a") - F.col("b")) * scale).alias("spread"))
 
 
+def yield_curve(long: Column, short: Column) -> Column:
+    """Difference of two yields in basis points."""
+    return (long - short) * 100.0
+
+
 def asof_backward(probes: DataFrame, series: DataFrame, keys: DataFrame, value: list[str]) -> DataFrame:
     """For each probe date ``probes(d)`` and key of ``keys(key)`` the last row of ``series`` up to that date.
 

@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
 from stresslens.operators import enrich, graph, mlp, news, retrieval, scoring, series
-from stresslens.plans import enrich_catalog, registry, search_catalog
+from stresslens.plans import registry
 from stresslens.streaming import ingest
 
 _register, _t = registry.register, registry.table
 
 
 def queries() -> dict:
+    from stresslens.plans import enrich_catalog, search_catalog, view_catalog  # noqa: F401, they register on import
+
     return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(registry.SQL)
 
 
