@@ -218,10 +218,12 @@ def cross_domain(lists: dict[str, DataFrame], limit: int) -> DataFrame:
 
 def hashed_vector(words: Column, size: int = 64) -> Column:
     """A deterministic stand-in for an embedding: counts of word hashes in ``size`` cells, unit length (zero stays zero)."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     cells = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counts = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda c: c == i)).cast("double"))
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda raw: once(norm(raw), lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return once(cells, lambda found: once(counts(found), unit))
 
 
 def fused_sources(lists: dict[str, DataFrame], limit: int) -> DataFrame:

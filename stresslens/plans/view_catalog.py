@@ -174,11 +174,11 @@ def q_event_evaluation(spark, sf):
     return out.select("id", F.col("max_score").alias("peak"), F.col("max_score_date").alias("peak_date"), "first_alert", F.col("lead_alert").alias("lead_days"))
 
 
-@register(f"WITH {c._CH}, p AS (SELECT d, max(score) FILTER (WHERE key = '1-URGENT') AS rule, max(score) FILTER (WHERE key = 'A') AS net FROM ch GROUP BY d) SELECT d, round(CASE WHEN net IS NULL THEN rule WHEN rule IS NULL THEN net ELSE 0.65::DOUBLE * rule + 0.35::DOUBLE * net END, 6) AS mixed FROM p")
+@register(f"WITH {c._CH}, p AS (SELECT d, max(score) FILTER (WHERE key = '1-URGENT') AS rule, max(score) FILTER (WHERE key = 'A') AS net FROM ch GROUP BY d) SELECT d, round(CASE WHEN net IS NULL THEN rule WHEN rule IS NULL THEN net ELSE 0.65::DOUBLE * rule + 0.35::DOUBLE * net END, 11) AS mixed FROM p")
 def q_hybrid_mix(spark, sf):
     pick = lambda k: F.max(F.when(F.col("key") == k, F.col("score")))
     wide = c._channels(spark, sf).groupBy("d").agg(pick("1-URGENT").alias("rule"), pick("A").alias("net"))
-    return wide.select("d", F.round(scoring.hybrid_mix(F.col("rule"), F.col("net")), 6).alias("mixed"))
+    return wide.select("d", F.round(scoring.hybrid_mix(F.col("rule"), F.col("net")), 11).alias("mixed"))
 
 
 @register("""WITH x AS (SELECT 's' || s_suppkey AS candidate, round(s_acctbal / 100000, 6) AS d_objective, (s_suppkey % 7) / 200 AS d_fpr, (s_suppkey % 5) / 4 AS event_recall, -(s_suppkey % 11)::DOUBLE AS d_peak, s_acctbal AS objective FROM supplier),
@@ -277,4 +277,4 @@ def q_cluster_documents(spark, sf):
     """Documents clustered by hashed word vectors, a document an hour for each language: copies and near copies meet."""
     rows = table(spark, sf, "documents")
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}0-9]+")
-    return news.cluster_events(rows.select(F.col("lang").alias("topic"), F.timestamp_seconds(F.col("doc_id") * 3600 + 1_700_000_000).alias("ts"), F.col("doc_id").alias("id"), retrieval.hashed_vector(words, 256).alias("vec")))
+    return news.cluster_events(rows.select(F.col("lang").alias("topic"), F.timestamp_seconds(F.col("doc_id") * 3600 + 1_700_000_000).alias("ts"), F.col("doc_id").alias("id"), retrieval.hashed_vector(words).alias("vec")))

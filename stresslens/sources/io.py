@@ -44,6 +44,13 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     return spark.read.format("xml").schema(schema).option("rowTag", row_tag).load(path)
 
 
+def read_atom(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFrame:
+    """Entries of Atom files in the columns of :func:`read_feed`."""
+    schema = "title string, link struct<_href:string>, summary string, content string, updated string, published string"
+    raw = spark.read.format("xml").schema(schema).option("rowTag", row_tag).load(path)
+    return raw.select("title", F.col("link._href").alias("link"), F.coalesce("summary", "content").alias("description"), F.coalesce("published", "updated").alias("pubDate"))
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """JSON lines, replacing what is there."""
     df.write.mode("overwrite").json(path)
