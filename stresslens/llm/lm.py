@@ -57,6 +57,33 @@ def held_out(doc_id: int | None) -> bool:
     return _crc(doc_id) % 7 == 2
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up by planes: all lowest bytes, all next ones, as many as the largest needs; the first byte says how many.
+
+    Planes of high bytes are nearly constant, so that the files' and the
+    shuffle's compression takes them away.
+    """
+    planes = -(-int(numbers.max(initial=0)).bit_length() // 8)
+    return bytes([planes]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((8, n), np.uint8)
+    wide[: data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], n)
+    return np.ascontiguousarray(wide.T).view("<u8").reshape(n)
+
+
+def _deltas(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first and the packed steps from each to the next."""
+    return keys[:1].tobytes() + _packed(np.diff(keys))
+
+
+def _from_deltas(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), _unpacked(data[8:], n - 1)]), dtype=np.uint64)
+
+
 class _Block:
     """The tokens of a block, and its terms: words and pairs, each once a fold, as sorted codes (hash and fold)."""
 
@@ -64,7 +91,7 @@ class _Block:
         self.docs = np.frombuffer(row["docs"], np.int64)
         self.known_ids = np.frombuffer(row["known_ids"], bool)
         self.lengths = np.frombuffer(row["lengths"], np.int64)
-        words, tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32)
+        words, tokens = _from_deltas(row["words"], row["n_words"]), _unpacked(row["tokens"], int(self.lengths.sum())).astype(np.int64)
         crcs = [_crc(int(d) if k else None) for d, k in zip(self.docs, self.known_ids, strict=True)]
         self.held = np.array([c % 7 == 2 for c in crcs], bool)
         self.learns = np.repeat(~self.held, self.lengths)
@@ -94,10 +121,11 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         return {
             "block": block,
             "docs": np.array([i or 0 for i in ids], np.int64).tobytes(), "known_ids": np.array([i is not None for i in ids]).tobytes(),
-            "lengths": lengths.tobytes(), "words": words.tobytes(), "tokens": tokens.astype(np.uint32).tobytes(),
+            "lengths": lengths.tobytes(), "n_words": len(words), "words": _deltas(words), "tokens": _packed(tokens),
         }
 
-    schema = pa.schema([("block", pa.int64())] + [(n, pa.binary()) for n in ("docs", "known_ids", "lengths", "words", "tokens")])
+    sides = [(n, pa.binary()) for n in ("docs", "known_ids", "lengths", "words", "tokens")]
+    schema = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), *sides])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -115,7 +143,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([pack(block, ids, texts)], schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "block bigint, docs binary, known_ids binary, lengths binary, words binary, tokens binary")
+    return rows.mapInArrow(run, "block bigint, n_words bigint, docs binary, known_ids binary, lengths binary, words binary, tokens binary")
 
 
 def _shard_of(codes: np.ndarray, bits: int, shards: int) -> np.ndarray:
@@ -123,21 +151,7 @@ def _shard_of(codes: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return np.minimum((codes >> np.uint64(bits - 48)).astype(float) * (shards / 2.0**48), shards - 1).astype(np.int64)
 
 
-def _deltas(keys: np.ndarray) -> bytes:
-    steps = np.diff(keys, prepend=np.uint64(0))
-    if len(steps):
-        steps[0] = 0
-    narrow = not len(steps) or steps.max() < 1 << 32
-    return keys[:1].tobytes() + steps.astype(np.uint32 if narrow else np.uint64).tobytes()
-
-
-def _from_deltas(data: bytes, n: int) -> np.ndarray:
-    first = np.frombuffer(data[:8], np.uint64)
-    steps = np.frombuffer(data[8:], np.uint32 if len(data) - 8 == 4 * n else np.uint64).astype(np.uint64)
-    return np.cumsum(steps, dtype=np.uint64) + first
-
-
-_SENT = "shard int, block bigint, words binary, word_counts binary, pairs binary, pair_counts binary"
+_SENT = "shard int, block bigint, n_words bigint, words binary, word_counts binary, n_pairs bigint, pairs binary, pair_counts binary"
 
 
 def sent_terms(table: DataFrame, shards: int) -> DataFrame:
@@ -151,26 +165,17 @@ def sent_terms(table: DataFrame, shards: int) -> DataFrame:
                 used = np.union1d(of_words, of_pairs)
                 spans = [np.searchsorted(of, used, side) for of in (of_words, of_pairs) for side in ("left", "right")]
                 out = [
-                    (s, row["block"], _deltas(b.word_codes[w0:w1]), b.word_counts[w0:w1].tobytes(), _deltas(b.pair_codes[p0:p1]), b.pair_counts[p0:p1].tobytes())
+                    (s, row["block"], int(w1 - w0), _deltas(b.word_codes[w0:w1]), _packed(b.word_counts[w0:w1]),
+                     int(p1 - p0), _deltas(b.pair_codes[p0:p1]), _packed(b.pair_counts[p0:p1]))
                     for s, w0, w1, p0, p1 in zip(used.tolist(), *spans, strict=True)
                 ]
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                kinds = (pa.int32(), pa.int64(), *(pa.int64(), pa.binary(), pa.binary()) * 2)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in _SENT.split(", ")])
 
     return table.mapInArrow(run, _SENT)
 
 
-_RETURNED = "block bigint, shard int, word_totals binary, word_own binary, pair_totals binary, pair_own binary, tokens array<bigint>, types bigint"
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in 4 bytes each, or 8 if they need them; the first byte says which."""
-    narrow = not len(counts) or counts.max() < 1 << 32
-    return (b"4" + counts.astype(np.uint32).tobytes()) if narrow else (b"8" + counts.tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if data[:1] == b"4" else np.int64, offset=1).astype(np.int64)
+_RETURNED = "block bigint, shard int, n_words bigint, word_totals binary, word_own binary, n_pairs bigint, pair_totals binary, pair_own binary, tokens array<bigint>, types bigint"
 
 
 def _sums(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[bytes], list[bytes], np.ndarray]:
@@ -190,27 +195,27 @@ def _add_up(group: pa.Table) -> pa.Table:
     columns = {n: group.column(n).to_pylist() for n in group.column_names}
 
     def summed(name: str) -> tuple:
-        counts = [np.frombuffer(c, np.uint32) for c in columns[f"{name}_counts"]]
-        return _sums([_from_deltas(d, len(c)) for d, c in zip(columns[f"{name}s"], counts, strict=True)], counts)
+        sent = list(zip(columns[f"{name}s"], columns[f"{name}_counts"], columns[f"n_{name}s"], strict=True))
+        return _sums([_from_deltas(d, n) for d, _, n in sent], [_unpacked(c, n) for _, c, n in sent])
 
     terms, words, own_words, by_fold = summed("word")
     _, pairs, own_pairs, _ = summed("pair")
     rest = len(words) - 1
     return pa.table({
         "block": pa.array(columns["block"], pa.int64()), "shard": pa.array(columns["shard"], pa.int32()),
-        "word_totals": pa.array(words, pa.binary()), "word_own": pa.array(own_words, pa.binary()),
-        "pair_totals": pa.array(pairs, pa.binary()), "pair_own": pa.array(own_pairs, pa.binary()),
+        "n_words": pa.array(columns["n_words"], pa.int64()), "word_totals": pa.array(words, pa.binary()), "word_own": pa.array(own_words, pa.binary()),
+        "n_pairs": pa.array(columns["n_pairs"], pa.int64()), "pair_totals": pa.array(pairs, pa.binary()), "pair_own": pa.array(own_pairs, pa.binary()),
         "tokens": pa.array([by_fold.tolist()] + [[0] * FOLDS] * rest, pa.list_(pa.int64())), "types": pa.array([int((terms > 0).sum())] + [0] * rest, pa.int64()),
     })
 
 
-_COUNTS = ("word_totals", "word_own", "pair_totals", "pair_own")
+_COUNTS = {"word_totals": "n_words", "word_own": "n_words", "pair_totals": "n_pairs", "pair_own": "n_pairs"}
 
 
 def _joined(block: pa.Table, returned: pa.Table) -> tuple:
     """A block with its words' and pairs' totals and those of their folds."""
-    rows = sorted(zip(*(returned.column(n).to_pylist() for n in ("shard", *_COUNTS)), strict=True))
-    return _Block(block.to_pylist()[0]), *(np.concatenate([_unpacked(r[k]) for r in rows]) for k in range(1, 5))
+    rows = sorted(returned.to_pylist(), key=lambda r: r["shard"])
+    return _Block(block.to_pylist()[0]), *(np.concatenate([_unpacked(r[c], r[n]) for r in rows]).astype(np.int64) for c, n in _COUNTS.items())
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -306,7 +311,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         by_fold = [F.coalesce(F.sum(F.get("tokens", F.lit(k))), F.lit(0)) for k in range(FOLDS)]
         *tokens, types = totals.agg(*by_fold, F.coalesce(F.sum("types"), F.lit(0))).first()
 
-        pairs = table.groupBy("block").cogroup(totals.select("block", "shard", *_COUNTS).groupBy("block"))
+        pairs = table.groupBy("block").cogroup(totals.select("block", "shard", "n_words", "n_pairs", *_COUNTS).groupBy("block"))
         classes = pairs.applyInArrow(_held_out_table(tokens), "key bigint, n bigint")
         rows = classes.groupBy("key").agg(F.sum("n")).collect()  # at most BUCKETS * CLASSES * CLASSES numbers
         weights = learn_weights(np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2), types)
