@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stresslens.llm import chat, imatch, lm, minhash, mixing, packing, quality, scratch, secrets, unitdedup, warc
+from stresslens.llm import audit, chat, imatch, lm, merkle, minhash, mixing, packing, quality, scratch, secrets, shinglejoin, unitdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,18 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shinglejoin.shingle_join(_table(spark, sf_dir, "documents"), shingle_words=3, percent=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_minhash_near_dedup, op2_imatch_fingerprints, op3_unit_substring_dedup, op4_best_two_fit_packing, op5_markov_secret_scan,
-        op6_warc_revisits, op7_quality_rules, op8_deleted_interpolation_scores, op9_source_mix, op10_chat_round_trip, pipeline,
+        op6_warc_revisits, op7_quality_rules, op8_deleted_interpolation_scores, op9_source_mix, op10_chat_round_trip, op11_merkle_manifest, op12_filter_audit, op13_shingle_jaccard_join, pipeline,
     )
     return {f.__name__: f for f in ops}
 
@@ -201,6 +213,92 @@ FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source AND d.h = y.h
 """
 
 
+#: Levels of trees that the SQL of op11 goes up: 8 ** 8 documents of a language, 8 ** 5 languages.
+_LEVELS, _TOP_LEVELS = 8, 5
+
+
+def _op11() -> str:
+    """Level by level: nodes, what stands left and right of each in its run, and what a document's proof has gathered so far."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def up(name: str, levels: int, key: str) -> list[str]:
+        out = []
+        for k in range(levels):
+            run = f"PARTITION BY {key}, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(f"""{name}s{k} AS MATERIALIZED (SELECT {key}, i, n = 1 AS top,
+  coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {name}{k})""")
+            out.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT {key}, i // 8 AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+  CASE WHEN n = 1 THEN 1 ELSE (n + 7) // 8 END AS n FROM {name}{k} GROUP BY {key}, i // 8, n)""")
+        return out
+
+    def gather(start: str, name: str, levels: int, key: str, index: str) -> list[str]:
+        out = [f"{name}p0 AS (SELECT *, {index} AS i FROM {start})"]
+        for k in range(levels):
+            out.append(f"""{name}p{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.i // 8 AS i, CASE WHEN s.top THEN p.f ELSE sha256(s.lft || p.f || s.rgt) END AS f, p.p || s.lft || s.rgt AS p)
+  FROM {name}p{k} p JOIN {name}s{k} s ON p.{key} IS NOT DISTINCT FROM s.{key} AND p.i = s.i)""")
+        return out
+
+    crc = """WITH RECURSIVE bits(b, v, k) AS (SELECT b, b, 0 FROM range(256) t(b) UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8)"""
+    crc32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: xor(x // 256, t[1 + (xor(x, y) & 255)])))"""
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc32} % 3 = 0 THEN {leaf(folded)} END AS other FROM documents, crc_table)",
+        "l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "n0 AS (SELECT lang, r AS i, leaf AS h, n FROM l)",
+        *up("n", _LEVELS, "lang"),
+        f"t0 AS MATERIALIZED (SELECT 0 AS a, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM n{_LEVELS})",
+        *up("t", _TOP_LEVELS, "a"),
+        "e0 AS (SELECT doc_id, lang, leaf, r, coalesce(other, leaf) AS f, '' AS p FROM l)",
+        *gather("e0", "n", _LEVELS, "lang", "r"),
+        f"e1 AS (SELECT x.* EXCLUDE (i), t0.i AS tree, 0 AS a, t0.h AS subroot FROM n{'p'}{_LEVELS} x JOIN t0 ON x.lang IS NOT DISTINCT FROM t0.lang)",
+        *gather("e1", "t", _TOP_LEVELS, "a", "tree"),
+    ]
+    # the place of a leaf in its tree's log: leaves up to it, and the parents completed before it
+    place = " + ".join(f"r // {8**k}" for k in range(_LEVELS + 1))
+    return f"""{crc},
+{", ".join(parts)}
+SELECT x.doc_id, leaf, subroot, y.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = y.h AS verified, ({place})::BIGINT AS position
+FROM tp{_TOP_LEVELS} x, t{_TOP_LEVELS} y
+"""
+
+
+_OP12 = rf"""
+WITH b AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS a FROM documents),
+f AS (
+  SELECT doc_id, part, CASE WHEN len(a) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(a)) < 50 * len(a) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM b),
+g AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY 1),
+c AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(q), 0) AS good, coalesce(sum(x), 0) AS toxic FROM f LEFT JOIN g ON g.doc_id = f.doc_id GROUP BY 1, 2),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS s),
+o AS (
+  SELECT v.s || w.s || x.s || y.s || z.s AS filter_order FROM s v, s w, s x, s y, s z
+  WHERE w.s <> v.s AND x.s NOT IN (v.s, w.s) AND y.s NOT IN (v.s, w.s, x.s) AND z.s NOT IN (v.s, w.s, x.s, y.s)),
+k AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, step, letter, contains(fails, letter) AS hit, translate(fails, before, '') <> fails AS gone, fails = letter AS sole, n, good, toxic FROM c, k),
+t AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (sole), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost
+  FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM t
+"""
+
+#: The components of op1's SQL at the greater similarity.
+_OP13 = f"SELECT doc_id, n_shingles, component_id FROM ({_OP1.replace('>= 85 *', '>= 90 *')})"
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op1_minhash_near_dedup": _OP1, "op6_warc_revisits": _OP6, "op7_quality_rules": _op7(), "op9_source_mix": _OP9}
+    return {"op1_minhash_near_dedup": _OP1, "op6_warc_revisits": _OP6, "op7_quality_rules": _op7(), "op9_source_mix": _OP9, "op11_merkle_manifest": _op11(), "op12_filter_audit": _OP12, "op13_shingle_jaccard_join": _OP13}
