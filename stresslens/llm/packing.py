@@ -27,6 +27,8 @@ CAPACITY = 4096
 END = 1
 #: Expected pieces of a group.
 GROUP = 12_000
+#: What every special token of the vocabulary starts with.
+SPECIAL = b"<|"
 #: Distinct words that a worker process remembers.
 REMEMBER = 1_500_000
 
@@ -37,9 +39,10 @@ class WordTokenizer:
     The vocabulary's rules never reach over ASCII white space, so a text's
     ids are those of its runs between white space, one after the other.  Each
     distinct run is tokenized once and remembered; a trailing full stop or
-    comma after letters is a token run of its own by the vocabulary's
+    comma after ASCII letters is a token run of its own by the vocabulary's
     splitting rule, and case is folded by it, so runs that differ in these
-    share their entry.
+    share their entry.  Special tokens are looked for before case is folded:
+    the runs of a text that may hold one keep their case.
     """
 
     def __init__(self, path: str):
@@ -58,7 +61,7 @@ class WordTokenizer:
         cores = {}
         for word in words:
             core, tail = (word[:-1], word[-1:]) if word[-1:] in b".," else (word, b"")
-            cores[word] = (core, tail) if tail and core.decode().isalpha() else (word, b"")
+            cores[word] = (core, tail) if tail and core.isalpha() else (word, b"")
         new = list({part for pair in cores.values() for part in pair if part and part not in self.known})
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
@@ -70,7 +73,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, one after the other."""
-        split = [t.encode().lower().split() for t in texts]
+        split = [(raw if SPECIAL in raw else raw.lower()).split() for raw in map(str.encode, texts)]
         known = self.known
         if len(known) > REMEMBER:
             known.clear()
@@ -178,18 +181,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     are any numbers; offsets in a sequence are gapless from 0.  Pieces that
     repeat are packed each; an empty table gives no rows.  Groups are dealt by
     each row's place in the stored table, so that no id, null or repeated,
-    gathers in one.
+    gathers in one.  Columns sequence_id and offset of ``pieces`` are replaced.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    grp = "grp" + "_" * max((len(c) for c in pieces.columns), default=0)
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.withColumn(grp, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = best_two_fit(frame["length"].to_numpy(), capacity)
-        frame["sequence_id"], frame["offset"] = (frame["grp"].to_numpy().astype(np.int64) << 32) + bins, offsets
-        return frame.drop(columns="grp")
+        frame["sequence_id"], frame["offset"] = (frame[grp].to_numpy().astype(np.int64) << 32) + bins, offsets
+        return frame.drop(columns=grp)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("grp").applyInPandas(run, fields + ", sequence_id bigint, offset bigint")
+    return dealt.groupBy(grp).applyInPandas(run, fields + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
