@@ -6,7 +6,9 @@ digit by digit: sizes are summed by source and hash digit, the digit in
 which the running sum crosses the budget is the boundary bucket, and only
 its documents are written for the next histogram.  So a narrow table of
 (source, hash, size) is read twice, a 4096th of it for the third digit, and
-so on; one document at the boundary at most is left.
+so on; one document at the boundary at most is left.  Where rows repeat an id
+(or have none), the boundary may be a hash that many of them share; they are
+then told apart by a second hash, of their texts, in the same way.
 """
 
 from __future__ import annotations
@@ -68,13 +70,18 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3)) -> DataFrame:
     )
 
 
-def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source the hash below which (cut, exclusive) a document is used once more.
+def tie_hash(text: Column) -> Column:
+    """A 60-bit hash that tells apart rows with the same id."""
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - BITS)
+
+
+def boundaries(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each source the hash at which its budget is reached: (source, at, left_over, bucket, rows).
 
     ``sized(source, hash, size)``.  Nested histograms: each level sums the
     boundary bucket of the level above, written anew, by the next digit of the
-    hash.  At the last level the bucket is a single hash value, which is in if
-    that brings the sum nearer to the budget.
+    hash.  At the last level the bucket is a single hash value, held by so
+    many rows of so many words; left_over is what they may still give.
     """
     rows = sized
     state = scratch.save(targets.select("source", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("low")).where("rest > 0"))
@@ -84,16 +91,34 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             boundary = joined.where(F.shiftright("hash", shift + DIGIT) == F.shiftright("low", shift + DIGIT))
             joined = scratch.save(boundary.select("source", "rest", "low", "hash", "size"))
             rows = joined.select("source", "hash", "size")
-        digits = joined.groupBy("source", "rest", "low", F.shiftright("hash", shift).alias("digit")).agg(F.sum("size").alias("size"))
+        digits = joined.groupBy("source", "rest", "low", F.shiftright("hash", shift).alias("digit")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
         ordered = Window.partitionBy("source").orderBy("digit")
         running = digits.select("*", (F.sum("size").over(ordered) - F.col("size")).alias("under"))
         crossed = running.where((F.col("under") <= F.col("rest")) & (F.col("rest") < F.col("under") + F.col("size")))
-        step = crossed.select("source", (F.col("rest") - F.col("under")).alias("left_over"), F.col("size").alias("bucket"), F.shiftleft("digit", shift).alias("at"))
+        step = crossed.select("source", F.shiftleft("digit", shift).alias("at"), (F.col("rest") - F.col("under")).alias("left_over"), F.col("size").alias("bucket"), "rows")
         if shift:
             state = scratch.save(step.select("source", F.col("left_over").alias("rest"), F.col("at").alias("low")))
         else:
-            nearer = F.col("bucket") - F.col("left_over") < F.col("left_over")
-            return step.select("source", (F.col("at") + F.when(nearer, 1).otherwise(0)).alias("cut"))
+            return scratch.save(step)
+
+
+def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, at, tie_at): rows with a hash below ``at``, or with it and a tie below ``tie_at``, are used once more.
+
+    ``sized(source, hash, tie, size)``.  The last value of all is in if that
+    brings the sum nearer to the budget.
+    """
+    after = lambda at: at + F.when(F.col("bucket") - F.col("left_over") < F.col("left_over"), 1).otherwise(0)
+    found = boundaries(sized.select("source", "hash", "size"), targets)
+    whole = found.where("rows = 1").select("source", after(F.col("at")).alias("at"), F.lit(0).cast("long").alias("tie_at"))
+    tied = found.where("rows > 1")
+    if tied.isEmpty():
+        return whole
+    same = F.col("s").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("at"))
+    inside = scratch.save(sized.withColumnRenamed("source", "s").join(tied.select("source", "at"), same).select("source", F.col("tie").alias("hash"), "size"))
+    ends = boundaries(inside, tied.select("source", F.col("left_over").alias("rest"))).select(F.col("source").alias("s"), after(F.col("at")).alias("tie_at"))
+    parted = tied.join(ends, F.col("s").eqNullSafe(F.col("source")), "left").select("source", "at", F.coalesce("tie_at", F.lit(0)).alias("tie_at"))
+    return whole.unionByName(parted)
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3)) -> DataFrame:
@@ -101,20 +126,23 @@ def mix(docs: DataFrame, weights=(1, 2, 3)) -> DataFrame:
 
     ``docs`` has doc_id, text and source, each may be null: a null text has
     no words, null is a source of its own (the last).  Rows that repeat a
-    doc_id share its hash and are used alike.  A source without words has
-    target 0.  An empty table gives no rows.  Reruns agree.
+    doc_id (or have none) share its hash and are told apart by their texts;
+    rows that repeat both are used alike.  A source without words has target
+    0.  An empty table gives no rows.  Reruns agree.
     """
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("source").cast("string").alias("source"),
         hash_of(F.col("doc_id")).alias("hash"),
+        tie_hash(F.col("text").cast("string")).alias("tie"),
         F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"),
     )
-    narrow = scratch.save(sized.select("source", "hash", "size"))
+    narrow = scratch.save(sized.select("source", "hash", "tie", "size"))
     targets = scratch.save(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     cuts = scratch.save(targets.join(thresholds(narrow, targets).withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left").drop("s"))
     plan = cuts.withColumnRenamed("source", "s")
-    extra = F.when((F.col("rest") > 0) & (F.col("hash") < F.col("cut")), 1).otherwise(0)
+    below = (F.col("hash") < F.col("at")) | ((F.col("hash") == F.col("at")) & (F.col("tie") < F.col("tie_at")))
+    extra = F.when((F.col("rest") > 0) & below, 1).otherwise(0)
     return sized.join(plan, F.col("s").eqNullSafe(F.col("source")), "left").select(
         "row", "size", "source_size", "target", (F.col("whole") + extra).cast("int").alias("uses")
     )

@@ -369,3 +369,50 @@ def test_pipeline_against_its_operators(spark, sf_dir, odd_docs):
             assert offset == at
             at += length
         assert at <= packing.CAPACITY
+
+
+def test_ids_of_odd_strings_equal_the_tokenizers(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(path), random.Random(31)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "İ", "İ.", "İ,", "ß", "ẞ.", "é", "́", "‍", "ﬁ", "Σ", "ΑΣ.", "Straße,", "don't", "A.", "abc,", "x..", "...", " ", "\n", " ", "Ünïcode.", "7,", "K.", "K."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in packing.tokenize(docs, path, keep_ids=True).collect():
+        assert r["ids"] == [*whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids, packing.END], repr(texts[r["doc_id"]])
+
+
+def test_packing_of_clashing_columns(spark):
+    pieces = spark.createDataFrame([(k, "g", "s", "o", 1 + k % 90) for k in range(400)], "doc_id bigint, grp string, sequence_id string, offset string, length bigint")
+    got = packing.pack(pieces, capacity=100).collect()
+    assert len(got) == 400 and all(r["grp"] == "g" for r in got)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(at == sum(n for _, n in sorted(b)[:k]) for b in bins.values() for k, (at, _) in enumerate(sorted(b)))
+    assert all(sum(n for _, n in b) <= 100 for b in bins.values())
+
+
+def test_texts_of_one_id_are_cleaned_each_by_itself(spark):
+    rng = random.Random(41)
+    notice, passage = "Alle Rechte vorbehalten, so gehört es sich für Übersetzungen", prose(rng, 60)
+    own = lambda k: " ".join(f"é{k}x{i}" for i in range(35))
+    rows = [(1, f"{own(0)}\n{notice}\n{passage}"), (7, f"{own(1)}\n{notice}\n{own(2)}"), (7, f"{own(3)} {own(4)}\n{own(5)}\n{notice}\n{passage}"), (7, own(6)), (7, f"{own(1)}\n{notice}\n{own(2)}"), (None, notice)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in unitdedup.dedup_units(docs).collect())
+    want = [rows[0], (7, f"{own(1)}\n{own(2)}"), (7, f"{own(3)} {own(4)}\n{own(5)}\n"), rows[3], (7, f"{own(1)}\n{own(2)}"), rows[5]]
+    assert got == Counter(want)
+    spans = unitdedup.repeated_spans(docs).collect()
+    assert len({(r["doc_id"], r["text_hash"]) for r in spans}) == 2 and len(spans) == 2
+
+
+def test_rows_without_ids_meet_the_target(spark):
+    rng = random.Random(51)
+    rows = [(None, prose(rng, 35 + k % 11), "a") for k in range(50)] + [(k % 3, prose(rng, 30 + k), "b") for k in range(40)] + [(k, prose(rng, 40), None) for k in range(60)]
+    rows += [(None, "same text here", "d")] * 9
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for source in ("a", "b", None):
+        mine = mixing.mix(docs).where(F.col("row.source").eqNullSafe(F.lit(source))).select("size", "target", "uses").collect()
+        taken, longest = sum(r["size"] * r["uses"] for r in mine), max(r["size"] for r in mine)
+        assert abs(taken - mine[0]["target"]) <= longest / 2 + 1e-6 and max(r["uses"] for r in mine) <= mixing.EPOCHS
