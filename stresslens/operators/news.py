@@ -133,19 +133,34 @@ def campaigns(rows: DataFrame, actor: str, event: str, ts: str, score: str, limi
 BEHIND_H, AHEAD_H, LEAST_COSINE = 96.0, -24.0, 0.68
 
 
-class _Clusters:
-    """The clusters of one topic that can still be joined, as matrices."""
+class Clusters:
+    """The clusters of one topic that can still be joined, as matrices, numbered in the order in which they began."""
 
     def __init__(self):
         self.leaders: list = []
+        self.numbers: list[int] = []
+        self.next = 0
         self.centroids, self.last, self.sizes = np.empty((0, 0)), np.empty(0), np.empty(0, int)
 
+    def restore(self, number: int, leader, last: float, size: int, centroid: np.ndarray) -> None:
+        """Add an open cluster, after those that began before it."""
+        self.leaders.append(leader)
+        self.numbers.append(number)
+        self.centroids = np.vstack([self.centroids, centroid]) if self.centroids.size else centroid[None, :].copy()
+        self.last, self.sizes = np.append(self.last, last), np.append(self.sizes, size)
+        self.next = max(self.next, number + 1)
+
+    def open_clusters(self) -> dict[int, tuple]:
+        """(leader, last, size, centroid) by number."""
+        return {n: (leader, float(last), int(size), c.tolist()) for n, leader, last, size, c in zip(self.numbers, self.leaders, self.last, self.sizes, self.centroids, strict=True)}
+
     def place(self, id, at: float, vec: np.ndarray) -> tuple[object, int]:
         """The leader and size of the cluster that the article joins or starts."""
         if len(self.leaders):
             alive = at - self.last <= BEHIND_H
             if not alive.all():
                 self.leaders = [x for x, k in zip(self.leaders, alive, strict=True) if k]
+                self.numbers = [x for x, k in zip(self.numbers, alive, strict=True) if k]
                 self.centroids, self.last, self.sizes = self.centroids[alive], self.last[alive], self.sizes[alive]
         if len(self.leaders):
             cosines = np.where(at - self.last >= AHEAD_H, self.centroids @ vec, -np.inf)
@@ -156,9 +171,7 @@ class _Clusters:
                 self.centroids[k] = moved / norm if norm > 0 else moved
                 self.last[k], self.sizes[k] = max(self.last[k], at), self.sizes[k] + 1
                 return self.leaders[k], int(self.sizes[k])
-        self.leaders.append(id)
-        self.centroids = np.vstack([self.centroids, vec]) if self.centroids.size else vec[None, :].copy()
-        self.last, self.sizes = np.append(self.last, at), np.append(self.sizes, 1)
+        self.restore(self.next, id, at, 1, vec)
         return id, 1
 
 
@@ -178,12 +191,12 @@ def cluster_events(articles: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, clusters = None, _Clusters()
+        current, clusters = None, Clusters()
         for frame in batches:
             out = []
             for topic, session, id, hours, vec in zip(*(frame[c] for c in ("topic", "session", "id", "hours", "vec")), strict=True):
                 if (topic, session) != current:
-                    current, clusters = (topic, session), _Clusters()
+                    current, clusters = (topic, session), Clusters()
                 out.append((topic, id, *clusters.place(id, hours, np.asarray(vec, float))))
             yield pd.DataFrame(out, columns=["topic", "id", "leader", "size"])
 

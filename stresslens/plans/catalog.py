@@ -19,7 +19,7 @@ _register, _t = registry.register, registry.table
 
 
 def queries() -> dict:
-    from stresslens.plans import enrich_catalog, search_catalog, view_catalog  # noqa: F401, they register on import
+    from stresslens.plans import enrich_catalog, search_catalog, stream_catalog, view_catalog  # noqa: F401, they register on import
 
     return dict(registry.QUERIES)
 

@@ -5,18 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back; deleted when the driver's JVM ends.
+def new_folder(spark: SparkSession) -> str:
+    """A new, unused path under ``spark.checkpoint.dir``, deleted when the driver's JVM ends.
 
-    The lineage ends there, and lost executors don't take it along.  Only a
-    ``local`` master may leave the setting out: a temporary folder is used.
+    Only a ``local`` master may leave the setting out: a temporary folder is used.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -25,7 +23,16 @@ def kept(df: DataFrame) -> DataFrame:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="stresslens-core-"))
         base = _fallback[0]
     path = f"{base.rstrip('/')}/stresslens-core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a :func:`new_folder` and read back.
+
+    The lineage ends there, and lost executors don't take it along.
+    """
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

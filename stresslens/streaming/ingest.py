@@ -1,4 +1,4 @@
-"""Incremental forms: de-duplication under a watermark, daily counts, and merging batches into a table."""
+"""Incremental forms: de-duplication under a watermark, daily counts, and appending what is there."""
 
 from __future__ import annotations
 
