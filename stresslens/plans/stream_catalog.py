@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stresslens.plans.registry import SQL, register, table
+from stresslens.sources import remote
 from stresslens.sources.shared import new_folder
+from stresslens.sources.versioned import Folder
 from stresslens.streaming import clusters
 from stresslens.streaming.merge import DailyTable
 
@@ -66,3 +68,44 @@ def q_incremental_merge(spark, sf):
         part = F.col("o_orderkey") % 5 == number % 5
         stored.merge((orders if number < 5 else later).where(part), number)
     return stored.read(spark)
+
+
+@register("""SELECT substr(o_orderpriority, 1, 1) AS key, count(DISTINCT CAST(o_orderdate AS DATE)) AS observations, min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day, false AS failed FROM orders GROUP BY 1
+UNION ALL SELECT unnest(['empty', 'broken', 'missing']), 0, NULL, NULL, true""")
+def q_remote_series(spark, sf):
+    """Series of daily means, written as a CSV file for each priority and scanned with three sources that fail: no header line's rows, no numbers, no file."""
+    base = Folder(spark, new_folder(spark))
+    means = table(spark, sf, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("key"), F.to_date("o_orderdate").alias("DATE")).agg(F.avg("o_totalprice").alias("VALUE"))
+    means.repartition("key").sortWithinPartitions("key", "DATE").write.partitionBy("key").option("header", True).csv(base.path)
+    sources = {}
+    for key in (n for n in base.names() if n.startswith("key=")):
+        for k, name in enumerate(n for n in base.names(key) if n.endswith(".csv")):
+            sources[f"{key[4:]}{'' if not k else f'/{k}'}"] = f"{base.path}/{key}/{name}"
+    base.create("empty.csv", "DATE,VALUE\n")
+    base.create("broken.csv", "<html>\n<body>not, a series</body>\n")
+    sources |= {n: f"{base.path}/{n}.csv" for n in ("empty", "broken", "missing")}
+    rows = remote.scan(spark, "series", sources, attempts=2, pause=0.01)
+    return rows.groupBy("key").agg(F.count("d").alias("observations"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), (F.count("error") > 0).alias("failed"))
+
+
+@register("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT event_type AS source, event_type || ' & ' || event_id AS title, 'http://feed/' || event_id || '?a=1&b=2' AS url, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published, false AS failed FROM e WHERE r <= 100
+UNION ALL SELECT unnest(['cut off', 'missing']), NULL, NULL, NULL, true""")
+def q_remote_feeds(spark, sf):
+    """Feeds of the newest 120 events of each type, scanned with two sources that fail; a scan takes 100 entries of a feed."""
+    base = Folder(spark, new_folder(spark))
+    newest = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    events = table(spark, sf, "events").withColumn("r", F.row_number().over(newest)).where("r <= 120")
+    link = F.concat(F.lit("http://feed/"), F.col("event_id").cast("string"), F.lit("?a=1&amp;b=2"))
+    item = F.concat(
+        F.lit("<item><title>"), "event_type", F.lit(" &amp;amp; "), F.col("event_id").cast("string"), F.lit("</title><link>"), link, F.lit("</link><pubDate>"),
+        F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"),
+    )
+    feeds = events.select("event_type", F.struct("r", item.alias("x")).alias("i")).groupBy("event_type").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("items", lambda i: i["x"]), ""), F.lit("</channel></rss>"))
+    feeds.select("event_type", body.alias("value")).repartition("event_type").write.partitionBy("event_type").text(base.path)
+    sources = {f[11:]: f"{base.path}/{f}/{n}" for f in base.names() if f.startswith("event_type=") for n in base.names(f) if n.endswith(".txt")}
+    base.create("cut.xml", "<rss><channel><item><title>half an ent")
+    sources |= {"cut off": f"{base.path}/cut.xml", "missing": f"{base.path}/missing.xml"}
+    rows = remote.scan(spark, "feeds", sources, attempts=1)
+    return rows.select("source", "title", "url", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("error").isNotNull().alias("failed"))
