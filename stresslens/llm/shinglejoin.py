@@ -127,17 +127,38 @@ def _shared_only(reps: DataFrame, percent: int) -> DataFrame:
     return common.join(able, "node", "left_semi").select("token", "node", "n", "at")
 
 
-def _chosen(lists: Column, n: Column, percent: int) -> Column:
-    """The cheapest number of matches to ask for, from (at, held) of a set's shared tokens."""
-    most = F.least(F.lit(MOST_MATCHES), least_overlap(n, percent))
-    verify = n * VERIFY_SHARE + VERIFY_FIXED
+def cheapest(at: np.ndarray, held: np.ndarray, n: int, percent: int) -> tuple[int, int]:
+    """(matches to ask for, shared tokens of that prefix) for a set of ``n``, from its shared tokens' places (ascending) and list lengths."""
+    least = least_overlap(n, percent)
+    ask = np.arange(1, min(MOST_MATCHES, least) + 1)
+    inside = np.searchsorted(at, n - least + ask)
+    read = np.append(0, np.cumsum(held - 1))[inside].astype(float)
+    best = int(np.argmin(read + (n * VERIFY_SHARE + VERIFY_FIXED) * read / ask))
+    return int(ask[best]), int(inside[best])
 
-    def cost(k: Column) -> Column:
-        inside = F.filter(lists, lambda s: s["at"] < n - least_overlap(n, percent) + k)
-        read = F.aggregate(inside, F.lit(0).cast("double"), lambda total, s: total + s["held"] - 1)
-        return F.struct((read + verify * read / k).alias("cost"), k.alias("k"))
 
-    return F.array_min(F.transform(F.sequence(F.lit(1), most), cost))["k"]
+def _choose(percent: int):
+    """Over (node, n, lists of (at, held, token)): the matches that each set asks for, and its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends, parts = lists.offsets.to_numpy(), [lists.values.field(k).to_numpy() for k in range(3)]
+            keep, matches, prefixes = [], [], []
+            for row, n in enumerate(batch.column(1).to_pylist()):
+                at, held, token = (p[ends[row] : ends[row + 1]] for p in parts)
+                order = np.argsort(at)
+                ask, inside = cheapest(at[order], held[order], n, percent)
+                if inside >= ask:
+                    keep.append(row)
+                    matches.append(ask)
+                    prefixes.append(token[order[:inside]])
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            kept = [batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "n", "matches", "prefix"])
+
+    return run
 
 
 def adaptive_prefixes(reps: DataFrame, percent: int, tasks: int) -> DataFrame:
@@ -145,10 +166,7 @@ def adaptive_prefixes(reps: DataFrame, percent: int, tasks: int) -> DataFrame:
     postings = scratch.save(_shared_only(reps, percent), tasks=4 * tasks)
     held = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     lists = postings.join(held, "token").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "held", "token")).alias("lists"))
-    chosen = lists.withColumn("matches", _chosen(F.col("lists"), F.col("n"), percent))
-    inside = F.filter("lists", lambda s: s["at"] < F.col("n") - least_overlap(F.col("n"), percent) + F.col("matches"))
-    rows = chosen.select("node", "n", "matches", F.transform(F.array_sort(inside), lambda s: s["token"]).alias("prefix"))
-    return scratch.save(rows.where(F.size("prefix") >= F.col("matches")), tasks=tasks)
+    return scratch.save(lists.mapInArrow(_choose(percent), "node bigint, n bigint, matches int, prefix array<bigint>"), tasks=tasks)
 
 
 def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
