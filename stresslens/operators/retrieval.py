@@ -143,15 +143,19 @@ def rerank(fused: DataFrame, meta: DataFrame, limit: int) -> DataFrame:
     return top(scored, limit, [F.desc("final"), F.col("id")])
 
 
-def search_news(index: tuple[DataFrame, DataFrame], vectors: DataFrame, meta: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search_news(index, vectors: DataFrame, meta: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(qid, id, rrf, lists, final, rank): full text and nearest vectors, fused and reranked.
 
-    ``queries(qid, words, q)``, an index of :func:`build_index`, ``vectors(id,
-    v)`` and ``meta(id, age_days, trust)``.  Each list holds ``LIST`` hits of a
+    ``queries(qid, words, q)``, an index of :func:`build_index` or a
+    ``blockindex.BlockIndex``, ``vectors(id, v)`` and ``meta(id, age_days,
+    trust)``.  Each list holds ``LIST`` hits of a
     query; the limit lies between 1 and 50.
     """
     terms = queries.select("qid", F.explode("words").alias("term")).distinct()
-    lexical = top(search_index(index, terms).withColumn("score", F.round("score", 6)), LIST, [F.desc("score"), F.col("id")])
+    if isinstance(index, tuple):
+        lexical = top(search_index(index, terms).withColumn("score", F.round("score", 6)), LIST, [F.desc("score"), F.col("id")])
+    else:
+        lexical = index.search(terms, LIST)
     near = knn(queries.select("qid", "q"), vectors, LIST)
     return rerank(rrf([lexical, near]), meta, min(50, max(1, limit)))
 
@@ -174,6 +178,7 @@ def hybrid_rank(candidates: DataFrame, limit: int, lexical: float = 0.45, semant
 
 
 def _shares(lexical: float, semantic: float) -> tuple[float, float]:
+    lexical, semantic = max(0.0, lexical), max(0.0, semantic)
     total = lexical + semantic
     return (lexical / total, semantic / total) if total > 0 else (1.0, 0.0)
 
@@ -195,9 +200,15 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, limit: int, lexical: floa
             sims, lex, ids = stack(a, "q") @ stack(b, "v").T, stack(a, "lq") @ stack(b, "lv").T, b["id"].to_numpy()
             mixed = wl * np.minimum(1.0, lex / 12.0) + ws * np.clip(sims, 0.0, 1.0)
             for k, qid in enumerate(a["qid"]):
-                # rounding comes later: what lies within two units of the last place is still in
-                least = max(-1.0, np.partition(mixed[k], -limit)[-limit] - 2e-6) if len(ids) > limit else -1.0
-                at = np.flatnonzero(mixed[k] >= least)
+                # rounding comes later: what lies within two units of the last place is still in, of equal rows only the first
+                at = np.arange(len(ids))
+                if len(ids) > limit:
+                    edge = np.partition(mixed[k], -limit)[-limit]
+                    near = np.flatnonzero(np.abs(mixed[k] - edge) <= 2e-6)
+                    equal = np.unique(np.stack([sims[k][near], lex[k][near]], 1), axis=0, return_inverse=True)[1].ravel()
+                    order = np.lexsort((ids[near], equal))
+                    place = np.arange(len(near)) - np.searchsorted(equal[order], equal[order])
+                    at = np.concatenate([np.flatnonzero(mixed[k] > edge + 2e-6), near[order[place < limit]]])
                 out.append(pd.DataFrame({"qid": qid, "id": ids[at], "lex": lex[k][at], "sim": sims[k][at]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "lex": [], "sim": []})
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
-from stresslens.operators import enrich, graph, mlp, news, retrieval, scoring, series
+from stresslens.operators import cells, enrich, graph, mlp, news, retrieval, scoring, series
 from stresslens.plans import registry
 from stresslens.streaming import ingest
 
@@ -381,6 +381,13 @@ def q_knn_twentieth(spark, sf):
     return retrieval.knn(_queries(spark, sf, 20), vectors, 10).select("qid", "id", "dist", "rank")
 
 
+@_register(f"WITH {_KNN.replace('% 100', '% 20')} SELECT qid, id, dist, rank::INT AS rank FROM k WHERE rank <= 10")
+def q_knn_cells(spark, sf):
+    """q_knn_twentieth by cells: the same rows from a part of the distances."""
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return cells.knn_cells(_queries(spark, sf, 20), vectors, 10)[0].select("qid", "id", "dist", "rank")
+
+
 TERMS = ((1, "the"), (1, "tion"), (2, "de"), (2, "la"), (3, "und"))
 
 

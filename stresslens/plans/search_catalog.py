@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from stresslens.functions import text
 from stresslens.operators import retrieval
+from stresslens.operators.blockindex import BlockIndex
 from stresslens.plans.registry import register, table
+from stresslens.sources.shared import new_folder, session_folder
 
 _WORDS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 _SEARCH = rf"""dw AS (SELECT doc_id AS id, {_WORDS.format("concat_ws(' ', text, source)")} AS words FROM documents), st AS (SELECT count(*) AS n, avg(len(words)) AS m FROM dw),
@@ -27,7 +29,8 @@ fi AS (SELECT qid, id, lists, round(rrf + 0.08::DOUBLE * exp(-ln(2) * (id % 60)
 def _search(spark, sf, limit: int):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    index = retrieval.build_index(docs.select("id", retrieval.index_words("text", "source").alias("words")))
+    index = BlockIndex(spark, session_folder(spark, f"documents of {sf}"))  # one index for all queries of the session
+    index.ensure(docs.select("id", retrieval.index_words("text", "source").alias("words")))
     asked = docs.where("id % 20 = 0").join(vectors, "id").select(F.col("id").alias("qid"), retrieval.query_words("text").alias("words"), F.col("v").alias("q"))
     meta = docs.select("id", (F.col("id") % 60).alias("age_days"), F.when(F.col("id") % 7 != 0, F.col("id") % 10 / 10.0).alias("trust"))
     return retrieval.search_news(index, vectors, meta, asked, limit)
@@ -108,3 +111,39 @@ def q_alias_expansion(spark, sf):
 def q_postings(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), retrieval.index_words("text", "source").alias("words"))
     return retrieval.build_index(docs)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
+_TOP10 = "SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 10"
+
+
+def _indexed(spark, sf):
+    """(documents as (id, words), the words of every twentieth as (qid, term))."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), retrieval.index_words("text", "source").alias("words"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    asked = docs.where("doc_id % 20 = 0").join(vectors, "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), F.explode(retrieval.query_words("text")).alias("term"))
+    return rows, asked
+
+
+@register(f"WITH {_SEARCH} {_TOP10}")
+def q_index_search(spark, sf):
+    """BM25 over the stored index by blocks: built once, found unchanged by its second call, most blocks not opened."""
+    rows, asked = _indexed(spark, sf)
+    index = BlockIndex(spark, new_folder(spark))
+    index.ensure(rows)
+    index.ensure(rows)
+    return index.search(asked, 10).select("qid", "id", "score", "rank")
+
+
+@register(f"WITH {_SEARCH.replace('FROM documents), st AS', 'FROM documents WHERE doc_id % 10 <> 4), st AS')} {_TOP10}")
+def q_index_segments(spark, sf):
+    """The same after documents came in five segments, some twice, a tenth was deleted, and small segments were merged."""
+    rows, asked = _indexed(spark, sf)
+    index = BlockIndex(spark, new_folder(spark))
+    index.ensure(rows.where("id % 5 = 0"))
+    for k in (1, 2, 3, 4):
+        again = (F.col("id") % 5 == k - 1) & (F.col("id") % 7 == 0)
+        index.add(rows.where((F.col("id") % 5 == k) | again))
+    index.delete(rows.where("id % 10 = 4").select("id"))
+    index.merge_segments()
+    return index.search(asked, 10).select("qid", "id", "score", "rank")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+_named: dict[tuple[str, str], str] = {}
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -28,6 +29,14 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A :func:`new_folder` that stays the same for a name as long as the application runs."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _named:
+        _named[key] = new_folder(spark)
+    return _named[key]
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to a :func:`new_folder` and read back.
 
