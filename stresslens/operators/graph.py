@@ -69,9 +69,10 @@ def article_graph(articles: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
 
     ``articles`` (id, source, event, day, title, topics, indicators, entities,
     actors, targets, modalities, responses, attributions, channels) and
-    ``events`` (event_id, label, actors, ..., attributions).  Ten relations of
-    articles and events to the other kinds; where both name a node the label
-    of the greatest text wins.
+    ``events`` (event_id, label, actors, ..., attributions).  Sources,
+    evidence, entities and actors hang on articles; days, topics, indicators
+    and all else on events.  Where both name a node the label of the greatest
+    text wins; ``newsgraph`` has weights, metadata and the last write.
     """
     nodes = nodes_of(articles, "article", "id", "title")
     for kind, column in (("source", "source"), ("day", "day")):
@@ -83,10 +84,11 @@ def article_graph(articles: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
     article, event = ("article", "id"), ("event", "event_id")
     edges = [
         edges_of(articles.where("source is not null"), "PUBLISHED_BY", article, ("source", "source")), edges_of(articles, "EVIDENCE_FOR", article, ("event", "event")),
-        edges_of(articles.where("day is not null"), "OBSERVED_ON", article, ("day", "day")),
-        *[from_arrays(articles, rel, article, kind, column) for rel, kind, column in (("ABOUT", "topic", "topics"), ("IMPACTS", "indicator", "indicators"), ("MENTIONS", "entity", "entities"))],
+        edges_of(articles.where("day is not null"), "OBSERVED_ON", ("event", "event"), ("day", "day")),
+        *[from_arrays(articles, rel, ("event", "event"), kind, column) for rel, kind, column in (("ABOUT", "topic", "topics"), ("IMPACTS", "indicator", "indicators"))],
+        *[from_arrays(articles, rel, article, kind, column) for rel, kind, column in (("MENTIONS", "entity", "entities"), ("MENTIONS_ACTOR", "actor", "actors"))],
         *[from_arrays(events, rel, event, kind, column) for rel, kind, column in (
-            ("MENTIONS_ACTOR", "actor", "actors"), ("TARGETS", "target", "targets"), ("USES_MODALITY", "modality", "modalities"),
+            ("TARGETS", "target", "targets"), ("USES_MODALITY", "modality", "modalities"),
             ("ASSOCIATED_RESPONSE", "response", "responses"), ("POTENTIAL_MARKET_CHANNEL", "indicator", "channels"))],
         from_arrays(events.withColumn("_said", F.transform("attributions", lambda a: a["actor"])), "REPORTED_ATTRIBUTION", event, "actor", "_said"),
     ]
@@ -97,13 +99,13 @@ def article_graph(articles: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
 
 
 def campaign_edges(events: DataFrame, ts: str = "first_seen") -> DataFrame:
-    """Edges of campaigns: the actor's thread, its events, and each event to the next of the same actor.
+    """Edges of campaigns: the thread to its actor and its events, and each event to the next of the same actor.
 
     Only attributed or disputed actors have a campaign.  ``events`` has
     event_id, ``ts`` and attributions (actor, status).
     """
     said = events.select("event_id", ts, F.explode("attributions").alias("a")).where(F.col("a.status") != "suspected").select("event_id", ts, F.col("a.actor").alias("actor"))
-    thread = edges_of(said.select("actor").distinct(), "REPORTED_ACTOR_THREAD", ("actor", "actor"), ("campaign", "actor"))
+    thread = edges_of(said.select("actor").distinct(), "REPORTED_ACTOR_THREAD", ("campaign", "actor"), ("actor", "actor"))
     has = edges_of(said, "HAS_EVENT", ("campaign", "actor"), ("event", "event_id"))
     after = F.lead("event_id").over(Window.partitionBy("actor").orderBy(ts, "event_id"))
     pairs = said.select("event_id", after.alias("next")).where("next is not null").distinct()

@@ -58,3 +58,15 @@ def last_so_far(rows: DataFrame, by: list[str], order: list[Column], value: str)
 def placed(rows: DataFrame, by: list[str], order: list[Column], place: str) -> DataFrame:
     """``rows`` with their place (1, 2, ...) in the order of their group."""
     return running_sums(rows, by, order, {place: F.lit(1).cast("long")})
+
+
+def next_rows(rows: DataFrame, by: list[str], order: list[str], taken: dict[str, str]) -> DataFrame:
+    """``rows`` with values of the next row of their group (column to new name), null for the last; order and values are plain columns."""
+    ranged = in_ranges(rows, by, [F.col(c) for c in order])
+    value = F.struct(*[F.col(c).alias(n) for c, n in taken.items()])
+    here = Window.partitionBy("_range", *by).orderBy(*order)
+    inside = ranged.withColumn("_next", F.lead(value).over(here))
+    starts = ranged.groupBy("_range", *by).agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    after = Window.partitionBy(*by).orderBy("_range")
+    joined = inside.join(_carried(starts, by, [F.lead("_first").over(after).alias("_after")]), _same(by))
+    return joined.select(*rows.columns, *[F.coalesce(F.col("_next"), F.col("_after"))[n].alias(n) for n in taken.values()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
-from stresslens.operators import enrich, filters, graph, news, retrieval, scoring, series
+from stresslens.operators import enrich, filters, graph, news, newsgraph, retrieval, scoring, series
 from stresslens.plans import catalog as c
 from stresslens.plans.enrich_catalog import _EVENTS, _enriched, _geo_events
 from stresslens.plans.registry import register, table
@@ -233,8 +233,8 @@ def _typed(spark, sf):
 
 _TYPED = f"""{_EVENTS}, aa AS (SELECT *, list_filter([CASE WHEN contains(t, 'ther') THEN 'Alpha' END, CASE WHEN contains(t, 'ouai') THEN 'Beta' END], lambda x: x IS NOT NULL) AS entities FROM gx),
 te AS (SELECT 'PUBLISHED_BY' AS rel, 'article:' || doc_id AS src, 'source:' || source AS dst FROM aa WHERE source IS NOT NULL UNION ALL SELECT 'EVIDENCE_FOR', 'article:' || doc_id, 'event:' || ev FROM aa
- UNION ALL SELECT 'OBSERVED_ON', 'article:' || doc_id, 'day:' || (DATE '2024-01-01' + (doc_id % 28)::INT)::VARCHAR FROM aa UNION ALL SELECT 'ABOUT', 'article:' || doc_id, 'topic:' || lang FROM aa UNION ALL SELECT 'IMPACTS', 'article:' || doc_id, 'indicator:' || lang FROM aa
- UNION ALL SELECT 'MENTIONS', 'article:' || doc_id, 'entity:' || unnest(entities) FROM aa UNION SELECT 'MENTIONS_ACTOR', 'event:' || ev, 'actor:' || unnest(actors) FROM aa UNION SELECT 'TARGETS', 'event:' || ev, 'target:' || unnest(targets) FROM aa
+ UNION ALL SELECT 'OBSERVED_ON', 'event:' || ev, 'day:' || (DATE '2024-01-01' + (doc_id % 28)::INT)::VARCHAR FROM aa UNION ALL SELECT 'ABOUT', 'event:' || ev, 'topic:' || lang FROM aa UNION ALL SELECT 'IMPACTS', 'event:' || ev, 'indicator:' || lang FROM aa
+ UNION ALL SELECT 'MENTIONS', 'article:' || doc_id, 'entity:' || unnest(entities) FROM aa UNION SELECT 'MENTIONS_ACTOR', 'article:' || doc_id, 'actor:' || unnest(actors) FROM aa UNION SELECT 'TARGETS', 'event:' || ev, 'target:' || unnest(targets) FROM aa
  UNION SELECT 'USES_MODALITY', 'event:' || ev, 'modality:' || unnest(modalities) FROM aa UNION SELECT 'ASSOCIATED_RESPONSE', 'event:' || ev, 'response:' || unnest(responses) FROM aa
  UNION SELECT 'POTENTIAL_MARKET_CHANNEL', 'event:' || ev, 'indicator:' || unnest(string_split(channels, ',')) FROM aa WHERE channels <> '' UNION SELECT 'REPORTED_ATTRIBUTION', 'event:' || ev, 'actor:' || actor FROM pr WHERE ev IN (SELECT ev FROM aa))"""
 
@@ -250,7 +250,7 @@ def q_typed_nodes(spark, sf):
 
 
 @register(f"""WITH {_EVENTS}, th AS (SELECT DISTINCT actor, ev, first_doc FROM pr JOIN eo ON eo.event_id = pr.ev WHERE p >= 2)
-SELECT 'REPORTED_ACTOR_THREAD' AS rel, 'actor:' || actor AS src, 'campaign:' || actor AS dst FROM th UNION SELECT 'HAS_EVENT', 'campaign:' || actor, 'event:' || ev FROM th
+SELECT 'REPORTED_ACTOR_THREAD' AS rel, 'campaign:' || actor AS src, 'actor:' || actor AS dst FROM th UNION SELECT 'HAS_EVENT', 'campaign:' || actor, 'event:' || ev FROM th
 UNION SELECT 'CAMPAIGN_PRECEDES', 'event:' || ev, 'event:' || nx FROM (SELECT ev, lead(ev) OVER (PARTITION BY actor ORDER BY first_doc, ev) AS nx FROM th) WHERE nx IS NOT NULL""")
 def q_campaign_edges(spark, sf):
     return graph.campaign_edges(_geo_events(spark, sf)).select("rel", "src", "dst")
@@ -278,3 +278,65 @@ def q_cluster_documents(spark, sf):
     rows = table(spark, sf, "documents")
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}0-9]+")
     return news.cluster_events(rows.select(F.col("lang").alias("topic"), F.timestamp_seconds(F.col("doc_id") * 3600 + 1_700_000_000).alias("ts"), F.col("doc_id").alias("id"), retrieval.hashed_vector(words).alias("vec")))
+
+
+# --- the corpus's graph with weights --------------------------------------------------------------
+
+_KNOWN = {"0": ("systemic", ["credit", "funding"]), "3": ("sovereign", ["banking"]), "7": ("funding", [])}
+
+
+def _news_graph(spark, sf):
+    rows, pick = _enriched(spark, sf), lambda *v: F.array(*v)
+    number, day = F.col("doc_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).cast("string")
+    none = F.array().cast("array<struct<actor:string,status:string>>")
+    rows = rows.select(
+        number.alias("seq"), "doc_id", F.concat(F.lit("doc "), number.cast("string")).alias("title"), F.lit(None).cast("string").alias("url"), F.when(number % 9 > 0, day).alias("published_at"),
+        F.when(number % 4 > 0, F.col("source")).alias("publisher"), F.when(number % 8 > 0, F.lit("feed")).alias("source_name"), F.when(number % 6 > 0, number % 10 / 10.0).alias("trust"),
+        F.when(number % 5 > 0, number % 37 / 37.0).alias("relevance"), (number % 150).cast("string").alias("event_id"), F.when(number % 3 > 0, F.concat(F.lit("label "), number.cast("string"))).alias("event_label"),
+        "score", "geopolitical", F.when(number % 7 > 0, pick("lang")).alias("topics"), pick("lang").alias("indicators"), enrich.entities("text", {"Alpha": ["ther"], "Beta": ["ouai"]}).alias("entities"),
+        "actors", "targets", "modalities", "responses", "channels", F.coalesce("attributions", none).alias("attributions"),
+    )
+    windows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 4).cast("string").alias("start"))
+    return newsgraph.news_graph(rows, _geo_events(spark, sf).select("event_id", "first_seen", "attributions"), windows, _KNOWN)
+
+
+_EPISODES = " UNION ALL ".join(f"SELECT {k} AS id, '{t}' AS topic, {v}::VARCHAR[] AS ind" for k, (t, v) in _KNOWN.items())
+_NEWS_GRAPH = f"""{_EVENTS}, a0 AS (SELECT *, (doc_id % 150)::VARCHAR AS e, doc_id::VARCHAR AS n, CASE WHEN doc_id % 9 > 0 THEN (DATE '2024-01-01' + (doc_id % 28)::INT)::VARCHAR END AS day,
+  coalesce(CASE WHEN doc_id % 4 > 0 THEN source END, CASE WHEN doc_id % 8 > 0 THEN 'feed' END, 'unknown') AS src_name, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 37) / 37::DOUBLE ELSE 0 END AS rel_w,
+  CASE WHEN doc_id % 6 > 0 AND doc_id % 10 > 0 THEN (doc_id % 10) / 10::DOUBLE ELSE 0.5 END AS trust,
+  list_filter([CASE WHEN contains(t, 'ther') THEN 'Alpha' END, CASE WHEN contains(t, 'ouai') THEN 'Beta' END], lambda x: x IS NOT NULL) AS entities FROM sv),
+w0 AS (SELECT doc_id AS seq, 'article:' || n AS src, 'source:' || src_name AS dst, 'PUBLISHED_BY' AS rel, trust AS w, '' AS meta FROM a0
+ UNION ALL SELECT doc_id, 'article:' || n, 'event:' || e, 'EVIDENCE_FOR', rel_w, coalesce('published_at=' || day, '') FROM a0
+ UNION ALL SELECT doc_id, 'event:' || e, 'day:' || day, 'OBSERVED_ON', 1, '' FROM a0 WHERE day IS NOT NULL
+ UNION ALL SELECT doc_id, 'event:' || e, 'topic:' || lang, 'ABOUT', rel_w, '' FROM a0 WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, 'event:' || e, 'indicator:' || lang, 'IMPACTS', rel_w, '' FROM a0
+ UNION ALL SELECT doc_id, 'article:' || n, 'entity:' || unnest(entities), 'MENTIONS', 1, '' FROM a0 UNION ALL SELECT doc_id, 'article:' || n, 'actor:' || unnest(actors), 'MENTIONS_ACTOR', 1, '' FROM a0 WHERE geopolitical
+ UNION ALL SELECT doc_id, 'event:' || e, 'target:' || unnest(targets), 'TARGETS', 1, '' FROM a0 WHERE geopolitical UNION ALL SELECT doc_id, 'event:' || e, 'modality:' || unnest(modalities), 'USES_MODALITY', 1, '' FROM a0 WHERE geopolitical
+ UNION ALL SELECT doc_id, 'event:' || e, 'response:' || unnest(responses), 'ASSOCIATED_RESPONSE', 1, '' FROM a0 WHERE geopolitical
+ UNION ALL SELECT doc_id, 'event:' || e, 'indicator:' || unnest(string_split(channels, ',')), 'POTENTIAL_MARKET_CHANNEL', 1, 'hypothetical=true' FROM a0 WHERE geopolitical AND channels <> ''
+ UNION ALL SELECT ar.doc_id, 'event:' || a0.e, 'actor:' || actor, 'REPORTED_ATTRIBUTION', 1, 'attribution_status=' || status FROM ar JOIN a0 ON a0.doc_id = ar.doc_id WHERE geopolitical),
+th AS (SELECT DISTINCT actor, ev, first_doc FROM pr JOIN eo ON eo.event_id = pr.ev WHERE p >= 2),
+fi AS (SELECT e, min(day) AS d1, arg_min(CASE WHEN doc_id % 7 > 0 THEN lang ELSE 'unclassified' END, doc_id) AS topic FROM a0 GROUP BY 1),
+ch AS (SELECT *, lead(e) OVER o AS nx, lead(d1) OVER o AS d2 FROM fi WHERE d1 IS NOT NULL WINDOW o AS (PARTITION BY topic ORDER BY d1, e)),
+hi AS (SELECT n_nationkey AS id, n_name AS name, (n_nationkey % 4)::VARCHAR AS start, coalesce(k.topic, 'systemic_crisis') AS topic, coalesce(k.ind, []) AS ind FROM nation LEFT JOIN ({_EPISODES}) k ON k.id = n_nationkey),
+ed AS (SELECT src, dst, rel, round(arg_max(w, seq), 4) AS weight, arg_max(meta, seq) AS meta FROM w0 GROUP BY 1, 2, 3
+ UNION ALL SELECT DISTINCT 'campaign:' || actor, 'actor:' || actor, 'REPORTED_ACTOR_THREAD', 1, '' FROM th UNION ALL SELECT 'campaign:' || actor, 'event:' || ev, 'HAS_EVENT', 1, '' FROM th
+ UNION ALL SELECT 'event:' || ev, 'event:' || nx, 'CAMPAIGN_PRECEDES', 1, 'actor=' || max(actor) FROM (SELECT actor, ev, lead(ev) OVER (PARTITION BY actor ORDER BY first_doc, ev) AS nx FROM th) WHERE nx IS NOT NULL GROUP BY ev, nx
+ UNION ALL SELECT 'event:' || e, 'event:' || nx, 'PRECEDES', 1, 'gap_days=' || date_diff('day', d1::DATE, d2::DATE)::DOUBLE || ',topic=' || topic FROM ch WHERE nx IS NOT NULL
+ UNION ALL SELECT 'historical:' || id, 'topic:' || topic, 'ABOUT', 1, '' FROM hi UNION ALL SELECT 'historical:' || id, 'indicator:' || unnest(ind), 'IMPACTS', 1, '' FROM hi
+ UNION ALL SELECT 'historical:' || id, 'historical:' || nx, 'PRECEDES', 1, '' FROM (SELECT id, lead(id) OVER (ORDER BY start, id) AS nx FROM hi) WHERE nx IS NOT NULL)"""
+
+
+@register(f"WITH {_NEWS_GRAPH} SELECT src, dst, rel, weight::DOUBLE AS weight, meta FROM ed")
+def q_news_graph(spark, sf):
+    """All 16 relations with their weights and metadata, the last write of each."""
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return _news_graph(spark, sf)[1].select("src", "dst", "rel", "weight", meta.alias("meta"))
+
+
+@register(f"""WITH {_NEWS_GRAPH}, nn AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed),
+lb AS (SELECT 'article:' || n AS id, 'doc ' || n AS label FROM a0 UNION ALL SELECT 'event:' || e, arg_max(CASE WHEN doc_id % 3 > 0 THEN 'label ' || n ELSE 'doc ' || n END, doc_id) FROM a0 GROUP BY e
+ UNION ALL SELECT DISTINCT 'campaign:' || actor, actor || ' reported-attribution thread' FROM th UNION ALL SELECT 'historical:' || id, name FROM hi)
+SELECT nn.id, CASE split_part(nn.id, ':', 1) WHEN 'historical' THEN 'HistoricalEpisode' ELSE upper(nn.id[1:1]) || split_part(nn.id, ':', 1)[2:] END AS kind, coalesce(label, nn.id[strpos(nn.id, ':') + 1:]) AS label FROM nn LEFT JOIN lb ON lb.id = nn.id""")
+def q_news_graph_nodes(spark, sf):
+    """All 13 kinds of nodes with the label that was written last."""
+    return _news_graph(spark, sf)[0].select("id", "kind", "label")
