@@ -94,10 +94,15 @@ def html_text(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
 
 
+def needs_limits(alias: str) -> bool:
+    """Whether an alias counts only between word limits: short ASCII ones do."""
+    return alias.isascii() and sum(c.isalnum() for c in alias) <= 3
+
+
 def alias_pattern(alias: str) -> str:
     """A pattern for an alias: short ASCII ones need word limits, others match anywhere."""
     body = re.escape(alias.lower())
-    if alias.isascii() and sum(c.isalnum() for c in alias) <= 3:
+    if needs_limits(alias):
         return rf"(?<![a-z0-9]){body}(?![a-z0-9])"
     return body
 

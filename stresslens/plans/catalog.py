@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
-from stresslens.operators import cells, enrich, graph, mlp, news, retrieval, scoring, series
+from stresslens.operators import cells, enrich, graph, intervals, mlp, news, retrieval, scoring, series
 from stresslens.plans import registry
 from stresslens.streaming import ingest
 
@@ -388,6 +388,31 @@ def q_knn_cells(spark, sf):
     return cells.knn_cells(_queries(spark, sf, 20), vectors, 10)[0].select("qid", "id", "dist", "rank")
 
 
+_OPEN = "CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + (o_orderkey % 400)::INT AS b FROM orders"
+
+
+@_register(f"""WITH s AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem), o AS (SELECT o_orderkey, {_OPEN})
+SELECT o_orderkey, count(*) AS days, min(d) AS first_day, max(d) AS last_day FROM o JOIN s ON d BETWEEN a AND b GROUP BY 1""")
+def q_interval_join(spark, sf):
+    """Ship days inside each order's interval, by bins: every order is an interval of up to 400 days."""
+    opened = F.to_date("o_orderdate")
+    orders = _t(spark, sf, "orders").select("o_orderkey", opened.alias("a"), F.date_add(opened, (F.col("o_orderkey") % 400).cast("int")).alias("b"))
+    days = _t(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+    pairs = intervals.interval_join(days, orders, intervals.day_number("d"), intervals.day_number("a"), intervals.day_number("b"))
+    return pairs.groupBy("o_orderkey").agg(F.count("*").alias("days"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
+
+
+@_register(f"""WITH w AS (SELECT {_OPEN} WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 16 = 0)
+SELECT CAST(ts AS DATE) - 9497 AS d, EXISTS (SELECT 1 FROM w WHERE CAST(ts AS DATE) - 9497 BETWEEN a AND b) AS inside, count(*) AS n FROM events GROUP BY ALL""".replace("o_orderkey % 400", "o_orderkey % 3"))
+def q_inside_any(spark, sf):
+    """Event days, moved to the time of the orders, and whether some urgent order's short interval holds them."""
+    opened = F.to_date("o_orderdate")
+    urgent = _t(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 16 = 0").select(opened.alias("a"), F.date_add(opened, (F.col("o_orderkey") % 3).cast("int")).alias("b"))
+    days = _t(spark, sf, "events").select(F.date_sub(F.to_date("ts"), 9497).alias("d"))
+    found = intervals.inside_any(days, urgent, intervals.day_number("d"), intervals.day_number("a"), intervals.day_number("b"))
+    return found.groupBy("d", "inside").agg(F.count("*").alias("n"))
+
+
 TERMS = ((1, "the"), (1, "tion"), (2, "de"), (2, "la"), (3, "und"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stresslens.functions import text
-from stresslens.operators import enrich
+from stresslens.operators import aliases, enrich
 from stresslens.plans.registry import register, table
 
 TAXONOMY = {
@@ -68,6 +68,15 @@ def q_alias_positions(spark, sf):
     return both.groupBy(F.col("id").alias("doc_id"), "kind", "key").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
+@register(f"WITH {_POSITIONS} SELECT doc_id, kind, key, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM ps GROUP BY 1, 2, 3")
+def q_alias_automaton(spark, sf):
+    """q_alias_positions by one automaton a kind: a text is read once for all aliases."""
+    docs = table(spark, sf, "documents")
+    parts = [aliases.mentions(docs, "doc_id", "text", TAXONOMY[kind], bounded=kind == "actors").withColumn("kind", F.lit(kind)) for kind in ("actors", "cues")]
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy(F.col("id").alias("doc_id"), "kind", "key").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
 @register(f"WITH {_NEAR} SELECT doc_id, cue, pos, string_agg(DISTINCT actor, ',' ORDER BY actor) AS actors FROM nr WHERE r = 1 GROUP BY 1, 2, 3")
 def q_nearest_actor(spark, sf):
     docs = table(spark, sf, "documents")
