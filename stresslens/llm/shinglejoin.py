@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stresslens.llm import scratch
 from stresslens.llm.components import connected_components
-from stresslens.llm.minhash import _confirm, _dealt, _digest, _Groups, _labelled, _linkable, _sets
+from stresslens.llm.minhash import _confirm, _dealt, _digest, _Groups, _labelled, _sets
 from stresslens.llm.words import hash_texts, shingles
 
 #: Counters of the sketch (2 ** bits of 4 bytes) and how many of them travel as one row.
@@ -57,9 +57,11 @@ def _buckets(values: np.ndarray) -> np.ndarray:
 def count_sketch(docs: DataFrame, shingle_words: int) -> np.ndarray:
     """Counters of all documents' shingles by the top bits of their hashes.
 
-    Each task adds up its own documents and gives only counters above zero;
-    slices of counters are then added up in parallel.  What comes to the
-    driver is the sum, ``2 ** SKETCH_BITS`` numbers whatever the input.
+    Each task adds up its own documents and gives only counters above zero, a
+    byte each (what is more frequent in a task counts as 255 there, which is
+    late in the order anyway); slices of counters are then added up in
+    parallel.  What comes to the driver is the sum, ``2 ** SKETCH_BITS``
+    numbers whatever the input.
     """
     width = 1 << SLICE_BITS
 
@@ -72,7 +74,7 @@ def count_sketch(docs: DataFrame, shingle_words: int) -> np.ndarray:
             part = total[k * width : (k + 1) * width]
             at = np.flatnonzero(part)
             if len(at):
-                packed = at.astype(np.uint16).tobytes() + part[at].tobytes()
+                packed = at.astype(np.uint16).tobytes() + np.minimum(part[at], 255).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["slice", "counts"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +82,8 @@ def count_sketch(docs: DataFrame, shingle_words: int) -> np.ndarray:
         for part in parts:
             for packed in part.column("counts"):
                 raw = packed.as_buffer()
-                held = raw.size // 6
-                total[np.frombuffer(raw, np.uint16, held)] += np.frombuffer(raw, np.uint32, held, 2 * held)
+                held = raw.size // 3
+                total[np.frombuffer(raw, np.uint16, held)] += np.frombuffer(raw, np.uint8, held, 2 * held)
         capped = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([capped.tobytes()], pa.binary())], ["slice", "counts"])
 
@@ -117,24 +119,44 @@ def longest_prefixes(docs: DataFrame, shingle_words: int, percent: int, sketch:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>")
 
 
-def _shared_only(reps: DataFrame, percent: int) -> DataFrame:
-    """Postings (token, node, at) of tokens that two prefixes hold, of sets that hold enough of them to link with any."""
-    postings = reps.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
-    common = postings.join(shared, "token")
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by their first column: those whose value another row has, too; one row is held at a time."""
+    held, met = None, False  # the last row, and whether the one before it has its value
+    for batch in batches:
+        if not len(batch):
+            continue
+        value = batch.column(0).to_numpy()
+        again = held is not None and held.column(0)[0].as_py() == value[0]
+        if held is not None and (met or again):
+            yield held
+        same, keep = value[1:] == value[:-1], np.zeros(len(value), bool)
+        keep[1:] |= same
+        keep[0] |= again
+        held, met = batch.slice(len(value) - 1), bool(keep[-1])
+        keep[:-1] |= same
+        yield batch.slice(0, len(value) - 1).filter(pa.array(keep[:-1]))
+    if held is not None and met:
+        yield held
+
+
+def _shared_only(reps: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Postings (token, node, n, at) of tokens that two prefixes hold, of sets that hold enough of them to link with any."""
+    postings = reps.select(F.posexplode("prefix").alias("at", "token"), "node", "n").select("token", "node", "n", "at")
+    met = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_met, "token bigint, node bigint, n bigint, at int")
+    common = scratch.save(met, tasks=4 * tasks)
     enough = F.least(F.lit(MOST_MATCHES), least_overlap(F.col("n"), percent))
     able = common.groupBy("node").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= enough).select("node")
-    return common.join(able, "node", "left_semi").select("token", "node", "n", "at")
+    return common.join(able, "node", "left_semi")
 
 
-def cheapest(at: np.ndarray, held: np.ndarray, n: int, percent: int) -> tuple[int, int]:
-    """(matches to ask for, shared tokens of that prefix) for a set of ``n``, from its shared tokens' places (ascending) and list lengths."""
+def cheapest(at: np.ndarray, held: np.ndarray, n: int, percent: int) -> tuple[int, int, int]:
+    """(matches to ask for, shared tokens of that prefix, of the prefix for one match) for a set of ``n``, from its shared tokens' places (ascending) and list lengths."""
     least = least_overlap(n, percent)
     ask = np.arange(1, min(MOST_MATCHES, least) + 1)
     inside = np.searchsorted(at, n - least + ask)
     read = np.append(0, np.cumsum(held - 1))[inside].astype(float)
     best = int(np.argmin(read + (n * VERIFY_SHARE + VERIFY_FIXED) * read / ask))
-    return int(ask[best]), int(inside[best])
+    return int(ask[best]), int(inside[best]), int(inside[0])
 
 
 def _choose(percent: int):
@@ -144,29 +166,34 @@ def _choose(percent: int):
         for batch in batches:
             lists = batch.column(2)
             ends, parts = lists.offsets.to_numpy(), [lists.values.field(k).to_numpy() for k in range(3)]
-            keep, matches, prefixes = [], [], []
+            keep, matches, shorts, prefixes = [], [], [], []
             for row, n in enumerate(batch.column(1).to_pylist()):
                 at, held, token = (p[ends[row] : ends[row + 1]] for p in parts)
                 order = np.argsort(at)
-                ask, inside = cheapest(at[order], held[order], n, percent)
-                if inside >= ask:
+                ask, inside, short = cheapest(at[order], held[order], n, percent)
+                if inside >= ask and short:
                     keep.append(row)
                     matches.append(ask)
+                    shorts.append(short)
                     prefixes.append(token[order[:inside]])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             kept = [batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "n", "matches", "prefix"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(matches, pa.int32()), pa.array(shorts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "n", "matches", "short", "prefix"])
 
     return run
 
 
 def adaptive_prefixes(reps: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """(node, n, matches, prefix) of the sets that can link: the matches each asks for, and the shared tokens of that prefix."""
-    postings = scratch.save(_shared_only(reps, percent), tasks=4 * tasks)
+    """(node, n, matches, short, prefix) of the sets that can link: the matches each asks for, and the shared tokens of that prefix.
+
+    The first ``short`` of them are those of the prefix for one match: any two
+    sets that link meet there, so only these are posted.
+    """
+    postings = _shared_only(reps, percent, tasks)
     held = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     lists = postings.join(held, "token").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "held", "token")).alias("lists"))
-    return scratch.save(lists.mapInArrow(_choose(percent), "node bigint, n bigint, matches int, prefix array<bigint>"), tasks=tasks)
+    return scratch.save(lists.mapInArrow(_choose(percent), "node bigint, n bigint, matches int, short int, prefix array<bigint>"), tasks=tasks)
 
 
 def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -300,14 +327,15 @@ def shingle_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     # a node is a distinct set; its smallest document stands for it
     classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), tasks=tasks)
     own = usable.join(classes.withColumnRenamed("digest", "d"), (usable.digest == F.col("d")) & (usable.doc_id == F.col("rep")))
-    reps = scratch.save(own.select("node", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["node"]))
-    ready = adaptive_prefixes(reps, percent, tasks)
+    # rows that repeat a doc_id with one text post the same tokens twice
+    reps = own.select("node", F.col("n_shingles").alias("n"), "prefix")
+    ready = adaptive_prefixes(reps.dropDuplicates(["node"]) if own.count() > classes.count() else reps, percent, tasks)
     wanted = scratch.save(classes.join(ready.select("node"), "node", "left_semi"), tasks=tasks)
     sets = _sets(docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle_words)
     sets = sets.join(wanted.withColumnRenamed("digest", "d"), (sets.digest == F.col("d")) & (sets.doc_id == F.col("rep"))).select("node", "members")
     held = scratch.save(sets.dropDuplicates(["node"]).join(ready, "node"))
 
-    postings = scratch.save(held.select(F.explode("prefix").alias("token"), "node"), tasks=4 * tasks)
+    postings = scratch.save(held.select(F.explode(F.slice("prefix", F.lit(1), F.col("short"))).alias("token"), "node"), tasks=4 * tasks)
     links, rest, before = None, postings.withColumn("grp", F.col("node")), postings.count()
     while True:
         found, swept = _sweep(rest, held, percent, tasks)
@@ -317,8 +345,7 @@ def shingle_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
         if 2 * before > after or not before:
             break
     if before:
-        left = _linkable(rest, held, percent, tasks)
-        links = links.unionByName(_block_links(_different_lists(left), held, percent))
+        links = links.unionByName(_block_links(_different_lists(rest), held, percent))
 
     groups = scratch.save(connected_components(links), tasks=tasks)
     roots = groups.select(F.col("component").alias("node"), "component").distinct().unionByName(groups)
