@@ -128,3 +128,27 @@ def status_report(rows: DataFrame, source: str, counters: dict[str, Column]) ->
     long = totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("counter"), F.lit(None).cast("string").alias("source"), F.col(n).alias("n")) for n in counters])).alias("r")).select("r.*")
     per = rows.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("n"))
     return long.unionByName(per.select(F.lit("rows").alias("counter"), "source", "n"))
+
+
+#: What views of the agent's and of the models' state show of their documents.
+AGENT_STATE = "updated_at string, decision string, policy_summary string, baseline string, accepted_change string, candidate_count long, top_candidates array<string>, active_config string, holdout_report string"
+NEURAL_STATE = "version string, model_type string, architecture string, ensemble_size long, target string, temporal_split string, selected_threshold double, current string, metrics string, event_evaluation string, limitations string"
+
+
+def state_documents(documents: DataFrame, text: str, schema: str) -> DataFrame:
+    """``documents`` with ``available`` and the fields of a JSON document of state; nested values stay JSON texts.
+
+    A document that is null, empty, broken or an empty object isn't available:
+    all its fields are null.  The models themselves (``models``) are left out
+    unless the schema asks for them.
+    """
+    parsed = F.from_json(F.col(text), schema, {"mode": "PERMISSIVE"})
+    usable = F.coalesce(F.size(F.json_object_keys(F.col(text))) > 0, F.lit(False))
+    rows = documents.withColumn("state", F.when(usable, parsed))
+    names = [f.name for f in rows.schema["state"].dataType.fields]
+    return rows.select(*[F.col(f"`{c}`") for c in documents.columns if c != text], usable.alias("available"), *[F.col(f"state.`{n}`").alias(n) for n in names])
+
+
+def as_document(columns: list[str]) -> Column:
+    """A JSON document of a row's columns, nulls left out: what :func:`state_documents` reads back."""
+    return F.to_json(F.struct(*columns))

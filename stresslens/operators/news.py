@@ -66,6 +66,37 @@ def daily_rollup(rows: DataFrame, ts: str, event: str, publisher: str, relevance
     )
 
 
+#: The dimensions of an event that its daily series count.
+COUNTED = {"physical_events": "physical_attack", "critical_infrastructure_events": "critical_infrastructure", "attributed_events": "reported_attribution", "military_response_events": "military_response", "explicit_threat_events": "explicit_threat"}
+
+
+def geopolitical_series(events: DataFrame, day: Column, digits: int = 2) -> DataFrame:
+    """Per (day, kind, key): events, those with each of five dimensions, mean and greatest score.
+
+    ``events`` has one row for each event: actors, modalities and targets
+    (arrays), attributions (actor, status), dimensions (array), event_score;
+    ``day`` is that of its first article.  The kinds are overall,
+    actor_mention, reported_attribution, modality and target; an event counts
+    once under each key.  Events without a day are left out.
+    """
+
+    def tagged(kind: str, keys: Column) -> Column:
+        return F.transform(F.filter(F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))), lambda k: k.isNotNull() & (k != "")), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    said = F.transform("attributions", lambda a: a["actor"])
+    kinds = F.concat(
+        tagged("overall", F.array(F.lit("geopolitical_hybrid"))), tagged("actor_mention", F.col("actors")), tagged("reported_attribution", said),
+        tagged("modality", F.col("modalities")), tagged("target", F.col("targets")),
+    )
+    score = F.coalesce("event_score", F.lit(0.0))
+    flags = [F.coalesce(F.array_contains("dimensions", name), F.lit(False)).alias(column) for column, name in COUNTED.items()]
+    long = events.select(day.alias("day"), score.alias("score"), *flags, F.explode(kinds).alias("k")).where("day is not null")
+    return long.groupBy("day", "k.kind", "k.key").agg(
+        F.count("*").alias("event_count"), *[F.count_if(c).alias(c) for c in COUNTED],
+        F.round(F.avg("score"), digits).alias("avg_event_score"), F.round(F.greatest(F.lit(0.0), F.max("score")), digits).alias("max_event_score"),
+    )
+
+
 def event_rollup(rows: DataFrame, event: str, order: list[str], label: str, members: str, measure: str) -> DataFrame:
     """Per event: rows, first and last position, greatest measure, first label, sorted distinct members."""
     first = F.struct(*order)

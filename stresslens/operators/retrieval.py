@@ -286,3 +286,20 @@ def fuzzy_lookup(queries: DataFrame, items: DataFrame, similarity: Column | None
     key = F.when(found_by.isin("exact", "lexical"), F.col("first.key")).when(found_by == "similar", F.col("near_key"))
     others = F.transform(F.filter("all", lambda a: a["rank"] > 1), lambda a: a["key"])
     return per.select("qid", found_by.alias("found_by"), key.alias("key"), others.alias("alternatives"))
+
+
+def event_lookup(queries: DataFrame, events: DataFrame) -> DataFrame:
+    """(qid, found, key, score) of ``queries(qid, text)`` among ``events(key, body)``: the event with the best lexical score, the smallest key on ties.
+
+    Not found if no score is above zero; then ``available`` lists all keys.
+    Events are a dimension of some dozens of rows, as in :func:`fuzzy_lookup`.
+    """
+    packed = events.agg(F.array_sort(F.collect_list(F.struct("key", normalise("body").alias("body")))).alias("items"))
+    asked = queries.withColumns({"phrase": normalise("text"), "terms": tokens("text")}).withColumn("items", packed.scalar())
+    scored = F.transform("items", lambda e: F.struct((-query_score(e["body"], F.col("phrase"), F.col("terms"))).alias("less"), e["key"].alias("key")))
+    best = asked.select("qid", "items", F.array_min(scored).alias("b"))
+    found = F.coalesce(F.col("b.less") < 0, F.lit(False))
+    return best.select(
+        "qid", found.alias("found"), F.when(found, F.col("b.key")).alias("key"), F.when(found, -F.col("b.less")).alias("score"),
+        F.when(~found, F.transform("items", lambda e: e["key"])).alias("available"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stresslens.functions.scalars import clamp, level_word, sync_bonus
 from stresslens.operators.ordered import running_sums
+from stresslens.sources.shared import kept
 
 
 def weighted_fusion(scores: DataFrame, weights: DataFrame, by: str = "d") -> DataFrame:
@@ -90,10 +91,25 @@ def alert_rates(rows: DataFrame, windows: DataFrame, thresholds: list[float]) ->
 
 
 def quantiles(rows: DataFrame, value: str, points: list[float]) -> DataFrame:
-    """One row: exact, linearly interpolated quantiles p<percent>."""
-    names = [f"p{round(100 * p)}" for p in points]
-    q = rows.agg(F.percentile(value, points).alias("q"))
-    return q.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    """One row: exact, linearly interpolated quantiles p<percent>; null without values.
+
+    Values are counted, the counts added up in ranges of their order, and each
+    point looks for the two values beside it: no task holds all of them.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    upto = kept(running_sums(counts.withColumn("all", F.lit(0)), ["all"], [F.col("x")], {"upto": F.col("n")}))
+    total = upto.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("n")).scalar()
+
+    def at(place: Column) -> Column:
+        """Aggregate: the value that stands at a place (from 0) of the order."""
+        return F.min(F.when(F.col("upto") > place, F.col("x")))
+
+    out = []
+    for p in points:
+        place = (F.col("total") - 1) * F.lit(float(p))
+        low = at(F.floor(place))
+        out.append((low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))).alias(f"p{round(100 * p)}"))
+    return upto.select("x", "upto", total.alias("total")).agg(*out)
 
 
 def _counts(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -130,14 +146,29 @@ def confusion(rows: DataFrame, score: Column, label: str, by: list[str]) -> Data
 def threshold_sweep(rows: DataFrame, score: str, label: str, low: float, high: float, steps: int, by: list[str] | None = None, digits: int | None = 4) -> DataFrame:
     """The threshold of an even grid with the best balanced accuracy (to ``digits`` places, if given), then the lowest false positive rate, then the smallest.
 
-    Rows are summed by distinct score first, so the grid meets counts, not rows.
+    A score counts once, at the last threshold that it reaches, so what is
+    summed over the grid is one count for each of its steps.
     """
     by = by or []
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.round(low + i * ((high - low) / (steps - 1)), 6))
-    counts = _counts(rows, score, label, by).select(*by, "s", "pos", "neg", F.explode(grid).alias("threshold"))
-    alarm = F.col("s") >= F.col("threshold")
-    t = counts.groupBy(*by, "threshold").agg(
-        F.sum(F.when(alarm, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(alarm, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n")
+    values = [float(x) for x in rows.sparkSession.range(steps).select(F.round(low + F.col("id") * ((high - low) / (steps - 1)), 6)).toPandas().iloc[:, 0]]  # the grid, a parameter
+    grid = F.array(*map(F.lit, values))
+    # the rounded step of a score and its neighbours hold the last threshold that it reaches
+    near = F.floor((F.col(score) - low) / ((high - low) / (steps - 1))).cast("int")
+    reached = lambda k: F.coalesce(F.col(score) >= F.get(grid, k), F.lit(False))
+    step = F.when(reached(near + 1), near + 1).when(reached(near), near).otherwise(near - 1)
+    step = F.when(F.col(score) >= values[-1], steps - 1).when(F.col(score) < values[0], -1).otherwise(step)
+    cells = rows.groupBy(*by, F.coalesce(step, F.lit(-1)).alias("step")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    whole = Window.partitionBy(*by)
+    groups = cells.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    every = groups.select(*by, "p", "n", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    same = F.col("step") == F.col("_step")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = every.join(cells.select(F.col("step").alias("_step"), *[F.col(c).alias(f"_{c}") for c in by], "pos", "neg"), same, "left")
+    above = whole.orderBy("step").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    t = found.select(
+        *by, F.get(grid, F.col("step")).alias("threshold"), "p", "n",
+        F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("fp"),
     )
     t = t.withColumns({"recall": F.col("tp") / F.col("p"), "fpr": F.col("fp") / F.col("n")})
     balanced = (F.col("recall") + 1 - F.col("fpr")) / 2
@@ -177,11 +208,11 @@ def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_window
     window that loses most.  Tables used more than once are kept, so that the
     plan stays small.
     """
-    scored = scored.persist()
-    rows = label_rows(scored, label_windows).persist()
+    scored = kept(scored)
+    rows = kept(label_rows(scored, label_windows))
     by = ["candidate"]
-    swept = threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=None).persist()
-    peaks = event_peaks(scored, peak_windows).persist()
+    swept = kept(threshold_sweep(rows, "score", "label", 20.0, 80.0, 121, by, digits=None))
+    peaks = kept(event_peaks(scored, peak_windows))
     recalls = peaks.join(swept.select("candidate", "threshold"), "candidate").groupBy("candidate").agg(F.avg((F.col("peak") >= F.col("threshold")).cast("double")).alias("event_recall"))
     base = peaks.where(F.col("candidate") == baseline).select("id", F.col("peak").alias("base_peak"))
     drops = peaks.join(base, "id").groupBy("candidate").agg(F.min(F.col("peak") - F.col("base_peak")).alias("d_peak"))
@@ -190,7 +221,7 @@ def evaluate_candidates(scored: DataFrame, label_windows: DataFrame, peak_window
         out = out.join(part, "candidate", "left")
     out = out.fillna(0.0, ["auc", "ap", "event_recall"])
     parts = (F.col("auc"), F.col("ap"), F.col("event_recall"), 1.0 - F.col("fpr"))
-    out = out.withColumn("objective", sum((w * c for w, c in zip(OBJECTIVE[1:], parts[1:], strict=True)), OBJECTIVE[0] * parts[0])).persist()
+    out = kept(out.withColumn("objective", sum((w * c for w, c in zip(OBJECTIVE[1:], parts[1:], strict=True)), OBJECTIVE[0] * parts[0])))
     first = out.where(F.col("candidate") == baseline).select(F.col("objective").alias("base_objective"), F.col("fpr").alias("base_fpr"))
     out = out.join(first).withColumns({"d_objective": F.col("objective") - F.col("base_objective"), "d_fpr": F.col("fpr") - F.col("base_fpr")})
     return guardrails(out.drop("base_objective", "base_fpr"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stresslens.functions import scalars, text
 from stresslens.operators import cells, enrich, graph, intervals, mlp, news, retrieval, scoring, series
 from stresslens.plans import registry
+from stresslens.sources.shared import kept
 from stresslens.streaming import ingest
 
 _register, _t = registry.register, registry.table
@@ -648,29 +649,37 @@ def q_objective(spark, sf):
 NETWORK, MIXES = 0.35, (0.30, 0.40)
 
 
-@_register()
-def q_candidate_objective(spark, sf):
-    """All one-point transfers and two mixes against the baseline: objective and guardrails, up to 1998, the last window kept out.
+def _candidate_scores(spark, sf) -> DataFrame:
+    """(candidate, d, score) of all one-point transfers, two mixes and the baseline, on days with enough coverage.
 
     The network is the fixed one of q_mlp_forward over three channels.
     """
-    weights, channels = _weights(spark), _channels(spark, sf).persist()
+    weights, channels = _weights(spark), kept(_channels(spark, sf))
     same = lambda name, share: weights.select(F.lit(name).alias("candidate"), "key", "weight", F.lit(share).alias("share"))
     candidates = scoring.candidate_weights(weights).withColumn("share", F.lit(NETWORK)).unionByName(same("baseline", NETWORK))
     for share in MIXES:
         candidates = candidates.unionByName(same(f"network {share:.2f}", share))
     days = scoring.breadth(channels, "d").select("d", "bonus").join(scoring.weighted_fusion(channels, weights).select("d", "coverage"), "d")
     total = sum(w for _, w in WEIGHTS)
-    days = days.where((F.col("coverage") >= 0.55 * total) & (F.col("d") < "1999-01-01")).select("d", "bonus")
+    days = days.where(F.col("coverage") >= 0.55 * total).select("d", "bonus")
     pick = lambda k: F.max(F.when(F.col("key") == k, F.col("score"))).alias(k)
     keys = ["1-URGENT", "2-HIGH", "A"]
     wide = channels.groupBy("d").agg(*map(pick, keys)).toDF("d", "a", "b", "c").withColumn("x", mlp.features(["a", "b", "c"]))
     days = days.join(wide.select("d", (100.0 * mlp.forward(F.col("x"), _LAYERS)).alias("network")), "d")
     rule = channels.join(candidates, "key").groupBy("candidate", "share", "d").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("raw"))
     mixed = (1.0 - F.col("share")) * scalars.clamp(F.col("raw") + F.col("bonus")) + F.col("share") * F.col("network")
-    scored = rule.join(days, "d").select("candidate", "d", F.round(mixed, 9).alias("score"))
-    windows = _windows(spark)
-    out = scoring.evaluate_candidates(scored, windows, windows.where("start < '1999-01-01'"), "baseline")
+    return rule.join(days, "d").select("candidate", "d", F.round(mixed, 9).alias("score"))
+
+
+def _calibrated(scored: DataFrame, windows: DataFrame) -> DataFrame:
+    """The candidates judged on the days up to 1998, the last window kept out."""
+    return scoring.evaluate_candidates(scored.where("d < '1999-01-01'"), windows, windows.where("start < '1999-01-01'"), "baseline")
+
+
+@_register()
+def q_candidate_objective(spark, sf):
+    """All one-point transfers and two mixes against the baseline: objective and guardrails, up to 1998, the last window kept out."""
+    out = _calibrated(_candidate_scores(spark, sf), _windows(spark))
     return out.select("candidate", *_r("threshold", "auc", "ap", "event_recall", "fpr", "objective", "d_objective", "d_fpr", "d_peak"), F.array_join("reasons", ", ").alias("reasons"), "passes")
 
 

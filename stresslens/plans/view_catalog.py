@@ -9,6 +9,8 @@ from stresslens.operators import enrich, filters, graph, news, newsgraph, retrie
 from stresslens.plans import catalog as c
 from stresslens.plans.enrich_catalog import _EVENTS, _enriched, _geo_events
 from stresslens.plans.registry import register, table
+from stresslens.sources.shared import kept, new_folder
+from stresslens.sources.vectors import VectorCache
 
 _SCORED = f"{c._TOT}, {c._SC}, sg AS (SELECT d, CASE WHEN score > 3 THEN score END AS score, CASE WHEN score >= 45 THEN 3 WHEN score >= 30 THEN 2 WHEN score >= 20 THEN 1 WHEN score >= 10 THEN 0 END AS stage FROM sc)"
 
@@ -206,13 +208,14 @@ def q_split_guards(spark, sf):
 
 @register()
 def q_holdout_report(spark, sf):
-    """The accepted candidate and the baseline on days from 1998 on, threshold chosen there again: a report, no decision."""
-    weights, channels = c._weights(spark), c._channels(spark, sf)
-    same = weights.select(F.lit("baseline").alias("candidate"), "key", "weight")
-    moved = weights.select(F.lit("urgent up").alias("candidate"), "key", (F.col("weight") + F.when(F.col("key") == "1-URGENT", 1.0).when(F.col("key") == "2-HIGH", -1.0).otherwise(0.0)).alias("weight"))
-    rows = channels.where("d >= '1998-01-01'").join(same.unionByName(moved), "key").groupBy("candidate", "d").agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 9).alias("score"))
-    windows = c._windows(spark)
-    out = scoring.evaluate_candidates(rows, windows, windows, "baseline")
+    """The candidate that calibration up to 1998 accepts, and the baseline, on the days from 1999 on with the threshold chosen there again: a report, no decision.
+
+    The baseline alone if no candidate is accepted.
+    """
+    windows, scored = c._windows(spark), kept(c._candidate_scores(spark, sf))
+    chosen = scoring.accepted(c._calibrated(scored, windows)).select("candidate").unionByName(spark.range(1).select(F.lit("baseline").alias("candidate")))
+    late = scored.where("d >= '1999-01-01'").join(chosen.distinct(), "candidate", "left_semi")
+    out = scoring.evaluate_candidates(late, windows, windows.where("end >= '1999-01-01'"), "baseline")
     return out.select("candidate", *c._r("threshold", "auc", "ap", "event_recall", "fpr", "objective"))
 
 
@@ -340,3 +343,61 @@ SELECT nn.id, CASE split_part(nn.id, ':', 1) WHEN 'historical' THEN 'HistoricalE
 def q_news_graph_nodes(spark, sf):
     """All 13 kinds of nodes with the label that was written last."""
     return _news_graph(spark, sf)[0].select("id", "kind", "label")
+
+
+# --- daily series of events, lookups, documents of state, stored vectors --------------------------
+
+_FLAGS = ", ".join(f"bool_or(list_contains(dims, '{name}')) AS {column}" for column, name in news.COUNTED.items())
+
+
+@register(f"""WITH {_EVENTS}, ev1 AS (SELECT ev, DATE '2024-01-01' + (min(doc_id) % 60)::INT AS day, max(score) AS score, {_FLAGS} FROM gx GROUP BY ev),
+kk AS (SELECT ev, 'overall' AS kind, 'geopolitical_hybrid' AS key FROM gx UNION SELECT ev, 'actor_mention', unnest(actors) FROM gx UNION SELECT ev, 'modality', unnest(modalities) FROM gx
+  UNION SELECT ev, 'target', unnest(targets) FROM gx UNION SELECT ev, 'reported_attribution', actor FROM pr WHERE ev IN (SELECT ev FROM gx))
+SELECT day, kind, key, count(*) AS event_count, {", ".join(f"count(*) FILTER (WHERE {column}) AS {column}" for column in news.COUNTED)}, round(avg(score), 6) AS avg_event_score, round(max(score), 6) AS max_event_score FROM kk JOIN ev1 USING (ev) GROUP BY 1, 2, 3""")
+def q_geopolitical_series(spark, sf):
+    """Daily series of events in five kinds, with five counts of dimensions, mean and greatest score; the days follow from the first article."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("first_seen") % 60).cast("int"))
+    return news.geopolitical_series(_geo_events(spark, sf), day, digits=6)
+
+
+@register(r"""WITH e AS (SELECT r_regionkey AS key, lower(r_name || ' ' || string_agg(n_name, ' ' ORDER BY n_nationkey)) AS body FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, r_name),
+q AS (SELECT n_nationkey AS qid, lower(CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'the ' || n_name || ' of Europe' ELSE 'nowhere' END) AS t FROM nation),
+t AS (SELECT qid, t, unnest(regexp_extract_all(t, '[a-z0-9_./%-]+')) AS term FROM q),
+s AS (SELECT qid, key, CASE WHEN contains(body, any_value(t)) THEN 8::DOUBLE ELSE 0 END + sum(CASE WHEN contains(body, term) THEN 2 + least(3, 0.25::DOUBLE * ((length(body) - length(replace(body, term, ''))) // length(term))) ELSE 0 END) AS score FROM t, e GROUP BY qid, key, body),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rn FROM s)
+SELECT qid, score > 0 AS found, CASE WHEN score > 0 THEN key END AS key, CASE WHEN score > 0 THEN score END AS score, CASE WHEN score > 0 THEN 0 ELSE (SELECT count(*) FROM e) END AS available FROM r WHERE rn = 1""")
+def q_event_lookup(spark, sf):
+    """Events by fuzzy name: the best by lexical score, or all there are."""
+    nations, regions = table(spark, sf, "nation"), table(spark, sf, "region")
+    names = nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    events = regions.join(names, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").alias("key"), F.concat_ws(" ", "r_name", F.array_join(F.transform("n", lambda x: x["n_name"]), " ")).alias("body"))
+    kind = F.col("n_nationkey") % 3
+    asked = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.concat(F.lit("the "), "n_name", F.lit(" of Europe"))).otherwise("nowhere")
+    out = retrieval.event_lookup(nations.select(F.col("n_nationkey").alias("qid"), asked.alias("text")), events)
+    return out.select("qid", "found", "key", "score", F.coalesce(F.size("available"), F.lit(0)).cast("long").alias("available"))
+
+
+@register("""SELECT s_suppkey, s_suppkey % 5 = 4 AS available, CASE WHEN s_suppkey % 5 = 4 THEN 'keep ' || s_name END AS decision, CASE WHEN s_suppkey % 5 = 4 THEN s_nationkey::BIGINT END AS candidate_count,
+  CASE WHEN s_suppkey % 5 = 4 THEN s_name || ',\"x\"' END AS top_candidates, CASE WHEN s_suppkey % 5 = 4 THEN '{"weight":' || s_suppkey || '}' END AS baseline, NULL::VARCHAR AS holdout_report FROM supplier""")
+def q_agent_state(spark, sf):
+    """Documents of an agent's state, one for each supplier, written as JSON and read back; four fifths are missing, empty or broken."""
+    rows = table(spark, sf, "supplier").select(
+        "s_suppkey", F.concat(F.lit("keep "), "s_name").alias("decision"), F.col("s_nationkey").alias("candidate_count"), F.array(F.col("s_name"), F.lit('"x"')).alias("top_candidates"), F.struct(F.col("s_suppkey").alias("weight")).alias("baseline")
+    )
+    kind = F.col("s_suppkey") % 5
+    text = F.when(kind == 4, filters.as_document(rows.columns[1:])).when(kind == 1, "").when(kind == 2, "{}").when(kind == 3, '{"decision": "keep')
+    state = filters.state_documents(rows.select("s_suppkey", text.alias("document")), "document", filters.AGENT_STATE)
+    return state.select("s_suppkey", "available", "decision", "candidate_count", F.array_join("top_candidates", ",").alias("top_candidates"), "baseline", "holdout_report")
+
+
+@register("""WITH a AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents)
+SELECT 1 AS call, (SELECT count(*) FROM a) AS embedded, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS rows UNION ALL SELECT 2, (SELECT count(*) FROM b) - (SELECT count(*) FROM a), (SELECT count(*) FROM documents) UNION ALL SELECT 3, 0, (SELECT count(*) FROM documents)""")
+def q_vector_cache(spark, sf):
+    """Texts embedded in three calls: half of the documents, all, all again."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cache = VectorCache(spark, new_folder(spark), "hashed", lambda text: retrieval.hashed_vector(retrieval.index_words(text)))
+    calls = []
+    for number, rows in enumerate((docs.where("doc_id % 2 = 0"), docs, docs), 1):
+        vectors, embedded = cache.vectors(rows, "text")
+        calls.append(vectors.agg(F.lit(number).alias("call"), F.lit(embedded).cast("long").alias("embedded"), F.count("v").alias("rows")))
+    return calls[0].unionByName(calls[1]).unionByName(calls[2])
