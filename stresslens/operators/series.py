@@ -7,7 +7,7 @@ of the rows before, so a long series is the work of many tasks.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,43 +59,48 @@ def by_date(key: str = "key", date: str = "d") -> Window:
 PIECE = 8192
 
 
-class _Window:
-    """The values of a sliding window, in order of size."""
+#: Numbers of a block of windows that are sorted at once.
+_BLOCK = 1 << 19
 
-    def __init__(self):
-        self.sorted: list[float] = []
 
-    def add(self, x: float) -> None:
-        if x == x:
-            insort(self.sorted, x)
+def _windows(v: np.ndarray, first: int, lookback: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of positions from ``first``: (position, the values there, the windows of up to lookback - 1 values strictly before each)."""
+    width = max(1, lookback - 1)
+    padded = np.concatenate([np.full(width, np.nan), v])
+    every = np.lib.stride_tricks.sliding_window_view(padded, width)
+    step = max(1, _BLOCK // width)
+    for start in range(first, len(v), step):
+        stop = min(len(v), start + step)
+        yield start, v[start:stop], every[start:stop]
 
-    def drop(self, x: float) -> None:
-        if x == x:
-            del self.sorted[bisect_left(self.sorted, x)]
 
-    def share_upto(self, x: float) -> float:
-        return 100.0 * bisect_right(self.sorted, x) / len(self.sorted)
+def _nullable(values: np.ndarray, known: np.ndarray) -> list:
+    return [x if k else None for x, k in zip(values.tolist(), known.tolist(), strict=True)]
 
 
 def _statistics(v: np.ndarray, first: int, lookback: int) -> dict[str, list]:
-    """n, pct, med, mad, sd and z of each value from position ``first`` against the look-back strictly before it."""
-    past, out = _Window(), {n: [] for n in ("n", "pct", "med", "mad", "sd", "z")}
-    for i, x in enumerate(v):
-        if i >= lookback:
-            past.drop(v[i - lookback])
-        if i >= first:
-            n = len(past.sorted)
-            pct = med = mad = sd = z = None
-            if n:
-                values = np.array(past.sorted)
-                med, sd = (past.sorted[(n - 1) // 2] + past.sorted[n // 2]) / 2.0, float(values.std())
-                mad = float(np.median(np.abs(values - med)))
-                if n >= LEAST and x == x:
-                    pct = past.share_upto(x)
-                    z = (x - med) / (1.4826 * mad) if mad > 0 else (x - med) / sd if sd > 0 else 0.0
-            for name, value in zip(out, (n, pct, med, mad, sd, z), strict=True):
-                out[name].append(value)
-        past.add(x)
+    """n, pct, med, mad, sd and z of each value from position ``first`` against the look-back strictly before it.
+
+    Whole blocks of windows are sorted together; missing values sort last.
+    """
+    out = {n: [] for n in ("n", "pct", "med", "mad", "sd", "z")}
+    for _, x, windows in _windows(v, first, lookback):
+        ordered, row = np.sort(windows, axis=1), np.arange(len(x))
+        n = (ordered == ordered).sum(axis=1)
+        some = n > 0
+        middle = lambda a: (a[row, np.maximum(n - 1, 0) // 2] + a[row, np.minimum(n // 2, a.shape[1] - 1)]) / 2.0  # noqa: E731, B023
+        med = middle(ordered)
+        mad = middle(np.sort(np.abs(ordered - med[:, None]), axis=1))
+        count = np.maximum(n, 1)
+        mean = np.nansum(ordered, axis=1) / count
+        sd = np.sqrt(np.nansum((ordered - mean[:, None]) ** 2, axis=1) / count)
+        judged = (n >= LEAST) & (x == x)
+        pct = 100.0 * (ordered <= x[:, None]).sum(axis=1) / count
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = np.where(mad > 0, (x - med) / (1.4826 * mad), np.where(sd > 0, (x - med) / sd, 0.0))
+        out["n"] += n.tolist()
+        for name, values, known in (("pct", pct, judged), ("med", med, some), ("mad", mad, some), ("sd", sd, some), ("z", z, judged)):
+            out[name] += _nullable(values, known)
     return out
 
 
@@ -103,13 +108,11 @@ def _delta_shares(v: np.ndarray, place: np.ndarray, first: int, lookback: int, s
     """Percentile of the change over ``steps`` rows among the changes of the look-back before it."""
     change = np.full(len(v), np.nan)
     change[steps:] = v[steps:] - v[:-steps]
-    past, out = _Window(), []
-    for i, x in enumerate(change):
-        if i >= lookback:
-            past.drop(change[i - lookback])
-        if i >= first:
-            out.append(past.share_upto(x) if place[i] > steps + 5 and x == x and past.sorted else None)
-        past.add(x)
+    out = []
+    for start, x, windows in _windows(change, first, lookback):
+        n = (windows == windows).sum(axis=1)
+        share = 100.0 * (windows <= x[:, None]).sum(axis=1) / np.maximum(n, 1)
+        out += _nullable(share, (np.asarray(place[start : start + len(x)]) > steps + 5) & (x == x) & (n > 0))
     return out
 
 
