@@ -196,24 +196,24 @@ def adaptive_prefixes(reps: DataFrame, percent: int, tasks: int) -> DataFrame:
     return scratch.save(lists.mapInArrow(_choose(percent), "node bigint, n bigint, matches int, short int, prefix array<bigint>"), tasks=tasks)
 
 
-def _links(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``: enough common tokens of their prefixes, then whole sets."""
-    side = lambda x: held.select(F.col("node").alias(x), F.col("prefix").alias(f"prefix_{x}"), F.col("matches").alias(f"matches_{x}"))
+def _links(pairs: DataFrame, ready: DataFrame, members: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The linked ones of ``pairs(a, b)``: enough common tokens of their prefixes, then whole sets, of these candidates alone."""
+    side = lambda x: ready.select(F.col("node").alias(x), F.col("prefix").alias(f"prefix_{x}"), F.col("matches").alias(f"matches_{x}"))
     met = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("matches_a", "matches_b")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(met).select("a", "b")
-    one = held.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
-    two = held.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    both = near.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-    return scratch.save(both.mapInArrow(_confirm(percent), "a bigint, b bigint"))
+    # written, so that the size of what meets the sets is known when that join is planned
+    near = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(met).select("a", "b"), tasks=tasks)
+    one = near.join(members.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
+    two = near.join(members.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
+    return scratch.save(one.join(two, ["a", "b"]).select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
 
-def _sweep(rest: DataFrame, held: DataFrame, percent: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+def _sweep(rest: DataFrame, ready: DataFrame, members: DataFrame, percent: int, tasks: int) -> tuple[DataFrame, DataFrame]:
     """Links of the sets of each list of ``rest(token, node, grp)`` with its pivot, and the postings without the pivots."""
     first = F.min_by("node", F.struct("grp", "node"))
     pivots = scratch.save(rest.groupBy("token").agg(first.alias("pivot"), F.min("grp").alias("pivot_grp"), F.count("*").alias("held")).where("held > 1"), tasks=tasks)
     swept = rest.join(pivots, "token").where("node <> pivot")
     pairs = swept.where("grp <> pivot_grp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    return _links(scratch.save(pairs, tasks=tasks), held, percent), swept.select("token", "node")
+    return _links(scratch.save(pairs, tasks=tasks), ready, members, percent, tasks), swept.select("token", "node")
 
 
 def _different_lists(postings: DataFrame) -> DataFrame:
@@ -299,10 +299,12 @@ def _compared(percent: int):
     return run
 
 
-def _block_links(left: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def _block_links(left: DataFrame, ready: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links among the sets of each list that no pivot has found."""
     key = ["token", "class", "i", "j"]
-    rows = _dealt(left, held, percent).join(held.select("node", "matches", "prefix", "members"), "node").repartition(*key).sortWithinPartitions(*key)
+    dealt = scratch.save(_dealt(left, ready, percent))
+    wanted = members.join(dealt.select("node").distinct(), "node", "left_semi")
+    rows = dealt.join(ready.select("node", "matches", "prefix"), "node").join(wanted, "node").repartition(*key).sortWithinPartitions(*key)
     return scratch.save(rows.select(*key, "role", "node", "grp", "matches", "prefix", "members").mapInArrow(_compared(percent), "a bigint, b bigint"))
 
 
@@ -327,25 +329,26 @@ def shingle_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     # a node is a distinct set; its smallest document stands for it
     classes = scratch.save(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), tasks=tasks)
     own = usable.join(classes.withColumnRenamed("digest", "d"), (usable.digest == F.col("d")) & (usable.doc_id == F.col("rep")))
-    # rows that repeat a doc_id with one text post the same tokens twice
-    reps = own.select("node", F.col("n_shingles").alias("n"), "prefix")
-    ready = adaptive_prefixes(reps.dropDuplicates(["node"]) if own.count() > classes.count() else reps, percent, tasks)
+    # rows that repeat a doc_id with one text stand for a set twice
+    repeated = own.count() > classes.count()
+    once = lambda rows: rows.dropDuplicates(["node"]) if repeated else rows
+    ready = adaptive_prefixes(once(own.select("node", F.col("n_shingles").alias("n"), "prefix")), percent, tasks)
     wanted = scratch.save(classes.join(ready.select("node"), "node", "left_semi"), tasks=tasks)
     sets = _sets(docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle_words)
     sets = sets.join(wanted.withColumnRenamed("digest", "d"), (sets.digest == F.col("d")) & (sets.doc_id == F.col("rep"))).select("node", "members")
-    held = scratch.save(sets.dropDuplicates(["node"]).join(ready, "node"))
+    members = scratch.save(once(sets))
 
-    postings = scratch.save(held.select(F.explode(F.slice("prefix", F.lit(1), F.col("short"))).alias("token"), "node"), tasks=4 * tasks)
+    postings = scratch.save(ready.select(F.explode(F.slice("prefix", F.lit(1), F.col("short"))).alias("token"), "node"), tasks=4 * tasks)
     links, rest, before = None, postings.withColumn("grp", F.col("node")), postings.count()
     while True:
-        found, swept = _sweep(rest, held, percent, tasks)
+        found, swept = _sweep(rest, ready, members, percent, tasks)
         links = found if links is None else links.unionByName(found)
         rest = _labelled(swept, links, tasks)
         before, after = rest.count(), before
         if 2 * before > after or not before:
             break
     if before:
-        links = links.unionByName(_block_links(_different_lists(rest), held, percent))
+        links = links.unionByName(_block_links(_different_lists(rest), ready, members, percent))
 
     groups = scratch.save(connected_components(links), tasks=tasks)
     roots = groups.select(F.col("component").alias("node"), "component").distinct().unionByName(groups)
