@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date as _date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stresslens.functions.text import normalise
@@ -152,3 +152,20 @@ def state_documents(documents: DataFrame, text: str, schema: str) -> DataFrame:
 def as_document(columns: list[str]) -> Column:
     """A JSON document of a row's columns, nulls left out: what :func:`state_documents` reads back."""
     return F.to_json(F.struct(*columns))
+
+
+def write_observed(rows: DataFrame, path: str, counters: dict[str, Column]) -> dict[str, int]:
+    """Write ``rows`` as Parquet and return each counter and ``rows``, gathered while they were written: one pass over them."""
+    seen = Observation()
+    named = [F.count_if(c).alias(n) for n, c in counters.items()]
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *named).write.parquet(path)
+    return dict(seen.get)
+
+
+def as_views(resources: dict[str, DataFrame], prefix: str = "resource_") -> list[str]:
+    """Register resources as temporary views of the session; their names."""
+    names = []
+    for name, rows in resources.items():
+        rows.createOrReplaceTempView(f"{prefix}{name}")
+        names.append(f"{prefix}{name}")
+    return names

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stresslens.functions import scalars, text
-from stresslens.operators import enrich, filters, graph, news, newsgraph, retrieval, scoring, series
+from stresslens.operators import enrich, filters, graph, news, newsgraph, retrieval, scoring, series, sketches
 from stresslens.plans import catalog as c
 from stresslens.plans.enrich_catalog import _EVENTS, _enriched, _geo_events
 from stresslens.plans.registry import register, table
@@ -401,3 +401,31 @@ def q_vector_cache(spark, sf):
         vectors, embedded = cache.vectors(rows, "text")
         calls.append(vectors.agg(F.lit(number).alias("call"), F.lit(embedded).cast("long").alias("embedded"), F.count("v").alias("rows")))
     return calls[0].unionByName(calls[1]).unionByName(calls[2])
+
+
+@register("""SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7 AS part, count(*) AS rows, count(DISTINCT user_id) AS n_user_id, count(DISTINCT event_type) AS n_event_type, true AS median_in_bounds FROM events GROUP BY 1""")
+def q_daily_sketches(spark, sf):
+    """Sketches of days merged into weeks: distinct users and types (exact below 4,096), and a median whose rank is within 3 % of the middle."""
+    events, week = table(spark, sf, "events"), F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / 7)
+    days = kept(sketches.daily_sketches(events, F.to_date("ts"), ["user_id", "event_type"], "value"))
+    found = sketches.estimates(sketches.merged(days, week, ["user_id", "event_type"]), ["user_id", "event_type"], [0.5])
+    rows = events.select(F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) / 7).alias("part"), "value").join(found.select("part", "p50"), "part")
+    ranks = rows.groupBy("part").agg((F.count_if(F.col("value") < F.col("p50")) / F.count("value")).alias("below"), (F.count_if(F.col("value") <= F.col("p50")) / F.count("value")).alias("upto"))
+    inside = (F.col("below") <= 0.53) & (F.col("upto") >= 0.47)
+    return found.join(ranks, "part").select("part", "rows", "n_user_id", "n_event_type", inside.alias("median_in_bounds"))
+
+
+@register("""SELECT count(*) AS rows, count(*) FILTER (WHERE value > 50) AS high, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE props IS NULL) AS without_props FROM events""")
+def q_observed_counters(spark, sf):
+    """Counters gathered while a table is written."""
+    counters = {"high": F.col("value") > 50, "errors": F.col("event_type") == "error", "without_props": F.col("props").isNull()}
+    seen = filters.write_observed(table(spark, sf, "events"), new_folder(spark), counters)
+    return spark.range(1).select(*[F.lit(seen[n]).cast("long").alias(n) for n in ("rows", *counters)])
+
+
+@register("""SELECT n_name, r_name, count(s_suppkey) AS suppliers, round(coalesce(sum(s_acctbal), 0), 2) AS balance FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""")
+def q_resource_views(spark, sf):
+    """Resources registered as views of the session, and read by their names."""
+    nations, regions, suppliers = filters.as_views({n: table(spark, sf, n) for n in ("nation", "region", "supplier")})
+    return spark.sql(f"""SELECT n_name, r_name, count(s_suppkey) AS suppliers, round(coalesce(sum(s_acctbal), 0), 2) AS balance
+        FROM {nations} JOIN {regions} ON n_regionkey = r_regionkey LEFT JOIN {suppliers} ON s_nationkey = n_nationkey GROUP BY 1, 2""")
