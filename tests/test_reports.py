@@ -136,7 +136,7 @@ def test_sketches_of_days_merge(spark):
     users = rows.select("u").distinct().count()
     assert got["rows"] == 30_000 and got["n_t"] == 7 and abs(got["n_u"] - users) < 0.06 * users
     assert abs(got["p10"] - 100) < 30 and abs(got["p50"] - 500) < 30
-    small = days.where("d < '2024-01-03'")
+    small = days.where("day < '2024-01-03'")
     exact = rows.where("d < '2024-01-03'").select("t").distinct().count()
     assert sketches.estimates(sketches.merged(small, whole, ["u", "t"]), ["t"], []).first()["n_t"] == exact
     odd = spark.createDataFrame([(None, 1, 1.0), ("2024-01-01", None, None)], "d string, u int, v double")
