@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stresslens.operators.ordered import next_rows
+
 
 def nodes_of(rows: DataFrame, kind: str, key: Column | str, label: Column | str) -> DataFrame:
     """Nodes of one kind, one for each key; the greatest label wins."""
@@ -28,8 +30,8 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def precedes(rows: DataFrame, group: str, ts: str, key: str) -> DataFrame:
     """Chain of consecutive rows of each group: (group, src, dst, gap_days)."""
-    w = Window.partitionBy(group).orderBy(ts, key)
-    nxt = rows.select(group, F.col(key).alias("src"), F.col(ts).alias("a"), F.lead(key).over(w).alias("dst"), F.lead(ts).over(w).alias("b"))
+    chain = rows.select(group, F.col(key).alias("src"), F.col(ts).alias("a"))
+    nxt = next_rows(chain, [group], ["a", "src"], {"src": "dst", "a": "b"})  # in ranges, so that a hot group spreads
     gap = (F.unix_timestamp(F.col("b").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))) / 86400.0
     return nxt.where("dst is not null").select(group, "src", "dst", F.round(gap, 2).alias("gap_days"))
 
@@ -107,8 +109,7 @@ def campaign_edges(events: DataFrame, ts: str = "first_seen") -> DataFrame:
     said = events.select("event_id", ts, F.explode("attributions").alias("a")).where(F.col("a.status") != "suspected").select("event_id", ts, F.col("a.actor").alias("actor"))
     thread = edges_of(said.select("actor").distinct(), "REPORTED_ACTOR_THREAD", ("campaign", "actor"), ("actor", "actor"))
     has = edges_of(said, "HAS_EVENT", ("campaign", "actor"), ("event", "event_id"))
-    after = F.lead("event_id").over(Window.partitionBy("actor").orderBy(ts, "event_id"))
-    pairs = said.select("event_id", after.alias("next")).where("next is not null").distinct()
+    pairs = next_rows(said, ["actor"], [ts, "event_id"], {"event_id": "next"}).where("next is not null").select("event_id", "next").distinct()
     return thread.unionByName(has).unionByName(edges_of(pairs, "CAMPAIGN_PRECEDES", ("event", "event_id"), ("event", "next")))
 
 
