@@ -8,10 +8,12 @@ from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stresslens.llm import audit, merkle, minhash, shinglejoin
+from stresslens.llm.words import hash_texts, shingles
 from tests.llm.test_llm import DOCS, SPACE, brute_components, frame, prose
 from tests.llm.test_whole_queries import dense_group
 
@@ -226,3 +228,79 @@ def test_blocks_link_whatever_the_order_says():
     for i, j in links:
         root[find(i)] = find(j)
     assert all(find(i) == find(j) for i in range(150) for j in range(i) if like(i, j))
+
+
+def near_sets(rng, k, changed):
+    """Sets of 200 values of which up to so many differ from one base."""
+    base, out = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), []
+    for i in range(k):
+        gone = rng.choice(200, rng.integers(1, changed), replace=False)
+        out.append(np.sort(np.concatenate([np.delete(base, gone), rng.integers(0, 2**63, len(gone) + i % 3 * 30, dtype=np.uint64)])))
+    return out
+
+
+def test_parities_pass_every_link_and_little_else():
+    rng = np.random.default_rng(4)
+    sets = [*near_sets(rng, 60, 20), *near_sets(rng, 60, 60), np.arange(1, dtype=np.uint64), np.arange(64, dtype=np.uint64), np.arange(70, dtype=np.uint64)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in pairs}
+    batch = pa.RecordBatch.from_arrays(
+        [*(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)), *(pa.array([len(sets[p[k]]) for p in pairs], pa.int64()) for k in (0, 1)), *(pa.array([shinglejoin.parity(sets[p[k]]) for p in pairs]) for k in (0, 1))],
+        ["a", "b", "n_a", "n_b", "parity_a", "parity_b"],
+    )
+    (kept,) = shinglejoin._alike(90)([batch])
+    kept = set(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True))
+    share = {p: 100 * common[p] / (len(sets[p[0]]) + len(sets[p[1]]) - common[p]) for p in pairs}
+    linked = {p for p in pairs if share[p] >= 90}
+    assert linked and linked <= kept and not {p for p in kept if share[p] < 80}
+
+
+def test_block_candidates_are_those_that_meet_nowhere_before():
+    rng = np.random.default_rng(7)
+    sets = near_sets(rng, 80, 20)
+    prefixes = [rng.permutation(s)[:60].view(np.int64) for s in sets]
+    shorts, groups = rng.integers(20, 60, 80), rng.integers(0, 40, 80)
+    posted = [set(p[:n].tolist()) for p, n in zip(prefixes, shorts, strict=True)]
+    like = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))
+    some = 0
+    for token in sorted(set().union(*posted))[:40]:
+        here = [i for i in range(80) if token in posted[i]]
+        if len(here) < 2:
+            continue
+        pick = lambda x: [x[i] for i in here]
+        found = shinglejoin.block_candidates(
+            token, groups[here], np.full(len(here), 3), np.array([len(s) for s in pick(sets)]), np.ones(len(here), int), shorts[here], pick(prefixes), [np.frombuffer(shinglejoin.parity(s), np.uint8) for s in pick(sets)], 90
+        )
+        first = [(i, j) for i in here for j in here if groups[i] != groups[j] and min(posted[i] & posted[j]) == token]
+        linked = {i for i, j in first if like(i, j)}
+        assert linked <= {here[k] for k in found} <= {i for i, _ in first}
+        some += len(linked)
+    assert some
+
+
+def test_sketch_counts_every_shingle(spark):
+    texts = near_texts(random.Random(8))
+    want = np.zeros(1 << shinglejoin.SKETCH_BITS, np.uint32)
+    for _, hashes, _ in hash_texts(pa.array(texts)):
+        np.add.at(want, shinglejoin._buckets(shingles(hashes, 3)), np.uint32(1))
+    assert (shinglejoin.count_sketch(frame(spark, texts), 3) == want).all()
+
+
+def test_whole_sets_are_fetched_for_candidates_alone(spark, monkeypatch):
+    rng, fetched = random.Random(21), []
+    passages = [prose(rng, 20) for _ in range(65)]
+    # each text has four of its five passages in common with the next: all their shingles are shared, none link
+    texts = [" ".join(passages[k : k + 5]) for k in range(60)]
+    texts += [f"{prose(rng, 150)} {end}" for end in ("one", "two")]
+    texts.append(texts[-1].replace("two", "three"))
+    was = shinglejoin._sets
+    monkeypatch.setattr(shinglejoin, "_sets", lambda docs, size: fetched.append(docs.count()) or was(docs, size))
+    assert shingle_components(spark, texts, 3, 90) == brute_components(texts, 3, 90)
+    assert 2 <= sum(fetched) <= 6
+
+
+def test_sets_whose_numbers_are_alike_stay_apart(spark, monkeypatch):
+    was = shinglejoin._node
+    monkeypatch.setattr(shinglejoin, "_node", lambda digest, salt: was(digest, salt) if salt else F.lit(7).cast("bigint"))
+    texts = near_texts(random.Random(3))[:60]
+    assert shingle_components(spark, texts, 3, 90) == brute_components(texts, 3, 90)
