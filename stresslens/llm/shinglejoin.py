@@ -42,6 +42,8 @@ from stresslens.llm.words import hash_texts, shingles
 
 #: Counters of the sketch (2 ** bits of 4 bytes) and how many of them travel as one row.
 SKETCH_BITS, SLICE_BITS = 22, 16
+#: Bits of the filter that texts pass before they meet the ids of candidates.
+FILTER_BITS = 24
 #: Greatest number of matches that a prefix can ask for.
 MOST_MATCHES = 12
 #: Cost of verifying a candidate in postings: a part by set size, and a fixed part.
@@ -410,6 +412,16 @@ def _block_links(left: DataFrame, ready: DataFrame, fetch: Callable[[DataFrame],
     return scratch.save(whole.select(*_TASK, "role", "node", "grp", "matches", "prefix", "members").mapInArrow(_compared(percent), "a bigint, b bigint"))
 
 
+def _maybe_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id hashes as one of ``ids(doc_id)`` does; ``2 ** FILTER_BITS`` bits are broadcast, whatever the input."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    bits = ids.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, at % 8) == 1
+    return docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket")).where(held).select("doc_id", "text")
+
+
 def _node(digest: str, salt: int) -> Column:
     """Number of the distinct set with this digest."""
     return F.xxhash64(F.lit(salt), digest)
@@ -450,7 +462,8 @@ def shingle_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     def fetch(nodes: DataFrame) -> DataFrame:
         """(node, members) of these nodes, and maybe of others where a doc_id is repeated."""
         wanted = scratch.save(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), tasks=tasks)
-        sets = _sets(docs.join(wanted, "doc_id", "left_semi"), shingle_words)
+        # not a semi-join, which Spark would move in front of the filter
+        sets = _sets(_maybe_among(docs, wanted).join(wanted, "doc_id").select("doc_id", "text"), shingle_words)
         return scratch.save(once(sets.select(_node("digest", salt).alias("node"), "members")))
 
     postings = scratch.save(ready.select(F.explode(F.slice("prefix", F.lit(1), F.col("short"))).alias("token"), "node"), tasks=4 * tasks)

@@ -304,3 +304,11 @@ def test_sets_whose_numbers_are_alike_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(shinglejoin, "_node", lambda digest, salt: was(digest, salt) if salt else F.lit(7).cast("bigint"))
     texts = near_texts(random.Random(3))[:60]
     assert shingle_components(spark, texts, 3, 90) == brute_components(texts, 3, 90)
+
+
+def test_texts_are_filtered_before_they_meet_ids(spark):
+    docs = spark.range(-500, 20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.createDataFrame([(None, "t")], "doc_id bigint, text string"))
+    ids = docs.where("doc_id % 40 = 0").select("doc_id")
+    passed = [r["doc_id"] for r in shinglejoin._maybe_among(docs, ids).collect()]
+    assert set(passed) >= {r["doc_id"] for r in ids.collect()} and len(passed) == len(set(passed)) < 600
+    assert shinglejoin._maybe_among(docs, ids.limit(0)).count() == 0
