@@ -1,27 +1,34 @@
 """A stored full-text index in segments, searched by blocks of which most are never opened.
 
-Documents of a segment are numbered in the order of their ids and cut into
-blocks of ``BLOCK`` documents, the same for all terms.  A row of a segment
-holds what one term has in one block: ids, counts, sizes, and in its header
-the greatest count and the smallest size, from which an upper bound of the
-term's weight follows for any mean size and any document frequency.
-
-A search first reads headers alone.  Bounds of a query's terms add up to the
-bound of a block; the blocks with the greatest bounds are scored, their k-th
-score is one that the answer reaches, and only blocks whose bound reaches it
-too are scored after them.  What is skipped can't be among the first k, so
-the answer equals that of scoring everything.
+Documents of a segment are cut into blocks of ``BLOCK`` documents as they come
+from their source; a row of a segment is one block: its documents, its terms
+and where each of them stands, so that a block is written and read whole and
+texts are never shuffled.
+
+A search first takes from each block what the asked terms have there.  Blocks
+are then dealt in chunks to tasks, beside the queries.  The greatest weight of
+each term in a block adds up to the bound of a query there; in a chunk the
+blocks with the greatest bounds are scored, their k-th score is one that the
+answer reaches, and only blocks whose bound reaches it too are scored after
+them.  What is skipped can't be among the first k, so the answer equals that
+of scoring everything.  A task holds a chunk, a block of queries and about
+``HELD`` scores, and only k of each query (and rows that may tie with the
+last of them) leave it.
 
 The index is a log of versions (``sources.versioned``): documents are added
-as a new segment, deleted ones are listed with what they take from the
-counts, segments of like size are merged into one, and nothing is written
-when the source is the one that the index was built from.
+as a new segment, deleted ones are listed, segments of like size are merged
+into one, and nothing is written when the source is the one that the index
+was built from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +36,16 @@ from stresslens.operators.retrieval import top
 from stresslens.sources.shared import kept
 from stresslens.sources.versioned import VersionLog
 
-#: Documents of a block; segments of a size tier that are merged; how many times larger a tier's segments are.
+#: Documents of a block (65,536 at most); segments of a size tier that are merged; how many times larger a tier's segments are.
 BLOCK, FAN_IN = 128, 4
+#: Blocks of a chunk and queries that a task holds at once, about; scores that it holds before all but the first are dropped.
+CHUNK, QUERIES, HELD = 128, 16_384, 1_000_000
 #: The parameters of BM25.
 K1, B = 1.2, 0.75
 #: Scores are rounded to this many places before they are ranked.
 DIGITS = 6
+#: What may lie between two scores that are equal when rounded, with a place to spare.
+_SLACK = 2 * 10.0**-DIGITS
 
 
 def fingerprint(docs: DataFrame) -> str:
@@ -48,21 +59,249 @@ def _inverse(df: Column, n: int) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
-def _weight(tf: Column, size: Column, mean: float) -> Column:
-    return tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * size / mean))
+def _row(ids: pa.Array, sizes: np.ndarray, terms: pa.Array, code: np.ndarray, doc: np.ndarray, tf: np.ndarray | None = None) -> dict:
+    """A block's row: documents, and for each of its terms (``code`` is a place in ``terms``) the documents (places in ``ids``) and counts.
 
-
-def counts_of(words: Column) -> Column:
-    """(term, tf) of an array of words, by one sort."""
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-
-    def runs(sorted_words: Column) -> Column:
-        n = F.size(sorted_words)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1)))
-        return once(starts, lambda at: F.transform(at, lambda x, k: F.struct(F.get(sorted_words, x).alias("term"), (F.coalesce(F.get(at, k + 1), n) - x).alias("tf"))))
-
-    usable = F.filter(words, lambda w: w.isNotNull())
-    return F.when(F.size(usable) > 0, once(F.sort_array(usable), runs))
+    Entries that repeat a term and a document are counted if ``tf`` isn't given.
+    """
+    order = np.asarray(pc.sort_indices(terms))
+    rank = np.empty(len(order), "int64")
+    rank[order] = np.arange(len(order))
+    key = rank[code] * len(ids) + doc
+    if tf is None:
+        key, tf = np.unique(key, return_counts=True)
+    else:
+        sort = np.argsort(key)
+        key, tf = key[sort], tf[sort]
+    counts = np.bincount(key // max(1, len(ids)), minlength=len(order))
+    there = np.flatnonzero(counts)
+    at = (key % max(1, len(ids))).astype("<u2").tobytes()
+    return {"ids": ids, "sizes": pa.array(sizes, pa.int32()), "terms": terms.take(pa.array(order[there])), "counts": pa.array(counts[there], pa.int32()), "at": at, "tfs": tf.astype("<i4").tobytes()}
+
+
+def _table(rows: list[dict], numbers: list[int], schema: pa.Schema, **others: list) -> pa.Table:
+    """Rows of blocks as a table of the columns of ``schema``."""
+    columns = []
+    for field in schema:
+        if field.name in ("at", "tfs"):
+            columns.append(pa.array([r[field.name] for r in rows], field.type))
+        elif field.name == "block" or field.name in others:
+            columns.append(pa.array(numbers if field.name == "block" else others[field.name], field.type))
+        else:
+            ends = np.cumsum([0, *[len(r[field.name]) for r in rows]])
+            values = pa.concat_arrays([r[field.name].cast(field.type.value_type) for r in rows]) if rows else pa.array([], field.type.value_type)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+    return pa.table(columns, schema=schema)
+
+
+def _schema(ids: pa.DataType, *more: pa.Field) -> pa.Schema:
+    lists = {"ids": ids, "sizes": pa.int32(), "terms": pa.string(), "counts": pa.int32()}
+    return pa.schema([*more, ("block", pa.int64()), *[(n, pa.list_(t)) for n, t in lists.items()], ("at", pa.binary()), ("tfs", pa.binary())])
+
+
+def _cut(most: int):
+    """For ``mapInArrow``: documents (id, words) as rows of blocks, numbered by task."""
+
+    def block(docs: pa.Table) -> dict:
+        ids, words = (pa.concat_arrays(docs[c].chunks) for c in ("id", "words"))
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+        flat, doc = pc.list_flatten(words).cast(pa.string()), np.repeat(np.arange(len(sizes)), sizes)
+        if flat.null_count:
+            doc, flat = doc[np.asarray(flat.is_valid())], flat.drop_null()
+        coded = flat.dictionary_encode()
+        return _row(ids, sizes, coded.dictionary, np.asarray(coded.indices), doc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, TaskContext.get().partitionId() << 20
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            while held.num_rows >= most:
+                yield from _table([block(held.slice(0, most))], [number], _schema(held.schema.field("id").type)).to_batches()
+                held, number = held.slice(most), number + 1
+        if held is not None and held.num_rows:
+            yield from _table([block(held)], [number], _schema(held.schema.field("id").type)).to_batches()
+
+    return run
+
+
+class _Chunk:
+    """Rows of blocks taken apart: an entry for each term of each document, and where blocks begin."""
+
+    def __init__(self, blocks: pa.Table):
+        one = lambda c: pa.concat_arrays(blocks[c].chunks) if blocks[c].num_chunks else pa.array([], blocks.schema.field(c).type)
+        length = lambda c: np.asarray(pc.list_value_length(one(c)), "int64")
+        raw = lambda c, kind: np.frombuffer(b"".join(blocks[c].to_pylist()), kind)
+        self.block = np.asarray(one("block"))
+        self.ids, self.sizes = pc.list_flatten(one("ids")), np.asarray(pc.list_flatten(one("sizes")))
+        self.terms, self.counts = pc.list_flatten(one("terms")), np.asarray(pc.list_flatten(one("counts")), "int64")
+        n = length("ids")
+        #: the first document of each block (and the end); the block of each of ``terms``
+        self.first, self.owner = np.cumsum([0, *n]), np.repeat(np.arange(len(n)), length("terms"))
+        #: of each entry: its place in ``terms``, its document and count
+        self.term = np.repeat(np.arange(len(self.terms)), self.counts)
+        self.doc = self.first[self.owner[self.term]] + raw("at", "<u2")
+        self.tf = raw("tfs", "<i4")
+        dead = [d or [] for d in blocks["dead"].to_pylist()] if "dead" in blocks.column_names else []
+        self.alive = np.ones(len(self.ids), bool)
+        for b in (b for b, gone in enumerate(dead) if gone):
+            at = slice(self.first[b], self.first[b + 1])
+            self.alive[at] = ~np.asarray(pc.is_in(self.ids[at], pa.array(dead[b], self.ids.type)))
+
+    def rows(self, coded: np.ndarray, names: pa.Array, entries: np.ndarray, edges: np.ndarray) -> list[dict]:
+        """Rows of the living documents between ``edges``, of ``entries`` alone; ``coded`` are the places of their terms in ``names``."""
+        entries = entries[self.alive[self.doc[entries]]]
+        entries = entries[np.argsort(self.doc[entries], kind="stable")]
+        out, ends = [], np.searchsorted(self.doc[entries], edges)
+        for a, z, low, high in zip(edges[:-1], edges[1:], ends[:-1], ends[1:], strict=True):
+            live, mine = np.flatnonzero(self.alive[a:z]), entries[low:high]
+            place = np.cumsum(self.alive[a:z]) - 1
+            codes, code = np.unique(coded[self.term[mine]], return_inverse=True)
+            out.append(_row(self.ids.take(pa.array(a + live)), self.sizes[a + live], names.take(pa.array(codes)), code, place[self.doc[mine] - a], self.tf[mine]))
+        return out
+
+
+def _asked_of(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+    """The rows of a chunk with the entries of asked terms alone and without deleted documents."""
+    schema = _schema(blocks.schema.field("ids").type.value_type, pa.field("chunk", pa.int32()))
+    if not blocks.num_rows or not asked.num_rows:
+        return _table([], [], schema, chunk=[])
+    chunk, names = _Chunk(blocks), pa.concat_arrays(asked["term"].chunks)
+    found = pc.index_in(chunk.terms, value_set=names)
+    coded = np.asarray(found.fill_null(-1))
+    rows = chunk.rows(coded, names, np.flatnonzero(coded[chunk.term] >= 0), chunk.first)
+    return _table(rows, chunk.block.tolist(), schema, chunk=[blocks["chunk"][0].as_py()] * len(rows))
+
+
+def _repacked(most: int):
+    """For ``applyInArrow``: the living documents of a chunk in new blocks of ``most``."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        chunk = _Chunk(blocks)
+        coded = chunk.terms.dictionary_encode()
+        live = np.flatnonzero(chunk.alive)
+        edges = np.array([*live[::most], len(chunk.ids)]) if len(live) else np.array([0])
+        rows = chunk.rows(np.asarray(coded.indices), coded.dictionary, np.arange(len(chunk.doc)), edges)
+        begin = blocks["chunk"][0].as_py() << 20
+        return _table(rows, [begin + k for k in range(len(rows))], _schema(chunk.ids.type))
+
+    return run
+
+
+class _Best:
+    """The first ``k`` scores of each of some queries, and whatever may tie with the last of them when rounded."""
+
+    def __init__(self, queries: int, k: int, rank: np.ndarray):
+        self.k, self.rank, self.cut, self.parts, self.held = k, rank, np.full(queries, -np.inf), [], 0
+
+    def add(self, q: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((q, doc, score))
+        self.held += len(q)
+        if self.held > HELD:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Drop what can't be among the first; (query, document, score) of what is left."""
+        if not self.parts:
+            return np.array([], "int64"), np.array([], "int64"), np.array([])
+        q, doc, score = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((self.rank[doc], -score, q))
+        q, doc, score = q[order], doc[order], score[order]
+        at = np.arange(len(q))
+        place = at - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.cut[q[last]] = score[last]
+        begins = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1])][: len(q)]
+        equal = at - np.maximum.accumulate(np.where(begins, at, 0))  # of equal scores only the first k ids
+        keep = (place < self.k) | ((score >= self.cut[q] - _SLACK) & (equal < self.k))
+        self.parts, self.held = [(q[keep], doc[keep], score[keep])], 0
+        return self.parts[0]
+
+
+def _first_of(mean: float, k: int, first: int):
+    """For ``applyInArrow``: the first ``k`` of a chunk for each query (qid, id, score), and (qid, blocks, opened) of the chunk."""
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        types = [("qid", asked.schema.field("qid").type), ("id", blocks.schema.field("ids").type.value_type), ("score", pa.float64()), ("blocks", pa.int32()), ("opened", pa.int32())]
+        if not blocks.num_rows or not asked.num_rows:
+            return pa.schema(types).empty_table()
+        chunk = _Chunk(blocks)
+        one = lambda c: pa.concat_arrays(asked[c].chunks)
+        coded, terms, idf = one("qid").dictionary_encode(), one("term").dictionary_encode(), np.asarray(one("idf"))
+        # rows of a query beside each other, its terms in one order in all chunks
+        place = np.empty(len(terms.dictionary), "int64")
+        place[np.asarray(pc.sort_indices(terms.dictionary))] = np.arange(len(place))
+        query, code = np.asarray(coded.indices, "int64"), np.asarray(terms.indices, "int64")
+        order = np.lexsort((place[code], query))
+        query, code, idf = query[order], code[order], idf[order]
+        n_queries, n_blocks = len(coded.dictionary), blocks.num_rows
+
+        weight = chunk.tf * (K1 + 1.0) / (chunk.tf + K1 * (1.0 - B + B * chunk.sizes[chunk.doc] / mean))
+        known = np.asarray(pc.index_in(chunk.terms, value_set=terms.dictionary).fill_null(-1), "int64")
+        starts = np.cumsum(np.r_[0, chunk.counts])
+        most = np.zeros((len(place), n_blocks))
+        if len(weight):
+            has = np.flatnonzero(known >= 0)
+            most[known[has], chunk.owner[has]] = np.maximum.reduceat(weight, starts[:-1])[has]
+
+        def summed(rows: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """For each query of ``rows`` (in order) the sum of idf times the row of ``values`` at its place; some queries at a time."""
+            begins = np.flatnonzero(np.r_[True, query[rows][1:] != query[rows][:-1]])
+            out = np.empty((len(begins), values.shape[1]))
+            for low in range(0, len(begins), 1024):
+                here = begins[low : low + 1024]
+                end = begins[low + 1024] if low + 1024 < len(begins) else len(rows)
+                out[low : low + 1024] = np.add.reduceat(idf[rows[here[0] : end], None] * values[at[here[0] : end]], here - here[0], axis=0)
+            return out
+
+        bound = summed(np.arange(len(query)), most, code)
+        best = _Best(n_queries, k, _ranks(chunk.ids))
+        opened, touched = np.zeros(n_queries, "int64"), np.searchsorted(chunk.owner, np.arange(n_blocks + 1))
+
+        def score(wanted: np.ndarray) -> None:
+            for b in range(n_blocks):
+                chosen = wanted[:, b] & (bound[:, b] > 0) & (bound[:, b] >= best.cut - _SLACK)
+                if not chosen.any():
+                    continue
+                opened[chosen] += 1
+                # the block as a matrix: a row for each asked term that it has
+                mine = np.arange(touched[b], touched[b + 1])
+                mine = mine[known[mine] >= 0]
+                line = np.full(len(chunk.terms[touched[b] : touched[b + 1]]), -1)
+                line[mine - touched[b]] = np.arange(len(mine))
+                of = np.full(len(place), -1)
+                of[known[mine]] = np.arange(len(mine))
+                entries = slice(starts[touched[b]], starts[touched[b + 1]])
+                at, there = line[chunk.term[entries] - touched[b]], chunk.doc[entries] - chunk.first[b]
+                matrix = np.zeros((len(mine), chunk.first[b + 1] - chunk.first[b]))
+                matrix[at[at >= 0], there[at >= 0]] = weight[entries][at >= 0]
+                rows = np.flatnonzero(chosen[query] & (of[code] >= 0))
+                found, who = summed(rows, matrix, of[code[rows]]), np.flatnonzero(chosen)
+                q, doc = np.nonzero((found > 0) & (found >= best.cut[who, None] - _SLACK))
+                best.add(who[q], chunk.first[b] + doc, found[q, doc])
+
+        begin = np.zeros(bound.shape, bool)
+        some = min(n_blocks, first + k // max(1, len(chunk.ids) // n_blocks))
+        np.put_along_axis(begin, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, axis=1)
+        score(begin)
+        best.settle()
+        score(~begin)
+        q, doc, value = best.settle()
+        held = (bound > 0).sum(1)
+        those = np.flatnonzero(held)
+        none = lambda n, kind: pa.nulls(n, kind)
+        counts = [coded.dictionary.take(pa.array(those)), none(len(those), types[1][1]), none(len(those), pa.float64()), pa.array(held[those], pa.int32()), pa.array(opened[those], pa.int32())]
+        hits = [coded.dictionary.take(pa.array(q)), chunk.ids.take(pa.array(doc)), pa.array(value, pa.float64()), none(len(q), pa.int32()), none(len(q), pa.int32())]
+        return pa.concat_tables([pa.table(x, schema=pa.schema(types)) for x in (hits, counts)])
+
+    return run
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """The place of each id in their order."""
+    ranks = np.empty(len(ids), "int64")
+    ranks[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+    return ranks
 
 
 class BlockIndex:
@@ -86,9 +325,13 @@ class BlockIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self.log.data(f"{f}/{part}") for f in folders])
 
-    def _postings(self, state: dict, folders: list[str] | None = None) -> DataFrame:
+    def _blocks(self, state: dict, folders: list[str] | None = None) -> DataFrame:
+        """Rows of blocks, with the deleted ids of each as ``dead`` if there are any."""
         folders = [s["folder"] for s in state["segments"]] if folders is None else folders
-        return self._read(folders, "postings", f"term string, block long, n int, most int, least int, ids array<{state['id'] or 'long'}>, tfs array<int>, sizes array<int>")
+        rows = self._read(folders, "blocks", _columns(state))
+        if not state["deletions"]:
+            return rows
+        return rows.join(self._gone(state).groupBy("block").agg(F.collect_list("id").alias("dead")), "block", "left")
 
     def _docs(self, state: dict) -> DataFrame:
         return self._read([s["folder"] for s in state["segments"]], "docs", f"id {state['id'] or 'long'}, block long, size int")
@@ -96,9 +339,6 @@ class BlockIndex:
     def _gone(self, state: dict) -> DataFrame:
         return self._read(state["deletions"], "docs", f"id {state['id'] or 'long'}, block long, size int")
 
-    def _gone_terms(self, state: dict) -> DataFrame:
-        return self._read(state["deletions"], "terms", "term string, n long")
-
     def counts(self) -> dict:
         """Documents, words, segments and deleted documents of the newest version."""
         _, state = self._state()
@@ -107,34 +347,24 @@ class BlockIndex:
 
     # writing
 
-    def _write_segment(self, state: dict, docs: DataFrame, counted: Callable[[DataFrame], DataFrame]) -> dict:
-        """A segment of ``docs(id, size)``; its entry for the version.  ``counted`` makes (id, block, size, term, tf) of (id, block, size)."""
+    def _write_segment(self, state: dict, blocks: DataFrame) -> dict:
+        """A segment of rows of blocks, whose numbers become unique among all segments; its entry for the version."""
         number = state["next"]
         folder = f"s{number:06d}"
-        ordered = kept(docs.repartitionByRange("id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()))
-        # a block is a run of ids in one range: its number is unique among all segments
-        lines = ordered.select("id", "size", (F.lit(number << 40) + F.shiftleft(F.shiftright("place", 33), 26) + F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / BLOCK)).cast("long").alias("block"))
-        lines.write.mode("overwrite").parquet(self.log.data(f"{folder}/docs"))
-        stored = self.spark.read.parquet(self.log.data(f"{folder}/docs"))
-        entries = counted(stored).groupBy("term", "block").agg(
-            F.count("*").cast("int").alias("n"), F.max("tf").cast("int").alias("most"), F.min("size").alias("least"),
-            F.array_sort(F.collect_list(F.struct("id", F.col("tf").cast("int").alias("tf"), "size"))).alias("e"),
-        )
-        field = lambda name: F.transform("e", lambda x: x[name])
-        laid = entries.select("term", "block", "n", "most", "least", field("id").alias("ids"), field("tf").alias("tfs"), field("size").alias("sizes"))
-        # terms in ranges and sorted: files and row groups without a query's terms are pruned by their statistics
-        laid.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(self.log.data(f"{folder}/postings"))
-        n, words = stored.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        numbered = blocks.withColumn("block", F.col("block") + F.lit(number << 40))
+        numbered.write.mode("overwrite").option("compression", "zstd").parquet(self.log.data(f"{folder}/blocks"))
+        lines = self._read([folder], "blocks", _columns(state)).select("block", F.explode(F.arrays_zip("ids", "sizes")).alias("d"))
+        lines.select(F.col("d.ids").alias("id"), "block", F.col("d.sizes").alias("size")).write.mode("overwrite").parquet(self.log.data(f"{folder}/docs"))
+        n, words = self._read([folder], "docs", "size int").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         return {"folder": folder, "docs": n, "words": int(words)}
 
     def _added(self, state: dict, docs: DataFrame) -> dict:
-        rows = kept(docs.where("id is not null").select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
+        rows = docs.where("id is not null").select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
         state = state | {"id": state["id"] or rows.schema["id"].dataType.simpleString()}
         if state["segments"]:
             state = self._without(state, rows.select("id"))
-        # a document is one row: its words are counted inside it and shuffled once, by term
-        counted = lambda stored: stored.join(rows, "id").select("id", "block", "size", F.explode(counts_of(F.col("words"))).alias("t")).select("id", "block", "size", "t.term", "t.tf")
-        entry = self._write_segment(state, rows.select("id", F.size("words").alias("size")), counted)
+        # blocks are cut where the documents are read: only their rows are written
+        entry = self._write_segment(state, rows.mapInArrow(_cut(BLOCK), _columns(state)))
         segments = [*state["segments"], entry] if entry["docs"] else state["segments"]
         return state | {"segments": segments, "next": state["next"] + 1}
 
@@ -144,15 +374,13 @@ class BlockIndex:
         return self._listed(state, there.join(ids.select("id").distinct(), "id", "left_semi").select("id", "block", "size"))
 
     def _listed(self, state: dict, rows: DataFrame) -> dict:
-        """The state with ``rows(id, block, size)`` of its segments as deletions, and what they take from the terms' counts."""
+        """The state with ``rows(id, block, size)`` of its segments as deletions."""
         gone = kept(rows)
         n, words = gone.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         if not n:
             return state
         folder = f"d{state['next']:06d}"
         gone.write.mode("overwrite").parquet(self.log.data(f"{folder}/docs"))
-        hit = self._postings(state).join(gone.select("block").distinct(), "block", "left_semi").select("term", "block", F.explode("ids").alias("id"))
-        hit.join(gone.select("id", "block"), ["id", "block"], "left_semi").groupBy("term").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(self.log.data(f"{folder}/terms"))
         return state | {"deletions": [*state["deletions"], folder], "next": state["next"] + 1, "gone_docs": state.get("gone_docs", 0) + n, "gone_words": state.get("gone_words", 0) + int(words)}
 
     def ensure(self, docs: DataFrame) -> bool:
@@ -194,11 +422,9 @@ class BlockIndex:
 
     def _merged(self, state: dict, old: list[str]) -> dict:
         """The state with the segments ``old`` as one, and deletions only of the others."""
-        gone, schema = kept(self._gone(state)), f"id {state['id']}, block long, size int"
-        live = lambda rows: rows.join(gone.select("id", "block"), ["id", "block"], "left_anti")
-        docs = live(self._read(old, "docs", schema)).select("id", "size")
-        pairs = self._postings(state, old).select("term", "block", F.explode(F.arrays_zip("ids", "tfs")).alias("e")).select("term", "block", F.col("e.ids").alias("id"), F.col("e.tfs").alias("tf"))
-        entry = self._write_segment(state, docs, lambda stored: live(pairs).select("id", "term", "tf").join(stored, "id"))
+        gone, n = kept(self._gone(state)), _chunks(sum(s["docs"] for s in state["segments"] if s["folder"] in old))
+        dealt = self._blocks(state, old).withColumn("chunk", _dealt("block", n))
+        entry = self._write_segment(state, dealt.groupBy("chunk").applyInArrow(_repacked(BLOCK), _columns(state)))
         rest = [s for s in state["segments"] if s["folder"] not in old]
         fresh = state | {"segments": [*rest, entry] if entry["docs"] else rest, "deletions": [], "gone_docs": 0, "gone_words": 0, "next": state["next"] + 1}
         # deletions of segments that stay are listed anew
@@ -212,27 +438,6 @@ class BlockIndex:
 
     # searching
 
-    def _terms(self, state: dict, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-        """(qid, term, idf), the headers of these terms, and the mean size."""
-        held = self.counts()
-        asked = kept(queries.select("qid", "term").where("qid is not null and term is not null").distinct())
-        headers = kept(self._postings(state).select("term", "block", "n", "most", "least").join(asked.select("term").distinct(), "term", "left_semi"))
-        lost = self._gone_terms(state).groupBy("term").agg(F.sum("n").alias("lost"))
-        df = headers.groupBy("term").agg(F.sum("n").alias("df")).join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
-        known = asked.join(df.where("df > 0"), "term").select("qid", "term", _inverse(F.col("df"), held["docs"]).alias("idf"))
-        return kept(known), headers, max(1e-9, held["words"] / max(1, held["docs"]))
-
-    def _scored(self, state: dict, terms: DataFrame, blocks: DataFrame, mean: float) -> DataFrame:
-        """(qid, id, score) of all documents in ``blocks(qid, block)``."""
-        wanted = terms.join(blocks, "qid")
-        # a term's block is opened once for all queries that want it
-        opened = self._postings(state).join(wanted.select("term", "block").distinct(), ["term", "block"], "left_semi")
-        entries = opened.select("term", "block", F.explode(F.arrays_zip("ids", "tfs", "sizes")).alias("e")).select("term", "block", F.col("e.ids").alias("id"), _weight(F.col("e.tfs"), F.col("e.sizes"), mean).alias("w"))
-        if state["deletions"]:
-            entries = entries.join(self._gone(state).select("id", "block"), ["id", "block"], "left_anti")
-        hits = wanted.join(entries, ["term", "block"])
-        return hits.groupBy("qid", "block", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("score")).select("qid", "id", F.round("score", DIGITS).alias("score"))
-
     def search(self, queries: DataFrame, k: int, first: int = 4) -> DataFrame:
         """(qid, id, score, rank): the first ``k`` documents for each of ``queries(qid, term)``, as BM25 over all documents ranks them; ties by id."""
         return self.search_counted(queries, k, first)[0]
@@ -240,18 +445,34 @@ class BlockIndex:
     def search_counted(self, queries: DataFrame, k: int, first: int = 4) -> tuple[DataFrame, DataFrame]:
         """The same, and (qid, blocks, opened): how many blocks hold a term of the query, and how many were scored."""
         _, state = self._state()
-        terms, headers, mean = self._terms(state, queries)
-        bound = _weight(F.col("most"), F.col("least"), mean)
-        bounds = kept(terms.join(headers, "term").groupBy("qid", "block").agg(F.sum(F.col("idf") * bound).alias("bound")))
-        best = [F.col("score").desc(), F.col("id")]
-        begin = kept(top(bounds, first + k // BLOCK, [F.desc("bound"), F.col("block")]).select("qid", "block"))
-        scored = kept(self._scored(state, terms, begin, mean))
-        reached = top(scored, k, best).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-        # the last place of a rounded score is given away, so that ties are still met
-        rest = bounds.join(reached, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 2 * 10.0**-DIGITS)).select("qid", "block").join(begin, ["qid", "block"], "left_anti")
-        rest = kept(rest)
-        found = top(scored.unionByName(self._scored(state, terms, rest, mean)), k, best)
-        opened = begin.unionByName(rest).groupBy("qid").agg(F.count("*").alias("opened"))
-        return found, bounds.groupBy("qid").agg(F.count("*").alias("blocks")).join(opened, "qid")
+        held, n = self.counts(), _chunks(sum(s["docs"] for s in state["segments"]))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = kept(queries.select("qid", "term").where("qid is not null and term is not null").distinct())
+        dealt = self._blocks(state).withColumn("chunk", _dealt("block", n))
+        words = asked.select("term").distinct().select("term", every(n).alias("chunk"))
+        needed = kept(dealt.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_asked_of, f"chunk int, {_columns(state)}"))
+        df = needed.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
+        known = kept(asked.join(df, "term").select("qid", "term", _inverse(F.col("df"), held["docs"]).alias("idf")))
+
+        parts = max(1, -(-known.select("qid").distinct().count() // QUERIES))
+        left = needed.withColumn("part", every(parts)).groupBy("chunk", "part")
+        right = known.withColumn("part", _dealt("qid", parts)).withColumn("chunk", every(n)).groupBy("chunk", "part")
+        kinds = f"qid {known.schema['qid'].dataType.simpleString()}, id {state['id'] or 'long'}, score double, blocks int, opened int"
+        mean = max(1e-9, held["words"] / max(1, held["docs"]))
+        found = kept(left.cogroup(right).applyInArrow(_first_of(mean, k, first), kinds))
+        scored = found.where("blocks is null").select("qid", "id", F.round("score", DIGITS).alias("score"))
+        counted = found.where("blocks is not null").groupBy("qid").agg(F.sum("blocks").alias("blocks"), F.sum("opened").alias("opened"))
+        return top(scored, k, [F.col("score").desc(), F.col("id")]), counted
+
+
+def _columns(state: dict) -> str:
+    """The columns of a block's row."""
+    return f"block long, ids array<{state['id'] or 'long'}>, sizes array<int>, terms array<string>, counts array<int>, at binary, tfs binary"
+
+
+def _chunks(docs: int) -> int:
+    return max(1, -(-docs // (BLOCK * CHUNK)))
 
 
+def _dealt(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")

@@ -101,3 +101,22 @@ def test_most_blocks_stay_closed(spark, tmp_path, monkeypatch):
     found, counted = index.search_counted(terms, 3)
     assert [r[:3] for r in hits(found)] == [r[:3] for r in full(spark, rows, terms, 3)]
     assert counted.agg(F.sum("opened") / F.sum("blocks")).first()[0] < 0.5
+
+
+def test_scores_stay_in_their_tasks(spark, tmp_path, monkeypatch):
+    # every query meets every document: neither the pairs nor those that tie may be written or shuffled
+    written = []
+
+    def counting(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    kept = blockindex.kept
+    monkeypatch.setattr(blockindex, "kept", counting)
+    index = blockindex.BlockIndex(spark, f"file://{tmp_path}/index")
+    index.ensure(frame(spark, [(k, ["the", f"w{k % 3}"]) for k in range(3000)]))
+    terms = spark.createDataFrame([(q, t) for q in range(60) for t in ("the", f"w{q % 3}")], "qid int, term string")
+    assert [r[:3] for r in hits(index.search(terms, 5))] == [(q, r + 1, q % 3 + 3 * r) for q in range(60) for r in range(5)]
+    # 5 hits and a line of counts for each query and chunk
+    assert max(written) <= 60 * 6 * 2
