@@ -39,7 +39,7 @@ from stresslens.sources.versioned import VersionLog
 #: Documents of a block (65,536 at most); segments of a size tier that are merged; how many times larger a tier's segments are.
 BLOCK, FAN_IN = 128, 4
 #: Blocks of a chunk and queries that a task holds at once, about; scores that it holds before all but the first are dropped.
-CHUNK, QUERIES, HELD = 128, 16_384, 1_000_000
+CHUNK, QUERIES, HELD = 64, 16_384, 1_000_000
 #: The parameters of BM25.
 K1, B = 1.2, 0.75
 #: Scores are rounded to this many places before they are ranked.
@@ -129,6 +129,8 @@ class _Chunk:
     """Rows of blocks taken apart: an entry for each term of each document, and where blocks begin."""
 
     def __init__(self, blocks: pa.Table):
+        held = pc.is_valid(blocks["sizes"])
+        others, blocks = blocks.filter(pc.invert(held)), blocks.filter(held)
         one = lambda c: pa.concat_arrays(blocks[c].chunks) if blocks[c].num_chunks else pa.array([], blocks.schema.field(c).type)
         length = lambda c: np.asarray(pc.list_value_length(one(c)), "int64")
         raw = lambda c, kind: np.frombuffer(b"".join(blocks[c].to_pylist()), kind)
@@ -142,11 +144,11 @@ class _Chunk:
         self.term = np.repeat(np.arange(len(self.terms)), self.counts)
         self.doc = self.first[self.owner[self.term]] + raw("at", "<u2")
         self.tf = raw("tfs", "<i4")
-        dead = [d or [] for d in blocks["dead"].to_pylist()] if "dead" in blocks.column_names else []
-        self.alive = np.ones(len(self.ids), bool)
-        for b in (b for b, gone in enumerate(dead) if gone):
-            at = slice(self.first[b], self.first[b + 1])
-            self.alive[at] = ~np.asarray(pc.is_in(self.ids[at], pa.array(dead[b], self.ids.type)))
+        self.alive, place = np.ones(len(self.ids), bool), {b: k for k, b in enumerate(self.block.tolist())}
+        for b, dead in zip(others["block"].to_pylist(), others["dead"].to_pylist() if others.num_rows else [], strict=True):
+            if b in place:
+                at = slice(self.first[place[b]], self.first[place[b] + 1])
+                self.alive[at] = ~np.asarray(pc.is_in(self.ids[at], pa.array(dead, self.ids.type)))
 
     def rows(self, coded: np.ndarray, names: pa.Array, entries: np.ndarray, edges: np.ndarray) -> list[dict]:
         """Rows of the living documents between ``edges``, of ``entries`` alone; ``coded`` are the places of their terms in ``names``."""
@@ -162,15 +164,22 @@ class _Chunk:
 
 
 def _asked_of(blocks: pa.Table, asked: pa.Table) -> pa.Table:
-    """The rows of a chunk with the entries of asked terms alone and without deleted documents."""
+    """The rows of a chunk with the entries of asked terms alone and without deleted documents, and a row (block -1) with the terms' documents."""
     schema = _schema(blocks.schema.field("ids").type.value_type, pa.field("chunk", pa.int32()))
     if not blocks.num_rows or not asked.num_rows:
         return _table([], [], schema, chunk=[])
     chunk, names = _Chunk(blocks), pa.concat_arrays(asked["term"].chunks)
+    if not len(chunk.block):
+        return _table([], [], schema, chunk=[])
     found = pc.index_in(chunk.terms, value_set=names)
     coded = np.asarray(found.fill_null(-1))
     rows = chunk.rows(coded, names, np.flatnonzero(coded[chunk.term] >= 0), chunk.first)
-    return _table(rows, chunk.block.tolist(), schema, chunk=[blocks["chunk"][0].as_py()] * len(rows))
+    # how many documents have a term is summed up in the chunk
+    coded, owned = np.asarray(pc.index_in(pa.concat_arrays([r["terms"] for r in rows]), value_set=names)), np.concatenate([np.asarray(r["counts"]) for r in rows])
+    df = np.bincount(coded, owned, len(names)).astype("int64")
+    there = np.flatnonzero(df)
+    rows.append({"ids": chunk.ids[:0], "sizes": pa.array([], pa.int32()), "terms": names.take(pa.array(there)), "counts": pa.array(df[there], pa.int32()), "at": b"", "tfs": b""})
+    return _table(rows, [*chunk.block.tolist(), -1], schema, chunk=[blocks["chunk"][0].as_py()] * len(rows))
 
 
 def _repacked(most: int):
@@ -326,12 +335,13 @@ class BlockIndex:
         return self.spark.read.schema(schema).parquet(*[self.log.data(f"{f}/{part}") for f in folders])
 
     def _blocks(self, state: dict, folders: list[str] | None = None) -> DataFrame:
-        """Rows of blocks, with the deleted ids of each as ``dead`` if there are any."""
+        """Rows of blocks; if there are deletions, also a row for each block that has some, of its number and the deleted ids as ``dead`` alone."""
         folders = [s["folder"] for s in state["segments"]] if folders is None else folders
         rows = self._read(folders, "blocks", _columns(state))
         if not state["deletions"]:
             return rows
-        return rows.join(self._gone(state).groupBy("block").agg(F.collect_list("id").alias("dead")), "block", "left")
+        # they meet their blocks in a chunk: blocks aren't shuffled for them
+        return rows.unionByName(self._gone(state).groupBy("block").agg(F.collect_list("id").alias("dead")), allowMissingColumns=True)
 
     def _docs(self, state: dict) -> DataFrame:
         return self._read([s["folder"] for s in state["segments"]], "docs", f"id {state['id'] or 'long'}, block long, size int")
@@ -451,11 +461,11 @@ class BlockIndex:
         dealt = self._blocks(state).withColumn("chunk", _dealt("block", n))
         words = asked.select("term").distinct().select("term", every(n).alias("chunk"))
         needed = kept(dealt.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_asked_of, f"chunk int, {_columns(state)}"))
-        df = needed.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
+        df = needed.where("block < 0").select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
         known = kept(asked.join(df, "term").select("qid", "term", _inverse(F.col("df"), held["docs"]).alias("idf")))
 
         parts = max(1, -(-known.select("qid").distinct().count() // QUERIES))
-        left = needed.withColumn("part", every(parts)).groupBy("chunk", "part")
+        left = needed.where("block >= 0").withColumn("part", every(parts)).groupBy("chunk", "part")
         right = known.withColumn("part", _dealt("qid", parts)).withColumn("chunk", every(n)).groupBy("chunk", "part")
         kinds = f"qid {known.schema['qid'].dataType.simpleString()}, id {state['id'] or 'long'}, score double, blocks int, opened int"
         mean = max(1e-9, held["words"] / max(1, held["docs"]))

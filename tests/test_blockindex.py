@@ -120,3 +120,28 @@ def test_scores_stay_in_their_tasks(spark, tmp_path, monkeypatch):
     assert [r[:3] for r in hits(index.search(terms, 5))] == [(q, r + 1, q % 3 + 3 * r) for q in range(60) for r in range(5)]
     # 5 hits and a line of counts for each query and chunk
     assert max(written) <= 60 * 6 * 2
+
+
+def test_deletions_meet_their_blocks_in_chunks(spark, tmp_path, monkeypatch):
+    # blocks with deletions and those merged are dealt once: no plan joins blocks, and no pairs of queries and documents are written
+    written, joins = [], []
+
+    def counting(df):
+        joins.append("Join LeftOuter" in df._jdf.queryExecution().optimizedPlan().toString())
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    kept = blockindex.kept
+    index = blockindex.BlockIndex(spark, f"file://{tmp_path}/index")
+    for start in (0, 1000, 2000, 3000, 4000):
+        index.add(frame(spark, [(k, ["the", f"w{k % 3}"]) for k in range(start, start + 1000)]))
+    index.delete(spark.createDataFrame([(k,) for k in range(0, 5000, 30)], "id long"))
+    assert index.merge_segments()
+    index.delete(spark.createDataFrame([(k,) for k in (3, 5, 4999)], "id long"))
+    monkeypatch.setattr(blockindex, "kept", counting)
+    terms = spark.createDataFrame([(q, t) for q in range(60) for t in ("the", f"w{q % 3}")], "qid int, term string")
+    live = [k for k in range(5000) if k % 30 and k not in (3, 5, 4999)]
+    want = [(q, r + 1, k) for q in range(60) for r, k in enumerate([k for k in live if k % 3 == q % 3][:5])]
+    assert [r[:3] for r in hits(index.search(terms, 5))] == want
+    assert max(written) <= 60 * 6 * 2 and not any(joins)
