@@ -28,11 +28,13 @@ def top(rows: DataFrame, k: int, order: list[Column], by: str = "qid") -> DataFr
     return ranked.where(F.col("rank") <= k)
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, qid: str = "qid", id: str = "id", sizes: tuple[int, int] = (512, 1024)) -> tuple[DataFrame, DataFrame]:
+def in_blocks(queries: DataFrame, rows: DataFrame, qid: str = "qid", id: str = "id", sizes: tuple[int, int] = (4096, 16384)) -> tuple[DataFrame, DataFrame]:
     """Both tables dealt to numbered blocks (qb, vb), each query block beside each block of rows.
 
     Neither side is broadcast: a task holds one block of about ``sizes`` queries
-    and rows, and their number grows with both tables.
+    and rows, and their number grows with both tables.  Each table is dealt as
+    often as the other has blocks, and each pair of blocks returns the first rows
+    of each query, so blocks are as large as a task can hold.
     """
     nq, nv = (max(1, -(-df.count() // size)) for df, size in zip((queries, rows), sizes, strict=True))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -197,19 +199,22 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, limit: int, lexical: floa
         out = []
         if len(a) and len(b):
             stack = lambda frame, c: np.stack(frame[c].to_numpy()).astype(float)
-            sims, lex, ids = stack(a, "q") @ stack(b, "v").T, stack(a, "lq") @ stack(b, "lv").T, b["id"].to_numpy()
-            mixed = wl * np.minimum(1.0, lex / 12.0) + ws * np.clip(sims, 0.0, 1.0)
-            for k, qid in enumerate(a["qid"]):
-                # rounding comes later: what lies within two units of the last place is still in, of equal rows only the first
-                at = np.arange(len(ids))
-                if len(ids) > limit:
-                    edge = np.partition(mixed[k], -limit)[-limit]
-                    near = np.flatnonzero(np.abs(mixed[k] - edge) <= 2e-6)
-                    equal = np.unique(np.stack([sims[k][near], lex[k][near]], 1), axis=0, return_inverse=True)[1].ravel()
-                    order = np.lexsort((ids[near], equal))
-                    place = np.arange(len(near)) - np.searchsorted(equal[order], equal[order])
-                    at = np.concatenate([np.flatnonzero(mixed[k] > edge + 2e-6), near[order[place < limit]]])
-                out.append(pd.DataFrame({"qid": qid, "id": ids[at], "lex": lex[k][at], "sim": sims[k][at]}))
+            q, lq, v, lv, ids = stack(a, "q"), stack(a, "lq"), stack(b, "v"), stack(b, "lv"), b["id"].to_numpy()
+            for begin in range(0, len(a), 128):  # the products of some queries at a time
+                sims, lex = q[begin : begin + 128] @ v.T, lq[begin : begin + 128] @ lv.T
+                clipped = np.clip(sims, 0.0, 1.0)
+                mixed = wl * np.minimum(1.0, lex / 12.0) + ws * clipped
+                for k, qid in enumerate(a["qid"][begin : begin + 128]):
+                    # rounding comes later: what lies within two units of the last place is still in, of equal rows only the first
+                    at = np.arange(len(ids))
+                    if len(ids) > limit:
+                        edge = np.partition(mixed[k], -limit)[-limit]
+                        near = np.flatnonzero(np.abs(mixed[k] - edge) <= 2e-6)
+                        equal = np.unique(np.stack([clipped[k][near], lex[k][near]], 1), axis=0, return_inverse=True)[1].ravel()
+                        order = np.lexsort((ids[near], equal))
+                        place = np.arange(len(near)) - np.searchsorted(equal[order], equal[order])
+                        at = np.concatenate([np.flatnonzero(mixed[k] > edge + 2e-6), near[order[place < limit]]])
+                    out.append(pd.DataFrame({"qid": qid, "id": ids[at], "lex": lex[k][at], "sim": sims[k][at]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "lex": [], "sim": []})
 
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, lex double, sim double"

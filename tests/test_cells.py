@@ -53,3 +53,22 @@ def test_hybrid_search_cuts_ties_in_the_block(spark):
     got = retrieval.hybrid_search(asked, rows, 4)
     assert sorted((r["qid"], r["id"], r["rank"]) for r in got.collect()) == [(q, k, k + 1) for q in range(3) for k in range(4)]
     assert {round(r["final"], 6) for r in retrieval.hybrid_search(asked, rows, 4, -3.0, 1.0).collect()} == {1.0}
+
+
+def test_hybrid_blocks_return_few_rows(spark, monkeypatch):
+    rng, left = np.random.default_rng(3), []
+    rows = [(k, rng.normal(size=4).tolist(), [float(k % 2)]) for k in range(2500)]
+    items = spark.createDataFrame(rows, "id long, v array<double>, lv array<double>")
+    asked = items.where("id < 600").select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("lv").alias("lq"))
+    rank = retrieval.hybrid_rank
+    monkeypatch.setattr(retrieval, "hybrid_rank", lambda near, *more: left.append(near.count()) or rank(near, *more))
+    got = {}
+    for r in retrieval.hybrid_search(asked, items, 5).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    v = np.array([r[1] for r in rows])
+    for q in (0, 131, 599):  # in several slices of the queries
+        lex = np.array([(k % 2) * (q % 2) for k in range(2500)])
+        final = np.round(0.45 * np.minimum(1, lex / 12) + 0.55 * np.clip(np.round(v @ v[q], 6), 0, 1), 6)
+        want = sorted(range(2500), key=lambda k: (-final[k], -lex[k], k))[:5]
+        assert [i for _, i in sorted(got[q])] == want
+    assert left[0] <= 600 * 5 * 5 / 2  # one block of rows, and a few that may tie
