@@ -72,3 +72,10 @@ def test_hybrid_blocks_return_few_rows(spark, monkeypatch):
         want = sorted(range(2500), key=lambda k: (-final[k], -lex[k], k))[:5]
         assert [i for _, i in sorted(got[q])] == want
     assert left[0] <= 600 * 5 * 5 / 2  # one block of rows, and a few that may tie
+
+
+
+def test_tables_are_dealt_a_few_times(spark):
+    queries, rows = spark.range(5000).select(F.col("id").alias("qid")), spark.range(60_000)
+    left, right = retrieval.in_blocks(queries, rows)
+    assert left.count() <= 4 * 5000 and right.count() <= 2 * 60_000
