@@ -79,3 +79,14 @@ def test_tables_are_dealt_a_few_times(spark):
     queries, rows = spark.range(5000).select(F.col("id").alias("qid")), spark.range(60_000)
     left, right = retrieval.in_blocks(queries, rows)
     assert left.count() <= 4 * 5000 and right.count() <= 2 * 60_000
+
+
+
+def test_neighbours_of_a_block_are_cut_before_they_leave_it(spark, monkeypatch):
+    rng, seen = np.random.default_rng(4), []
+    points = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(4000)], "id long, v array<double>")
+    top = retrieval.top
+    monkeypatch.setattr(retrieval, "top", lambda rows, *more: seen.append(rows.count()) or top(rows, *more))
+    asked = points.where("id < 100").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    assert retrieval.knn(asked, points, 40).count() == 100 * 40
+    assert seen == [100 * 40]
