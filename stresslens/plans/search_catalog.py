@@ -12,7 +12,7 @@ from stresslens.functions import text
 from stresslens.operators import retrieval
 from stresslens.operators.blockindex import BlockIndex
 from stresslens.plans.registry import register, table
-from stresslens.sources.shared import new_folder, session_folder
+from stresslens.sources.shared import kept, new_folder, session_folder
 
 _WORDS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 _SEARCH = rf"""dw AS (SELECT doc_id AS id, {_WORDS.format("concat_ws(' ', text, source)")} AS words FROM documents), st AS (SELECT count(*) AS n, avg(len(words)) AS m FROM dw),
@@ -73,7 +73,7 @@ fg AS (SELECT qid, id, round(sum(1::DOUBLE / (60 + rank)), 9) AS rrf, string_agg
 SELECT qid, id, rrf, sources, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM fg) WHERE rank <= 12""")
 def q_graph_search(spark, sf):
     as_node = lambda ranked: ranked.select("qid", F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("id"), "rank", F.lit(None).cast("double").alias("sim"))
-    news = _search(spark, sf, 20)
+    news = kept(_search(spark, sf, 20).select("qid", "id", "rank"))  # read twice
     seeds = table(spark, sf, "documents").where("source is not null").select(F.col("doc_id").alias("id"), F.concat(F.lit("source:"), "source").alias("node"))
     lists = {"nodes": as_node(_structured(spark, sf, 20)), "news": as_node(news), "seeds": retrieval.seeded(news, seeds)}
     return retrieval.fused_sources(lists, 12).select("qid", "id", "rrf", F.array_join("sources", ",").alias("sources"), "rank")

@@ -145,3 +145,10 @@ def test_deletions_meet_their_blocks_in_chunks(spark, tmp_path, monkeypatch):
     want = [(q, r + 1, k) for q in range(60) for r, k in enumerate([k for k in live if k % 3 == q % 3][:5])]
     assert [r[:3] for r in hits(index.search(terms, 5))] == want
     assert max(written) <= 60 * 6 * 2 and not any(joins)
+
+
+def test_graph_search_ranks_the_news_once(spark):
+    from stresslens.plans import catalog
+
+    plan = catalog.queries()["q_graph_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "dist" not in plan  # no neighbours are left to find: what was found is kept for both lists
