@@ -194,3 +194,11 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.run_to_table(ingest.dedup_stream(stream, "ts", ["id", "ts", "kind"], "10 days"), f"{tmp_path}/out", f"{tmp_path}/check")
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*rows.columns).collect())
     assert got == sorted(tuple(r) for r in rows.collect())
+
+
+def test_typed_graph_reads_texts_once(spark):
+    from stresslens.plans import catalog
+
+    for name in ("q_typed_edges", "q_typed_nodes"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan, name  # what was enriched is kept without its texts
