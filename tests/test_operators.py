@@ -202,3 +202,21 @@ def test_typed_graph_reads_texts_once(spark):
     for name in ("q_typed_edges", "q_typed_nodes"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "documents.parquet" not in plan, name  # what was enriched is kept without its texts
+
+
+def test_article_graph_against_naive(spark):
+    kinds = "id long, source string, event string, day string, title string, topics array<string>, indicators array<string>, entities array<string>, actors array<string>, targets array<string>, modalities array<string>, responses array<string>, channels array<string>"
+    said = "attributions array<struct<actor:string,status:string>>"
+    articles = spark.createDataFrame([(1, "s", "e", "d", "a", ["t"], ["i"], ["x", "y"], ["p"], ["u"], [], None, ["i"]), (2, None, "e", None, "b", ["t"], None, [], ["p"], [], [], [], [])], kinds)
+    events = spark.createDataFrame([("e", "event e", ["u"], ["m"], [], ["i"], [("p", "suspected"), ("q", "suspected")])], f"event_id string, label string, targets array<string>, modalities array<string>, responses array<string>, channels array<string>, {said}")
+    nodes, edges = graph.article_graph(articles, events)
+    assert sorted(map(tuple, nodes.collect())) == sorted([
+        ("article:1", "article", "a"), ("article:2", "article", "b"), ("source:s", "source", "s"), ("day:d", "day", "d"), ("event:e", "event", "event e"), ("topic:t", "topic", "t"),
+        ("indicator:i", "indicator", "i"), ("entity:x", "entity", "x"), ("entity:y", "entity", "y"), ("actor:p", "actor", "p"), ("target:u", "target", "u"),
+    ])
+    assert sorted((r["src"], r["dst"], r["rel"], r["weight"]) for r in edges.collect()) == sorted([
+        ("article:1", "source:s", "PUBLISHED_BY", 1.0), ("article:1", "event:e", "EVIDENCE_FOR", 1.0), ("article:2", "event:e", "EVIDENCE_FOR", 1.0), ("event:e", "day:d", "OBSERVED_ON", 1.0),
+        ("event:e", "topic:t", "ABOUT", 2.0), ("event:e", "indicator:i", "IMPACTS", 1.0), ("article:1", "entity:x", "MENTIONS", 1.0), ("article:1", "entity:y", "MENTIONS", 1.0),
+        ("article:1", "actor:p", "MENTIONS_ACTOR", 1.0), ("article:2", "actor:p", "MENTIONS_ACTOR", 1.0), ("event:e", "target:u", "TARGETS", 1.0), ("event:e", "modality:m", "USES_MODALITY", 1.0),
+        ("event:e", "indicator:i", "POTENTIAL_MARKET_CHANNEL", 1.0), ("event:e", "actor:p", "REPORTED_ATTRIBUTION", 1.0), ("event:e", "actor:q", "REPORTED_ATTRIBUTION", 1.0),
+    ])
